@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dqengine.llm import bpe
+from dqengine.llm import bpe, toxicity
 
 
 def queries() -> dict:
-    return {"op7_byte_bpe": bpe.query}
+    return {"op2_toxicity": toxicity.query, "op7_byte_bpe": bpe.query}
 
 
 def oracle_sql() -> dict[str, str]:
