@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dqengine.llm import bpe, licenses, matroska, mixing, toxicity
+from dqengine.llm import bpe, html_extract, licenses, matroska, mixing, toxicity
 
 
 def queries() -> dict:
-    return {"op2_toxicity": toxicity.query, "op3_license_scan": licenses.query, "op6_pareto_mix": mixing.query, "op7_byte_bpe": bpe.query, "op8_matroska": matroska.query}
+    return {"op2_toxicity": toxicity.query, "op3_license_scan": licenses.query, "op4_html_wrapper": html_extract.query, "op6_pareto_mix": mixing.query, "op7_byte_bpe": bpe.query, "op8_matroska": matroska.query}
 
 
 def oracle_sql() -> dict[str, str]:
