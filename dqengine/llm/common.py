@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: a run of anything but ASCII white space."""
@@ -50,6 +51,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def struct_of(fields: str) -> T.StructType:
+    """A schema of plain types from "name type, ..." without a session, so that modules may hold one."""
+    made = T.StructType()
+    for name, kind in (x.split() for x in fields.split(",")):
+        made.add(name, {"int": "integer"}.get(kind, kind))
+    return made
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dqengine.llm import bpe, fingerprints, html_extract, licenses, matroska, mixing, toxicity
+from dqengine.llm import bpe, fingerprints, html_extract, licenses, matroska, mixing, suffix_dedup, toxicity
 
 
 def queries() -> dict:
-    return {"op2_toxicity": toxicity.query, "op3_license_scan": licenses.query, "op4_html_wrapper": html_extract.query, "op5_piecewise_hash": fingerprints.query, "op6_pareto_mix": mixing.query, "op7_byte_bpe": bpe.query, "op8_matroska": matroska.query}
+    return {"op1_suffix_dedup": suffix_dedup.query, "op2_toxicity": toxicity.query, "op3_license_scan": licenses.query, "op4_html_wrapper": html_extract.query, "op5_piecewise_hash": fingerprints.query, "op6_pareto_mix": mixing.query, "op7_byte_bpe": bpe.query, "op8_matroska": matroska.query}
 
 
 def oracle_sql() -> dict[str, str]:
