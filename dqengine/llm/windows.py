@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from dqengine.llm.common import materialize, partitions, struct_of, text_slices, utf8
 
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB ^ 0x5DEECE66C)
-SLICE = 1 << 19
-FLUSH = 1 << 20
+SLICE = 1 << 18
+FLUSH = 1 << 18
 """Anchors that a task packs into one set of rows."""
 PARTS = 4
 """Parts of the key space for each shuffle partition."""
@@ -288,7 +288,7 @@ def context_rows(docs: DataFrame, hits: DataFrame, spec: Spec, parts: int) -> Da
             take = np.arange(size.sum()) + np.repeat(left - np.r_[0, np.cumsum(size)[:-1]], size)
             held.append(((key % np.uint64(parts)).astype(np.int32), docs_[text], pos, (place - left).astype(np.uint8), size.astype(np.int64), units[take].astype(kind)))
             weight += len(take) * kind().itemsize
-            if weight >= 8 << 20:
+            if weight >= 4 << 20:
                 yield pack(held)
                 held, weight = [], 0
         if held:
