@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqengine.llm import windows as W
-from dqengine.llm.common import LOWER, materialize, release, struct_of, table, text_slices, utf8
+from dqengine.llm.common import LOWER, materialize, struct_of, table, text_slices, utf8
 
 COORDINATES = 64
 MATCHES = 36
@@ -280,11 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(every.where("_n > 0").groupBy("_a", "_b", "_n").agg(F.min("_key").alias("_rep")), "minhash-classes")
     classes = every.join(sets.select(F.col("_rep").alias("_r")), F.col("_key") == F.col("_r")).select("_key", "_n", "_sig")
     found = materialize(candidates(classes, matches, percent / 100, parts), "minhash-candidates")
-    release(spark)
     clusters = materialize(components(found, "minhash-clusters"), "minhash-cluster-labels")
-    release(spark)
     edges = materialize(links(base, clusters, shingle, percent, parts), "minhash-links")
-    release(spark)
     labels = components(edges, "minhash-components").select(F.col("_key").alias("_rep_key"), "_label")
     same = lambda c: every[c].eqNullSafe(sets[c])
     reps = every.join(sets, same("_a") & same("_b") & same("_n"), "left").select(every["_key"], every["_n"].alias("n_shingles"), F.coalesce("_rep", "_key").alias("_class"))

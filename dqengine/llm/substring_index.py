@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqengine.llm import windows as W
-from dqengine.llm.common import materialize, release, struct_of, table, text_slices
+from dqengine.llm.common import materialize, struct_of, table, text_slices
 
 WINDOW = 35
 GRAM = 14
@@ -120,7 +120,6 @@ class FingerprintIndex:
         joined = new.groupBy("part").cogroup(self.history().groupBy("part")).applyInArrow(lambda a, b: join_batch(a, b, spec), BOTH)
         joined = materialize(joined, "index-batch")
         self._keep(joined.where("kind = 0").select(*RUN.names), 0)
-        release(self.spark)
         return joined.where("kind = 1").select(F.col("hit_doc").alias("doc"), "spans", "needs")
 
     def _keep(self, run: DataFrame, level: int) -> None:
@@ -146,7 +145,6 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: in
     for other in hits[1:]:
         every = every.unionByName(other)
     more = materialize(W.compared(docs, every, spec, parts), "index-compared")
-    release(spark)
     spans = every.where(F.length("spans") > 0).select("doc", "spans").unionByName(more.select("doc", "spans"))
     return spans.groupBy(F.col("doc").alias("_span_key")).agg(F.collect_list("spans").alias("_spans"))
 
