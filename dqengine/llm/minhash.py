@@ -257,7 +257,8 @@ def links(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int, part
     """Confirmed edges inside clusters (_key, _label)."""
     sizes = clusters.groupBy(F.col("_label").alias("_cluster")).agg(F.count("*").alias("_size"))
     sized = clusters.join(sizes, F.col("_label") == F.col("_cluster")).select(F.col("_key").alias("_member"), "_cluster", "_size")
-    joined = docs.join(sized, F.col("_key") == F.col("_member")).select("_key", "_cluster", "_size", "_text")
+    # A merge join at every size: the side with the cluster grows with the documents.
+    joined = docs.join(sized.hint("merge"), F.col("_key") == F.col("_member")).select("_key", "_cluster", "_size", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "_text", 1 << 20):
