@@ -12,9 +12,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from dqengine.functions import exprs as E
+from dqengine.operators.sampling import positions
 
 ACCURACY_BANDS = [(0.85, "excellent"), (0.75, "good"), (0.65, "moderate"), (0.55, "weak")]
 R2_BANDS = [(0.80, "excellent"), (0.65, "good"), (0.50, "moderate"), (0.35, "weak")]
@@ -56,7 +56,8 @@ def folds_for(rows: int, classes: int | None) -> int:
 
 
 def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
-    """Mean accuracy or R2 over the folds. A stratified fold number comes from a window by class over a hash of the row."""
+    """Mean accuracy or R2 over the folds. Classes are dealt to the folds evenly: rows are placed by class and a hash, and the
+    place within the class gives the fold."""
     ready, features = prepared(df, target)
     ready = ready.persist()
     try:
@@ -83,15 +84,16 @@ def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
             evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
         else:
             ready = ready.withColumn("label", F.col("_target").cast("double"))
-            forest = RandomForestRegressor(numTrees=50, maxDepth=5, minInstancesPerNode=5, maxBins=128, seed=seed)
+            forest = RandomForestRegressor(featureSubsetStrategy="all", numTrees=50, maxDepth=5, minInstancesPerNode=5, maxBins=128, seed=seed)
             evaluator = RegressionEvaluator(metricName="r2")
         k = folds_for(rows, classes)
-        order = F.xxhash64(F.lit(seed), *[F.col(c) for c in features])
+        drawn = ready.withColumn("_draw", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
         if problem == "classification":
-            fold = F.row_number().over(Window.partitionBy("_target").orderBy(order)) % k
-        else:
-            fold = F.pmod(order, F.lit(k))
-        dealt = Pipeline(stages=stages).fit(ready).transform(ready).select("features", "label", fold.alias("_fold")).persist()
+            placed = positions(drawn, [F.col("_target"), F.col("_draw")])
+            first = placed.groupBy(F.col("_target").alias("_class")).agg(F.min("_place").alias("_first"))
+            drawn = placed.join(first, F.col("_target") == F.col("_class")).withColumn("_draw", F.col("_place") - F.col("_first"))
+        fold = F.pmod(F.col("_draw"), F.lit(k))
+        dealt = Pipeline(stages=stages).fit(ready).transform(drawn).select("features", "label", fold.alias("_fold")).persist()
         try:
             scores = []
             for i in range(k):

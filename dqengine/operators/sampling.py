@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from dqengine.functions import catalogs as C
 from dqengine.functions import exprs as E
+from dqengine.functions.lineage import cut
 from dqengine.operators import profile
 
 BUDGET = {"critical": 15, "high": 12, "temporal": 10, "medium": 7, "baseline": 6}
@@ -27,8 +28,9 @@ def time_thirds(df: DataFrame, time: str, key: str) -> DataFrame:
 
 
 def positions(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows with ``_place``, their position in the order, from 0: a range sort, then counts of the partitions before."""
-    sorted_ = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
+    """Rows with ``_place``, their position in the order, from 0: a range sort, written once, then counts of the partitions
+    before; no task gets more than its range."""
+    sorted_ = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()))
     starts = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = starts.select(F.col("_part").alias("_p"), "_first", before.alias("_before"))

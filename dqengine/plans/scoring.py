@@ -38,7 +38,7 @@ class Evidence:
 
 
 def clamp(x: float) -> float:
-    return max(0.0, min(100.0, x))
+    return float(max(0.0, min(100.0, x)))
 
 
 def first_at_least(x: float, steps: list[tuple[float, float]], below: float) -> float:
@@ -66,12 +66,12 @@ def quantity(e: Evidence) -> float:
 
 def completeness(e: Evidence) -> float:
     score = 100 - min(2 * e.missing_pct, 40) - 5 * sum(p > 40 for p in e.missing_by_column.values()) - min(1.5 * e.duplicate_pct, 20)
-    return max(0.0, score - (50 if e.rows == 0 else 0))
+    return float(max(0.0, score - (50 if e.rows == 0 else 0)))
 
 
 def consistency(e: Evidence) -> float:
     score = e.consistency - min(5 * sum(p > 15 for p in e.outlier_pct.values()), 20)
-    return max(0.0, score - (min(e.high_pairs, 15) if e.high_pairs > 5 else 2 * e.high_pairs))
+    return float(max(0.0, score - (min(e.high_pairs, 15) if e.high_pairs > 5 else 2 * e.high_pairs)))
 
 
 def signal(e: Evidence) -> float:
