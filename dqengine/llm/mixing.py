@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dqengine.llm.common import WORD, materialize, table
+from dqengine.llm.common import WORD, materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -93,17 +93,21 @@ def mix(
         .withColumn("_odds", F.col("_expect") - F.col("_whole"))
     )
     of_source = Window.partitionBy("_source")
-    plan = plan.withColumn("_left", F.col("target") - F.sum(F.col("_whole") * F.col("_words")).over(of_source)).withColumn("_buckets", F.ceil(F.sqrt(F.sum("_docs").over(of_source))))
-    plan = plan.select(F.col("_source").alias("_ps"), F.col("_class").alias("_pc"), "_whole", "_odds", "_left", "_buckets")
-
-    # The Pareto key q = odds(u) / odds(inclusion), as q / (1 + q), which keeps its order and lies in (0, 1).
+    plan = plan.withColumn("_left", F.col("target") - F.sum(F.col("_whole") * F.col("_words")).over(of_source)).withColumn("_ratio", F.when(F.col("_odds") > 0, F.col("_odds") / (1 - F.col("_odds"))))
+    ranked_docs = F.sum(F.when(F.col("_odds") > 0, F.col("_docs"))).over(of_source)
+    share = F.when(F.col("_odds") > 0, F.struct((F.col("_docs") / ranked_docs).alias("p"), F.col("_ratio").alias("r")))
+    plan = plan.withColumn("_buckets", F.ceil(F.sqrt(ranked_docs))).withColumn("_shares", F.collect_list(share).over(of_source))  # one entry a class
+    plan = plan.select(F.col("_source").alias("_ps"), F.col("_class").alias("_pc"), "_whole", "_ratio", "_left", "_buckets", "_shares")
+
+    # The Pareto key odds(u) / odds(inclusion); its distribution in the source is known from the classes, so buckets of equal
+    # probability hold about equally many documents.
     u = (F.pmod(F.col("_draw"), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
-    against, with_it = u * (1 - F.col("_odds")), F.col("_odds") * (1 - u)
+    below = F.aggregate("_shares", F.lit(0.0), lambda total, x: total + x["p"] * (F.col("_key") * x["r"] / (1 + F.col("_key") * x["r"])))
     ranked = (
         base.join(few(plan), _same(F.col("_source"), F.col("_ps")) & (F.col("_class") == F.col("_pc")), "left")
-        .withColumn("_key", F.when(F.col("_odds") > 0, against / (against + with_it)))
-        .withColumn("_bucket", F.least(F.floor(F.col("_key") * F.col("_buckets")), F.col("_buckets") - 1))
-        .drop("_ps", "_pc", "_buckets", "_odds")
+        .withColumn("_key", u / (1 - u) / F.col("_ratio"))
+        .withColumn("_bucket", F.when(F.col("_key").isNotNull(), F.least(F.floor(below * F.col("_buckets")), F.col("_buckets") - 1)))
+        .drop("_ps", "_pc", "_buckets", "_ratio", "_shares")
     )
     ranked = materialize(ranked, "mix-ranked")
     sums = ranked.where("_bucket is not null").groupBy("_source", "_bucket").agg(F.sum("size").alias("_in"), F.first("_left").alias("_left"))
@@ -133,4 +137,4 @@ def mix(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: words taken from every document."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
