@@ -29,7 +29,7 @@ SIZES = (3, 4, 5, 6)
 BITS = 19
 DIM = 8
 WINDOW = 5
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 8_000
 """Labelled rows that training may use, chosen by hash; the classifier's sample bound."""
 TRAIN_CHARS = 20_000
 """Characters of each training text that training reads. Scoring always reads whole texts."""
@@ -180,14 +180,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 4,
                     labels.append(0)
         labels = np.array(labels, np.int64)
         bag = Bag.of(*_joined(examples))
-        text_of = np.zeros(len(bag.low), np.int64)
-        text_of[bag.word_at] = 1
-        text_of = bag.word_text[np.maximum(0, np.cumsum(text_of) - 1)] if len(bag.word_at) else text_of
-        grams = [(text_of[np.flatnonzero(inside) + 1], bucket[inside]) for bucket, inside in bag.grams()]
-        owner, bucket = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
-        order = np.argsort(owner, kind="stable")
-        owner, bucket = owner[order], bucket[order]
-        head = np.searchsorted(owner, np.arange(len(examples) + 1))
+        bucket, head = _by_text(bag, len(examples))
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(len(examples)), max(1, len(examples) // 256)):
                 batch = batch[head[batch + 1] > head[batch]]
@@ -221,6 +214,22 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 4,
     return Model((value * slope).astype(np.float32), shift * slope + offset)
 
 
+def _by_text(bag: Bag, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of each text one after the other, and where each text's begin."""
+    text_of = np.zeros(len(bag.low), np.int32)
+    text_of[bag.word_at] = 1
+    np.cumsum(text_of, out=text_of)
+    text_of = bag.word_text.astype(np.int32)[np.maximum(0, text_of - 1)] if len(bag.word_at) else text_of
+    counts = [np.bincount(text_of[np.flatnonzero(inside) + 1], minlength=texts) for _, inside in bag.grams()]
+    head = np.r_[0, np.cumsum(sum(counts))]
+    out = np.zeros(head[-1], np.uint32)
+    start = head[:-1].copy()
+    for count, (bucket, inside) in zip(counts, bag.grams()):
+        out[np.arange(count.sum()) + np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count)] = bucket[inside]
+        start += count
+    return out, head
+
+
 def _calibrate(logit: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> tuple[float, float]:
     """Logistic fit of labels on window logits (Newton), held near slope 1."""
     x = np.stack([logit, np.ones_like(logit)], 1)
@@ -261,12 +270,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Model(*shared.value)
-        for part in text_slices(batches, "_text", 1 << 19):
-            found = ready.scores(*utf8(part.column("_text")))
-            kept = [part.column(i) for i in range(len(keep))]
+        for part in text_slices(batches, text_col, 1 << 19):
+            found = ready.scores(*utf8(part.column(text_col)))
+            kept = [part.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found), pa.array((found >= threshold).astype(np.int32))], schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
