@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minhash": minhash.SQL}
+    return {"op1_suffix_dedup": suffix_dedup.SQL, "op9_minhash": minhash.SQL, "op10_substring_index": substring_index.SQL}

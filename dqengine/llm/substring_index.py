@@ -152,10 +152,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: in
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, keep: list[str] | None = None) -> DataFrame:
     """Per row: the id, the columns ``keep``, n_words, n_removed and ``kept`` (the remaining words joined by one space)."""
     keep = keep or []
-    base = W.keyed(docs, id_col, text_col, keep)
+    base = W.keyed(docs, id_col, text_col, [c for c in keep if c != text_col])
     spans = repeats(base, window, gram, batches)
     schema = T.StructType([docs.schema[c] for c in [id_col, *keep]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    extra = [f"_k{i}" for i in range(len(keep))]
+    others = iter(range(len(keep)))
+    extra = ["_text" if c == text_col else f"_k{next(others)}" for c in keep]
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches_, "_text", 2 << 20):
@@ -172,10 +173,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 [part.column("_id"), *(part.column(c) for c in extra), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema.names
             )
 
-    joined = base.join(spans, F.col("_key") == F.col("_span_key"), "left").select("_id", "_text", "_spans", *extra)
+    joined = base.join(spans, F.col("_key") == F.col("_span_key"), "left").select("_id", "_text", "_spans", *[c for c in extra if c != "_text"])
     return joined.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: what substring dedup leaves of every document."""
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i + 1] AS x, CASE WHEN i <= len(w) - 35 THEN array_to_string(list_slice(w, i + 1, i + 35), ' ') END AS s FROM b, unnest(range(0, len(w))) AS r(i)),
+m AS (SELECT *, s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 AS hit FROM p),
+c AS (SELECT doc_id, i, x, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m)
+SELECT b.doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN NOT gone THEN x END, ' ' ORDER BY i), '')) AS kept_sha256
+FROM b LEFT JOIN c USING (doc_id) GROUP BY b.doc_id
+"""

@@ -92,3 +92,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: what suffix-array dedup leaves of every document."""
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, CASE WHEN i <= n - 50 THEN substr(h, 2 * i + 1, 100) END AS s, substr(h, 2 * i + 1, 2) AS x FROM b, unnest(range(0, n)) AS r(i)),
+f AS (SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY s),
+m AS (SELECT w.doc_id, w.i, w.x, coalesce(f.first < w.doc_id, false) AS hit FROM w LEFT JOIN f USING (s)),
+c AS (SELECT doc_id, i, x, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c)
+SELECT b.doc_id, CAST(any_value(n) AS BIGINT) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+  sha256(unhex(coalesce(string_agg(CASE WHEN NOT gone THEN x END, '' ORDER BY i), ''))) AS kept_sha256
+FROM b LEFT JOIN e USING (doc_id) GROUP BY b.doc_id
+"""
