@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dqengine.functions import catalogs as C
 from dqengine.operators import baseline, consistency, importance, leakage, profile, sampling, validation
-from dqengine.plans import assess, models, report, scoring
+from dqengine.plans import assess, display, models, report, scoring
 from dqengine.streaming import profile as streaming
 
 DAY = "substr(CAST(o_orderdate AS STRING), 1, 10)"
@@ -206,6 +206,13 @@ register("duplicates_conversation_roles", lambda s, d: profile.duplicates(load(s
 register("duplicate_flags_documents", lambda s, d: profile.duplicate_flags(load(s, d, "documents"), ["text"], ["doc_id"]).select("doc_id", "is_duplicate"), "SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS is_duplicate FROM documents")
 register("basic_info_documents", lambda s, d: profile.basic_info(load(s, d, "documents")), "SELECT count(*) AS rows, CAST(5 AS BIGINT) AS columns, CAST(count(*) * 16 + sum(length(text) + 8) + sum(length(lang) + 8) + sum(length(source) + 8) AS BIGINT) AS value_bytes FROM documents")
 
+register(
+    "metric_table_noted_events",
+    lambda s, d: display.metric_table(load(s, d, "noted_events"), 512.0),
+    "SELECT unnest(['total_rows', 'total_columns', 'complete_rows', 'unique_rows', 'duplicate_rows', 'missing_pct', 'size_gb']) AS metric, unnest([n, 5, c, u, n - u, p, 0.5]) AS value FROM ("
+    f"SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER ({_PER_ROW} = 0) AS DOUBLE) AS c, round(sum({_PER_ROW}) * 100.0 / (count(*) * 5), 2) AS p, CAST(count(DISTINCT event_id) AS DOUBLE) AS u FROM {source('noted_events')})",
+)
+
 # Categories.
 CATEGORIES = {"orders": ["o_orderstatus", "o_orderpriority"], "part": ["p_name", "p_brand", "p_type"], "dirty_orders": ["o_orderstatus", "priority", "amount", "day_text", "phone", "sex"]}
 for _t, _columns in CATEGORIES.items():
@@ -310,6 +317,12 @@ def _information_sql(name: str, target: str, features: list[str]) -> str:
 for _t, _target, _features in (("dirty_orders", "o_orderstatus", ["priority", "sex"]), ("flagged_lineitem", "l_returnflag", _FLAGGED), ("part", "p_brand", ["p_type"])):
     register(f"mutual_information_{_t}", lambda s, d, t=_t, y=_target, f=_features: rounded(importance.mutual_information(load(s, d, t), y, f), 6), _information_sql(_t, _target, _features))
 
+register(
+    "profile_summary_dirty_lineitem",
+    lambda s, d: display.profile_summary(load(s, d, "dirty_lineitem").select(*NUMERIC["dirty_lineitem"])),
+    f"SELECT round(avg(outlier_pct), 2) AS mean_outlier_pct, count(*) FILTER (outlier_pct > 5) AS columns_with_outliers FROM ({_outlier_sql('dirty_lineitem', NUMERIC['dirty_lineitem'])})",
+)
+
 # Consistency rules.
 _TEXTS = CATEGORIES["dirty_orders"]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dqengine.functions import exprs as E
 from dqengine.operators import baseline, consistency, importance, leakage, profile, sampling, validation
-from dqengine.plans import assess, issues, models, report, scoring
+from dqengine.plans import assess, display, issues, models, report, scoring
 from dqengine.sources import tables
 from dqengine.streaming import profile as streaming
 
@@ -271,3 +271,8 @@ def test_watermarked_stream(spark, tmp_path):
 def test_column_classes(spark):
     df = spark.createDataFrame([("2024-01-05", "x", 1, True, 1.5)], "d string, s string, i int, b boolean, f double").withColumn("t", F.current_timestamp())
     assert profile.column_classes(df) == {"d": "datetime", "s": "categorical", "i": "numerical", "b": "boolean", "f": "numerical", "t": "datetime"}
+
+
+def test_display():
+    assert [display.confidence_band(p) for p in (80, 79.9, 60, 59)] == ["high", "medium", "medium", "low"]
+    assert [display.short_number(n) for n in (999, 1000, 1_250_000)] == ["999", "1.0K", "1.2M"]
