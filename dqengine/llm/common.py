@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -89,6 +90,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    free_memory()
+
+
+def free_memory() -> None:
+    """Gives memory that a worker no longer uses back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freed(rows: pa.Table) -> pa.Table:
+    """A group's result, after memory has been freed."""
+    free_memory()
+    return rows
 
 
 def offsets(array: pa.Array) -> np.ndarray:

@@ -25,10 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dqengine.llm import windows as W
-from dqengine.llm.common import LOWER, materialize, struct_of, table, text_slices, utf8
+from dqengine.llm.common import LOWER, freed, materialize, struct_of, table, text_slices, utf8
 
 COORDINATES = 64
 MATCHES = 36
@@ -124,7 +123,7 @@ def shared_postings(classes: DataFrame, parts: int) -> DataFrame:
         many = np.repeat(size > 1, size)
         return pa.table({"_key": pa.array(key[many]), "_token": pa.array(token[many].view(np.int64)), "_df": pa.array(np.repeat(size, size)[many].astype(np.int32))})
 
-    return classes.select("_key", "_sig").mapInArrow(post, POSTED).groupBy("part").applyInArrow(count, SHARED)
+    return classes.select("_key", "_sig").mapInArrow(post, POSTED).groupBy("part").applyInArrow(lambda rows: freed(count(rows)), SHARED)
 
 
 EDGES = struct_of("a long, b long")
@@ -176,7 +175,7 @@ def candidates(classes: DataFrame, matches: int, similarity: float, parts: int)
     prefix = F.slice("_posts", 1, F.size("_posts") - F.lit(matches - 1))
     kept = posts.where(F.size("_posts") >= matches).select(F.col("_key").alias("_post_key"), F.explode(prefix).alias("_post"))
     joined = classes.join(kept, F.col("_key") == F.col("_post_key")).select("_key", "_n", "_sig", F.col("_post._token").alias("_token"), F.col("_post._df").alias("_size"))
-    return spread(joined, "_token", LIST_BLOCK, parts).groupBy("part").applyInArrow(lambda rows: colliding(rows, matches, similarity), EDGES)
+    return spread(joined, "_token", LIST_BLOCK, parts).groupBy("part").applyInArrow(lambda rows: freed(colliding(rows, matches, similarity)), EDGES)
 
 
 def spread(rows: DataFrame, group: str, block: int, parts: int) -> DataFrame:
@@ -189,12 +188,17 @@ def spread(rows: DataFrame, group: str, block: int, parts: int) -> DataFrame:
     return dealt.withColumn("part", F.pmod(F.xxhash64(group, "_i", "_j"), F.lit(parts)).cast("int"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every a has one b and no b is an a."""
+    ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("n"), F.lit(0).alias("hub")).unionByName(edges.select(F.col("b").alias("k"), F.lit(0).alias("n"), F.lit(1).alias("hub")))
+    return ends.groupBy("k").agg(F.sum("n").alias("n"), F.max("hub").alias("hub")).where("n > 1 or (n = 1 and hub = 1)").isEmpty()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(_key, _label): the least key reachable by edges (a, b), for every key that has an edge. Large-star and small-star
-    steps in turn until no edge changes; each is an aggregation and a join, so no neighbourhood is ever gathered."""
+    steps in turn until only stars are left; each is an aggregation and a join, so no neighbourhood is ever gathered."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("_at")).agg(F.min("b").alias("_m")).select("_at", F.least("_at", "_m").alias("_m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("_at")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
@@ -203,10 +207,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         step = large.join(small, F.col("a") == F.col("_at")).select(F.col("b").alias("x"), F.col("_m").alias("y"))
         step = step.unionByName(small.select(F.col("_at").alias("x"), F.col("_m").alias("y"))).where("x <> y")
         now = materialize(step.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
-            break
-        before = sign
     own = now.groupBy(F.col("a").alias("_key")).agg(F.min("b").alias("_label"))
     return own.unionByName(now.select(F.col("b").alias("_key"), F.col("b").alias("_label")).distinct())
 
@@ -267,7 +267,7 @@ def links(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int, part
             yield pa.RecordBatch.from_arrays([part.column("_key"), part.column("_cluster"), part.column("_size"), pa.array(sets, pa.binary())], SETS.names)
 
     dealt = spread(joined.mapInArrow(run, SETS), "_cluster", SET_BLOCK, parts)
-    return dealt.groupBy("part").applyInArrow(lambda rows: confirmed(rows, percent), EDGES)
+    return dealt.groupBy("part").applyInArrow(lambda rows: freed(confirmed(rows, percent)), EDGES)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, matches: int = MATCHES, keep: list[str] | None = None) -> DataFrame:

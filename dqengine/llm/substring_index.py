@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqengine.llm import windows as W
-from dqengine.llm.common import materialize, struct_of, table, text_slices
+from dqengine.llm.common import freed, materialize, struct_of, table, text_slices
 
 WINDOW = 35
 GRAM = 14
@@ -117,7 +117,7 @@ class FingerprintIndex:
         """batch: (_key, _text). Returns hits (doc, spans, needs)."""
         spec = self.spec
         new = W.anchor_rows(batch, spec, self.parts)
-        joined = new.groupBy("part").cogroup(self.history().groupBy("part")).applyInArrow(lambda a, b: join_batch(a, b, spec), BOTH)
+        joined = new.groupBy("part").cogroup(self.history().groupBy("part")).applyInArrow(lambda a, b: freed(join_batch(a, b, spec)), BOTH)
         joined = materialize(joined, "index-batch")
         self._keep(joined.where("kind = 0").select(*RUN.names), 0)
         return joined.where("kind = 1").select(F.col("hit_doc").alias("doc"), "spans", "needs")
@@ -131,7 +131,7 @@ class FingerprintIndex:
             for other in self.levels[level][1:]:
                 every = every.unionByName(other)
             self.levels[level] = []
-            self._keep(materialize(every.groupBy("part").applyInArrow(merged, RUN), f"index-run-{level + 1}"), level + 1)
+            self._keep(materialize(every.groupBy("part").applyInArrow(lambda rows: freed(merged(rows)), RUN), f"index-run-{level + 1}"), level + 1)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:

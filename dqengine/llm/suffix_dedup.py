@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqengine.llm import windows as W
-from dqengine.llm.common import materialize, table, text_slices
+from dqengine.llm.common import freed, materialize, table, text_slices
 
 WINDOW = 50
 GRAM = 20
@@ -54,7 +54,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
     spark = docs.sparkSession
     spec = W.Spec(words=False, window=window, gram=gram, earlier=True)
     parts = W.parts_of(spark)
-    hits = W.anchor_rows(docs, spec, parts).groupBy("part").applyInArrow(lambda rows: first_hits(rows, spec), W.HITS)
+    hits = W.anchor_rows(docs, spec, parts).groupBy("part").applyInArrow(lambda rows: freed(first_hits(rows, spec)), W.HITS)
     hits = materialize(hits, "suffix-hits")
     more = materialize(W.compared(docs, hits, spec, parts), "suffix-compared")
     spans = hits.where(F.length("spans") > 0).select("doc", "spans").unionByName(more.select("doc", "spans"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqengine.llm.common import materialize, partitions, struct_of, text_slices, utf8
+from dqengine.llm.common import freed, materialize, partitions, struct_of, text_slices, utf8
 
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB ^ 0x5DEECE66C)
 SLICE = 1 << 18
@@ -53,7 +53,7 @@ def powers(base: int, n: int) -> np.ndarray:
             step = min(done, size - done)
             np.multiply(have[:step], np.uint64(pow(base, done, 1 << 64)), out=have[done : done + step])
             done += step
-        if n <= 1 << 22:
+        if n <= 1 << 20:
             _KEPT_POWERS[base] = have
     return have[:n]
 
@@ -437,7 +437,7 @@ def _compare(s: Suffixes, doc: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.n
 def compared(docs: DataFrame, hits: DataFrame, spec: Spec, parts: int) -> DataFrame:
     """Hits from comparing contexts unit by unit."""
     rows = context_rows(docs, hits, spec, parts)
-    return rows.groupBy("part").applyInArrow(lambda table: compare_contexts(table, spec), HITS)
+    return rows.groupBy("part").applyInArrow(lambda table: freed(compare_contexts(table, spec)), HITS)
 
 
 def covered(spans: list[bytes] | None, n: int) -> np.ndarray:
