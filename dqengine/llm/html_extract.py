@@ -5,9 +5,11 @@ it by simple tree matching (the largest order-preserving match of equal tags fro
 is the same in most different pages of the host is template, a node whose text varies is a content slot. The votes come from
 all pages, each different page counted once.
 
-Landmarks come first: nothing inside menus, headers and footers of the page, sidebars, forms, notices, adverts, comments and
-the like is content, and where a page marks its article (article, main), the text inside is the content, constant or not.
-Elsewhere the text outside template nodes is.
+Landmarks are a prior: nothing inside menus, headers and footers of the page, sidebars, forms, notices, adverts, comments and
+the like is content. Votes decide the rest. Where a page marks its article (article, main), text inside is content unless its
+node is template and most of the article's characters stand in other nodes (else all pages share the article, or some are near
+copies of each other); text outside is content only in a slot: a node that most different pages have and that varies in most of
+those. Where a page marks none, the text outside template nodes is content.
 
 A null or empty page has empty text. A page without host belongs to the host "". Pages are parsed whole; repeated rows give
 repeated results; other columns are not read. Where two child lists are too long to align cell by cell they are paired in
@@ -223,54 +225,77 @@ def align(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, depth:
     return total
 
 
-def aligned(page: str, exemplar: Node) -> tuple[list[dict], list[int]]:
-    """The page's blocks with the exemplar node each belongs to (-1: none), and the exemplar nodes with equal text."""
+def node_lines(blocks: list[tuple[str, int, bool]]) -> dict[int, list[str]]:
+    """The texts of the blocks that begin in each node."""
+    lines: dict[int, list[str]] = {}
+    for text, i, _ in blocks:
+        lines.setdefault(i, []).append(text)
+    return lines
+
+
+def aligned(page: str, exemplar: tuple[Node, dict[int, list[str]]]) -> tuple[list[dict], list[int], list[int]]:
+    """The page's blocks with the exemplar node each belongs to (-1: none), and the exemplar nodes with equal and with other
+    text. A node's text is that of the blocks that begin in it, their inline elements included."""
     root, blocks = parse(page)
+    tree, lines = exemplar
     pairs: list[tuple[Node, Node]] = []
-    align(measure(root), exemplar, pairs)
-    to = {a.index: b for a, b in pairs}
-    same = [b.index for a, b in pairs if b.text.strip() and a.text.split() == b.text.split()]
-    return [{"text": t, "node": to[i].index if i in to else -1, "main": m} for t, i, m in blocks], same
+    align(measure(root), tree, pairs)
+    to = {a.index: b.index for a, b in pairs}
+    same, other = [], []
+    for i, own in node_lines(blocks).items():
+        if i in to:
+            (same if lines.get(to[i]) == own else other).append(to[i])
+    return [{"text": t, "node": to.get(i, -1), "main": m} for t, i, m in blocks], same, other
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """(id, url, text, blocks) of every page; blocks keeps each block's text, exemplar node and whether it lies in main."""
+    """(id, url, text, blocks, path) of every page; blocks keeps each block's text, exemplar node and whether it lies in main;
+    path names what decided: votes (no article marked), both, or landmarks (article shared by most pages)."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     exemplars = materialize(base.groupBy("_host").agg(F.min_by("_html", F.xxhash64("_html")).alias("_exemplar")), "html-exemplars")
     bound = exemplars.agg(F.coalesce(F.sum(F.length("_exemplar") + F.length("_host")), F.lit(0))).first()[0]
     few = F.broadcast if bound * 4 <= BROADCAST_BYTES else lambda df: df
-    schema = T._parse_datatype_string("_host string, _blocks array<struct<text string, node int, main boolean>>, _same array<int>, _sig long")
+    schema = T._parse_datatype_string("_host string, _blocks array<struct<text string, node int, main boolean>>, _same array<int>, _other array<int>, _sig long")
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], *schema.fields])
     kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("main", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Node] = {}
+        trees: dict[str, tuple[Node, dict[int, list[str]]]] = {}
         for part in text_slices(batches, "_html", 4 << 20):
             found, signs = [], []
             for name, page, exemplar in zip(part.column("_host").to_pylist(), part.column("_html").to_pylist(), part.column("_exemplar").to_pylist()):
                 if name not in trees:
                     if len(trees) >= 200:
                         trees.clear()
-                    trees[name] = measure(parse(exemplar)[0])
+                    root, blocks = parse(exemplar)
+                    trees[name] = measure(root), node_lines(blocks)
                 found.append(aligned(page, trees[name]))
                 signs.append(xxhash.xxh64_intdigest(page) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), part.column("_url"), part.column("_host"), pa.array([b for b, _ in found], kind), pa.array([s for _, s in found], pa.list_(pa.int32())), pa.array(signs, pa.int64())], schema.names
+                [part.column("_id"), part.column("_url"), part.column("_host"), pa.array([f[0] for f in found], kind), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (1, 2)), pa.array(signs, pa.int64())], schema.names
             )
 
     parsed = materialize(base.join(few(exemplars), "_host").select("_id", "_url", "_host", "_html", "_exemplar").mapInArrow(run, schema), "html-blocks")
-    different = parsed.groupBy("_host", "_sig").agg(F.first("_same").alias("_same"))
+    different = parsed.groupBy("_host", "_sig").agg(F.first(F.struct("_same", "_other")).alias("_nodes"))
     counts = different.groupBy("_host").agg(F.count("*").alias("_pages"))
-    votes = different.select("_host", F.explode("_same").alias("_node")).groupBy("_host", "_node").agg(F.count("*").alias("_votes"))
-    constant = votes.join(counts, "_host").where((F.col("_pages") >= least) & (F.col("_votes") > F.col("_pages") * share))
-    template = materialize(constant.groupBy("_host").agg(F.collect_set("_node").alias("_template")), "html-template")
-    few = F.broadcast if bound * 4 <= BROADCAST_BYTES else lambda df: df  # a host's template has no more nodes than its exemplar
+    cell = lambda equal: lambda i: F.struct(i.alias("_node"), F.lit(equal).alias("_equal"))
+    cells = F.concat(F.transform("_nodes._same", cell(1)), F.transform("_nodes._other", cell(0)))
+    votes = different.select("_host", F.inline(cells)).groupBy("_host", "_node").agg(F.count("*").alias("_seen"), F.sum("_equal").alias("_votes"))
+    most = lambda c: F.col(c) > F.col("_pages") * share
+    constant = F.when(most("_votes"), F.col("_node"))
+    varied = F.when(most("_seen") & (F.col("_votes") <= F.col("_seen") * (1 - share)), F.col("_node"))
+    voted = votes.join(counts, "_host").where(F.col("_pages") >= least).groupBy("_host").agg(F.collect_set(constant).alias("_template"), F.collect_set(varied).alias("_slots"))
+    template = materialize(voted, "html-template")
+    few = F.broadcast if bound * 4 <= BROADCAST_BYTES else lambda df: df  # a host's votes name no more nodes than its exemplar has
     whole = parsed.join(few(template), "_host", "left")
-    in_main = F.filter("_blocks", lambda b: b["main"])
-    rest = F.filter("_blocks", lambda b: ~F.coalesce(F.array_contains(F.col("_template"), b["node"]), F.lit(False)))
-    content = F.when(F.size(in_main) > 0, in_main).otherwise(rest)
-    return whole.select(F.col(id_col), F.col(url_col), F.array_join(F.transform(content, lambda b: b["text"]), " ").alias("text"), F.col("_blocks").alias("blocks"))
+    among = lambda c, b: F.coalesce(F.array_contains(F.col(c), b["node"]), F.lit(False))
+    chars = lambda keep: F.aggregate(F.filter("_blocks", keep), F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+    in_main = F.exists("_blocks", lambda b: b["main"])
+    trust = chars(lambda b: b["main"] & among("_template", b)) * 2 < chars(lambda b: b["main"])
+    whole = whole.withColumn("_path", F.when(in_main, F.when(trust, "both").otherwise("landmarks")).otherwise("votes"))
+    content = F.filter("_blocks", lambda b: F.when(F.col("_path") == "votes", ~among("_template", b)).when(b["main"], (F.col("_path") == "landmarks") | ~among("_template", b)).otherwise(among("_slots", b)))
+    return whole.select(F.col(id_col), F.col(url_col), F.array_join(F.transform(content, lambda b: b["text"]), " ").alias("text"), F.col("_blocks").alias("blocks"), F.col("_path").alias("path"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,15 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_votes_decide_inside_and_outside_articles(spark):
+    page = lambda i: f"<body><h1>Title {i}</h1><div>Our site</div><article><p>Story {i} is told here in words {i * 7}</p><p>Share me</p><p>By <b>author {i}</b></p></article></body>"
+    near = lambda i: f"<body><article><p>A long story that all of these pages tell alike</p><p>Copy {i}</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(5)] + [(10 + i, f"http://b.example/{i}", near(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Title {i} Story {i} is told here in words {i * 7} By author {i}" for i in range(5)}
+    assert got == want | {10 + i: f"A long story that all of these pages tell alike Copy {i}" for i in range(3)}
+
+
 def test_tree_matching_by_brute_force():
     rng = np.random.default_rng(1)
 
