@@ -31,8 +31,8 @@ DIM = 8
 WINDOW = 5
 TRAIN_ROWS = 8_000
 """Labelled rows that training may use, chosen by hash; the classifier's sample bound."""
-TRAIN_CHARS = 20_000
-"""Characters of each training text that training reads. Scoring always reads whole texts."""
+TRAIN_BYTES = 64 << 20
+"""Bytes of training texts, in the same order, after which no further text is chosen. A chosen text is read whole."""
 SEED = 20240
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -248,8 +248,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Fits on at most ``rows`` labelled documents (hash order) that are not held out. The ids are bounded by ``rows``, so
-    they are broadcast to the scan of the texts."""
+    """Fits on at most ``rows`` labelled documents (hash order) that are not held out, fewer where those before reach
+    ``TRAIN_BYTES``; texts are read whole. The ids are bounded by ``rows``, so they are broadcast to the scans of the texts."""
     ids = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("_id"))
@@ -257,9 +257,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("_id", F.lit(SEED)), "_id")
         .limit(rows)
     )
-    picked = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("_text"))
-    got = picked.join(F.broadcast(ids), "_id").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return fit([t.encode() for t in got["_text"].to_pylist()], np.array(got["_y"].to_pylist(), np.int64))
+    picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(ids), "_id")
+    size = picked.groupBy("_id").agg(F.sum(F.octet_length("_text")).alias("_size")).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").toArrow()
+    sizes = size["_size"].to_numpy()
+    chosen = int(np.searchsorted(np.cumsum(sizes) - sizes, TRAIN_BYTES))  # those with fewer bytes before them
+    if chosen < len(sizes):
+        picked = picked.join(F.broadcast(docs.sparkSession.createDataFrame(size.select(["_id"]).slice(0, chosen))), "_id")
+    got = picked.toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    return fit(got["_text"].cast(pa.binary()).to_pylist(), np.array(got["_y"].to_pylist(), np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:

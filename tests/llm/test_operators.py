@@ -443,3 +443,19 @@ def test_toxicity_trains_without_held_out_rows(spark, documents):
     assert {r.predicted for r in got.collect()} == {0}
     nulls = spark.createDataFrame([(-4, 1, None), (None, 1, 1), (-1, 1, 1), (-1, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.score(documents, toxicity.train(documents, nulls)).count() == documents.count()
+
+
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    plain = ["".join(rng.choice(list("abcdeghilmnorstu"), 6)) for _ in range(400)]
+    rows = [(i, " ".join([*rng.choice(plain, 3200), *(["blorgface"] if i % 2 else []), "end"])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    bad, good = model.scores(*toxicity._joined([b"to my blorgface friend", " ".join(plain[:4]).encode()]))
+    assert min(len(t) for _, t in rows) > 20_000 and bad > 0.8 > 0.3 > good
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.extend(texts))
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 100_000)
+    toxicity.train(docs, labels)
+    assert 100_000 <= sum(map(len, seen)) < 130_000 and set(seen) <= {t.encode() for _, t in rows}
