@@ -13,9 +13,9 @@ from dqengine.functions import catalogs as C
 from dqengine.functions import exprs as E
 
 
-def column_classes(df: DataFrame, sample: int = 10) -> dict[str, str]:
-    """numerical, categorical, datetime or boolean for each column; a string column whose ``sample`` least values all parse as
-    dates (and has any) is datetime."""
+def column_classes(df: DataFrame) -> dict[str, str]:
+    """numerical, categorical, datetime or boolean for each column; a string column whose values all parse as dates (and that
+    has any) is datetime. Nulls don't count."""
     found, texts = {}, E.string_columns(df)
     for f in df.schema:
         if isinstance(f.dataType, T.NumericType):
@@ -25,9 +25,8 @@ def column_classes(df: DataFrame, sample: int = 10) -> dict[str, str]:
         else:
             found[f.name] = "datetime" if f.name in E.temporal_columns(df) else "categorical"
     if texts:
-        head = df.select(*[E.q(c) for c in texts]).limit(1000)
-        row = head.agg(*[F.coalesce(F.min(E.parse_date(E.q(c)).isNotNull().cast("int")), F.lit(0)).alias(f"_{i}") for i, c in enumerate(texts)]).first()
-        found |= {c: "datetime" for i, c in enumerate(texts) if row[i] == 1}
+        dates = lambda c: F.coalesce(F.min(F.when(E.q(c).isNotNull(), E.parse_date(E.q(c)).isNotNull())), F.lit(False))
+        found |= {r["column"]: "datetime" for r in E.tidy(df, texts, {"dates": dates}, "boolean").where("dates").collect()}
     return found
 
 

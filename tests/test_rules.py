@@ -276,3 +276,9 @@ def test_column_classes(spark):
 def test_display():
     assert [display.confidence_band(p) for p in (80, 79.9, 60, 59)] == ["high", "medium", "medium", "low"]
     assert [display.short_number(n) for n in (999, 1000, 1_250_000)] == ["999", "1.0K", "1.2M"]
+
+
+def test_column_classes_of_all_rows(spark):
+    day = "CASE WHEN id > 0 THEN '2024-01-02' END AS nulls_first"
+    df = spark.range(3000).coalesce(1).selectExpr(day, "CASE WHEN id < 2999 THEN '2024-01-02' ELSE 'odd' END AS odd_last", "CAST(NULL AS STRING) AS none")
+    assert profile.column_classes(df) == {"nulls_first": "datetime", "odd_last": "categorical", "none": "categorical"}
