@@ -1,9 +1,10 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host share a template. One page of each host stands as its exemplar; every other page's DOM tree is aligned with
-it by simple tree matching (the largest order-preserving match of equal tags from the root down). An exemplar node whose text
-is the same in most different pages of the host is template, a node whose text varies is a content slot. The votes come from
-all pages, each different page counted once.
+Pages of one host and layout (the upper tag tree) share a template. One page with text of each layout that at least ``least``
+different pages have stands as its exemplar; pages of rarer layouts go with the host's most frequent one. Every page's DOM tree
+is aligned with its exemplar by simple tree matching (the largest order-preserving match of equal tags from the root down). An
+exemplar node whose text is the same in most different pages of the layout is template, a node whose text varies is a content
+slot. The votes come from all pages, each different page counted once.
 
 Landmarks are a prior: nothing inside menus, headers and footers of the page, sidebars, forms, notices, adverts, comments and
 the like is content. Votes decide the rest. Where a page marks its article (article, main), text inside is content unless its
@@ -12,16 +13,18 @@ copies of each other); text outside is content only in a slot: a node that most
 those. Where a page marks none, the text outside template nodes is content.
 
 A null or empty page has empty text. A page without host belongs to the host "". Pages are parsed whole; repeated rows give
-repeated results; other columns are not read. Where two child lists are too long to align cell by cell they are paired in
-order, which affects template votes only.
+repeated results; other columns are not read. Child lists are matched exactly at any length and depth; long ones by divide and
+conquer, in memory that grows with their length and the square of their different shapes only.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +55,9 @@ CLOSES = {
 }
 SCOPES = frozenset("html body article main section div nav aside footer header form table td th ul ol dl blockquote figure".split())
 CELLS = 250_000
-"""Cells of one alignment of two child lists; beyond, they are paired in order."""
-DEPTH = 150
+"""Cells of one alignment of two child lists that are held at once; larger ones are divided."""
+UPPER = 3
+"""Levels of the tag tree that tell layouts apart: html, body and what lies in it."""
 SHARE = 0.5
 PAGES = 3
 BROADCAST_BYTES = 64 << 20
@@ -175,54 +179,105 @@ def measure(root: Node) -> Node:
     return root
 
 
-def align(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, depth: int = 0) -> int:
-    """Simple tree matching of two trees with equal root tags: the size of the largest match; pairs gets its node pairs."""
-    if pairs is not None:
-        pairs.append((a, b))
-    if depth > DEPTH:
-        return 1
-    x, y = a.children, b.children
-    total = 1
+def layout(root: Node) -> int:
+    """A hash of the upper tag tree, runs of equal neighbours taken as one."""
+
+    def upper(node: Node, levels: int) -> str:
+        below = [upper(c, levels - 1) for c in node.children] if levels else []
+        return f"{node.tag}({','.join(x for x, y in zip(below, [None, *below]) if x != y)})"
+
+    return xxhash.xxh64_intdigest(upper(root, UPPER)) - (1 << 63)
+
+
+def _path(weight: list[list[int]]) -> list[tuple[int, int]]:
+    """The places of the heaviest order-preserving match, from a table of weights."""
+    best = [[0] * (len(weight[0]) + 1)]
+    for line in weight:
+        row, above = [0], best[-1]
+        for j, w in enumerate(line):
+            row.append(max(row[j], above[j + 1], above[j] + w))
+        best.append(row)
+    i, j, found = len(weight), len(weight[0]), []
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    return found
+
+
+def _divided(weight: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """The same for long lists of shape numbers x and y: halves of x are matched with the parts of y that serve both best."""
+
+    def last_row(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(v) + 1, np.int64)
+        for i in u:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weight[i, v]))
+        return row
+
+    found, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1 or (b - a) * (d - c) <= CELLS:
+            found += [(a + i, c + j) for i, j in _path(weight[np.ix_(x[a:b], y[c:d])].tolist())]
+            continue
+        m = (a + b) // 2
+        k = int(np.argmax(last_row(x[a:m], y[c:d]) + last_row(x[m:b][::-1], y[c:d][::-1])[::-1]))
+        todo += [(a, m, c, c + k), (m, b, c + k, d)]
+    return found
+
+
+def matches(x: list[Node], y: list[Node], memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+    """The heaviest order-preserving match of two child lists."""
     low, p, q = 0, len(x), len(y)
-    matched: list[tuple[Node, Node]] = []
+    found: list[tuple[Node, Node]] = []
     while low < p and low < q and x[low].shape == y[low].shape:
-        matched.append((x[low], y[low]))
+        found.append((x[low], y[low]))
         low += 1
     while p > low and q > low and x[p - 1].shape == y[q - 1].shape:
         p, q = p - 1, q - 1
-        matched.append((x[p], y[q]))
+        found.append((x[p], y[q]))
     x, y = x[low:p], y[low:q]
     if x and y and len(x) * len(y) > CELLS:
-        matched += [(u, v) for u, v in zip(x, y) if u.tag == v.tag]
+        one, two = {u.shape: u for u in x}, {v.shape: v for v in y}
+        weight = np.array([[size_of(u, v, memo) if u.tag == v.tag else 0 for v in two.values()] for u in one.values()], np.int64)
+        at, to = {h: i for i, h in enumerate(one)}, {h: i for i, h in enumerate(two)}
+        places = _divided(weight, np.array([at[u.shape] for u in x]), np.array([to[v.shape] for v in y]))
     elif x and y:
-        weight = [[align(u, v, None, depth + 1) if u.tag == v.tag else 0 for v in y] for u in x]
-        best = [[0] * (len(y) + 1)]
-        for i, u in enumerate(x):
-            row, above = [0], best[-1]
-            for j in range(len(y)):
-                row.append(max(row[j], above[j + 1], above[j] + weight[i][j]))
-            best.append(row)
-        i, j = len(x), len(y)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                matched.append((x[i], y[j]))
-    for u, v in matched:
-        if u.shape == v.shape:
-            total += u.size
-            if pairs is not None:
-                todo = [(u, v)]
-                while todo:
-                    s, t = todo.pop()
-                    pairs.append((s, t))
-                    todo.extend(zip(s.children, t.children))
-        else:
-            total += align(u, v, pairs, depth + 1)
-    return total
+        places = _path([[size_of(u, v, memo) if u.tag == v.tag else 0 for v in y] for u in x])
+    else:
+        places = []
+    return found + [(x[i], y[j]) for i, j in places]
+
+
+def size_of(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
+    """The size of the largest match of two trees with equal root tags; memo holds those of different shapes."""
+    if a.shape == b.shape:
+        return a.size
+    size = memo.get((a.shape, b.shape))
+    if size is None:
+        size = 1
+        for u, v in matches(a.children, b.children, memo):
+            size += size_of(u, v, memo)
+        memo[a.shape, b.shape] = size
+    return size
+
+
+def align(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
+    """Simple tree matching of two trees with equal root tags: the size of the largest match; pairs gets its node pairs."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + 4 * min(a.size, b.size)))  # size_of and matches go as deep as both trees
+    memo: dict[tuple[int, int], int] = {}
+    todo = [(a, b)] if pairs is not None else []
+    while todo:
+        u, v = todo.pop()
+        pairs.append((u, v))
+        todo += zip(u.children, v.children) if u.shape == v.shape else matches(u.children, v.children, memo)
+    return size_of(a, b, memo)
 
 
 def node_lines(blocks: list[tuple[str, int, bool]]) -> dict[int, list[str]]:
@@ -253,18 +308,37 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     path names what decided: votes (no article marked), both, or landmarks (article shared by most pages)."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    exemplars = materialize(base.groupBy("_host").agg(F.min_by("_html", F.xxhash64("_html")).alias("_exemplar")), "html-exemplars")
+    laid_schema = T.StructType([*base.schema.fields]).add("_layout", "long").add("_full", "boolean")
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "_html", 4 << 20):
+            trees = [parse(page) for page in part.column("_html").to_pylist()]
+            more = [pa.array([layout(root) for root, _ in trees], pa.int64()), pa.array([bool(blocks) for _, blocks in trees], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], laid_schema.names)
+
+    laid = base.mapInArrow(lay, laid_schema)
+    keys = materialize(laid.where("_full").select("_host", "_layout", F.xxhash64("_html").alias("_sign")).distinct(), "html-layouts")
+    layouts = keys.groupBy("_host", "_layout").agg(F.count("*").alias("_n"), F.min("_sign").alias("_sign"))
+    first = layouts.groupBy("_host").agg(F.max(F.struct("_n", "_layout"))["_layout"].alias("_first"))
+    kept = layouts.join(first, "_host").withColumn("_is_first", F.col("_layout") == F.col("_first")).where(F.col("_is_first") | (F.col("_n") >= least))
+    kept = materialize(kept, "html-chosen")  # of known size, so that few of them are broadcast and pages are not shuffled
+    chosen = base.select("_host", "_html", F.xxhash64("_html").alias("_sign")).join(kept, ["_host", "_sign"])
+    exemplars = materialize(chosen.groupBy("_host", "_layout").agg(F.min("_html").alias("_exemplar"), F.max("_is_first").alias("_is_first")), "html-exemplars")
     bound = exemplars.agg(F.coalesce(F.sum(F.length("_exemplar") + F.length("_host")), F.lit(0))).first()[0]
     few = F.broadcast if bound * 4 <= BROADCAST_BYTES else lambda df: df
-    schema = T._parse_datatype_string("_host string, _blocks array<struct<text string, node int, main boolean>>, _same array<int>, _other array<int>, _sig long")
+    own = exemplars.select("_host", "_layout", F.col("_layout").alias("_own"), F.col("_exemplar").alias("_own_exemplar"))
+    common = exemplars.where("_is_first").select("_host", F.col("_layout").alias("_common"), F.col("_exemplar").alias("_common_exemplar"))
+    dealt = laid.join(few(own), ["_host", "_layout"], "left").join(few(common), "_host", "left")
+    use, exemplar = F.coalesce("_own", "_common", F.lit(0)).alias("_use"), F.coalesce("_own_exemplar", "_common_exemplar", F.lit("")).alias("_exemplar")
+    schema = T._parse_datatype_string("_host string, _use long, _blocks array<struct<text string, node int, main boolean>>, _same array<int>, _other array<int>, _sig long")
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], *schema.fields])
     kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("main", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple[Node, dict[int, list[str]]]] = {}
+        trees: dict[tuple[str, int], tuple[Node, dict[int, list[str]]]] = {}
         for part in text_slices(batches, "_html", 4 << 20):
             found, signs = [], []
-            for name, page, exemplar in zip(part.column("_host").to_pylist(), part.column("_html").to_pylist(), part.column("_exemplar").to_pylist()):
+            for name, page, exemplar in zip(zip(part.column("_host").to_pylist(), part.column("_use").to_pylist()), part.column("_html").to_pylist(), part.column("_exemplar").to_pylist()):
                 if name not in trees:
                     if len(trees) >= 200:
                         trees.clear()
@@ -273,22 +347,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 found.append(aligned(page, trees[name]))
                 signs.append(xxhash.xxh64_intdigest(page) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), part.column("_url"), part.column("_host"), pa.array([f[0] for f in found], kind), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (1, 2)), pa.array(signs, pa.int64())], schema.names
+                [part.column("_id"), part.column("_url"), part.column("_host"), part.column("_use"), pa.array([f[0] for f in found], kind), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (1, 2)), pa.array(signs, pa.int64())], schema.names
             )
 
-    parsed = materialize(base.join(few(exemplars), "_host").select("_id", "_url", "_host", "_html", "_exemplar").mapInArrow(run, schema), "html-blocks")
-    different = parsed.groupBy("_host", "_sig").agg(F.first(F.struct("_same", "_other")).alias("_nodes"))
-    counts = different.groupBy("_host").agg(F.count("*").alias("_pages"))
+    parsed = materialize(dealt.select("_id", "_url", "_host", use, "_html", exemplar).mapInArrow(run, schema), "html-blocks")
+    different = parsed.groupBy("_host", "_use", "_sig").agg(F.first(F.struct("_same", "_other")).alias("_nodes"))
+    counts = different.groupBy("_host", "_use").agg(F.count("*").alias("_pages"))
     cell = lambda equal: lambda i: F.struct(i.alias("_node"), F.lit(equal).alias("_equal"))
     cells = F.concat(F.transform("_nodes._same", cell(1)), F.transform("_nodes._other", cell(0)))
-    votes = different.select("_host", F.inline(cells)).groupBy("_host", "_node").agg(F.count("*").alias("_seen"), F.sum("_equal").alias("_votes"))
+    votes = different.select("_host", "_use", F.inline(cells)).groupBy("_host", "_use", "_node").agg(F.count("*").alias("_seen"), F.sum("_equal").alias("_votes"))
     most = lambda c: F.col(c) > F.col("_pages") * share
     constant = F.when(most("_votes"), F.col("_node"))
     varied = F.when(most("_seen") & (F.col("_votes") <= F.col("_seen") * (1 - share)), F.col("_node"))
-    voted = votes.join(counts, "_host").where(F.col("_pages") >= least).groupBy("_host").agg(F.collect_set(constant).alias("_template"), F.collect_set(varied).alias("_slots"))
+    voted = votes.join(counts, ["_host", "_use"]).where(F.col("_pages") >= least).groupBy("_host", "_use").agg(F.collect_set(constant).alias("_template"), F.collect_set(varied).alias("_slots"))
     template = materialize(voted, "html-template")
-    few = F.broadcast if bound * 4 <= BROADCAST_BYTES else lambda df: df  # a host's votes name no more nodes than its exemplar has
-    whole = parsed.join(few(template), "_host", "left")
+    few = F.broadcast if bound * 4 <= BROADCAST_BYTES else lambda df: df  # a layout's votes name no more nodes than its exemplar has
+    whole = parsed.join(few(template), ["_host", "_use"], "left")
     among = lambda c, b: F.coalesce(F.array_contains(F.col(c), b["node"]), F.lit(False))
     chars = lambda keep: F.aggregate(F.filter("_blocks", keep), F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
     in_main = F.exists("_blocks", lambda b: b["main"])

@@ -247,6 +247,32 @@ def test_votes_decide_inside_and_outside_articles(spark):
     assert got == want | {10 + i: f"A long story that all of these pages tell alike Copy {i}" for i in range(3)}
 
 
+def test_layouts_of_a_host_have_templates_of_their_own(spark):
+    one = lambda i: f"<body><div>Menu</div><p>Story {i}</p></body>"
+    two = lambda i: f"<body><table><tr><td>Prices of the shop<td>Item {i}</table><h2>Call us</h2></body>"
+    rows = [(i, "http://a.example/", one(i)) for i in range(4)] + [(10 + i, "http://a.example/", two(i)) for i in range(4)] + [(20, "http://a.example/", ""), (21, "http://a.example/", None)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" for i in range(4)} | {10 + i: f"Item {i}" for i in range(4)} | {20: "", 21: ""}
+
+
+def test_long_and_deep_lists_are_matched_exactly(monkeypatch):
+    tree = lambda page: html_extract.measure(html_extract.parse(page)[0])
+    rng = np.random.default_rng(3)
+    kinds = [f"<div>{'<p></p>' * (i % 4)}{'<b></b>' * (i // 4)}</div>" for i in range(12)] + ["<h2></h2>", "<pre></pre>"]
+    for _ in range(20):
+        a, b = (tree("".join(rng.choice(kinds, 40))) for _ in range(2))
+        want = html_extract.align(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "CELLS", 30)
+            pairs = []
+            assert html_extract.align(a, b, pairs) == want == len(pairs)
+    rows = "".join(rng.choice(kinds[:12], 700))
+    a, b = tree("<pre></pre>" + rows + "<h2></h2>"), tree(rows + "<pre></pre>")
+    assert html_extract.align(a, b) == a.size - 2
+    a, b = tree("<div>" * 3000 + "<p></p>"), tree("<div>" * 3000 + "<p></p><p></p>")
+    assert html_extract.align(a, b) == a.size
+
+
 def test_tree_matching_by_brute_force():
     rng = np.random.default_rng(1)
 
