@@ -40,7 +40,6 @@ NOTICES = (
     ("proprietary", "all rights reserved no part of this may be reproduced"),
 )
 ERROR_SHARE = 0.1
-MOST_ERRORS = 6
 
 _WORDS = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in LOWER)
 SPANS = "array<struct<label string, start_word int, end_word int, errors int, similarity double>>"
@@ -64,7 +63,7 @@ def _scanner(notices: tuple[tuple[str, str], ...], share: float):
 
     patterns, seeds = [], {}
     for i, (label, notice) in enumerate(notices):
-        k = min(MOST_ERRORS, int(len(notice) * share))
+        k = int(len(notice) * share)
         for offset, piece in pieces(notice, k):
             seeds.setdefault(piece, []).append((i, offset))
         # The notice's words have to begin and end at words of the text.

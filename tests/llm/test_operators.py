@@ -238,6 +238,15 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_long_notices_may_differ_by_a_tenth():
+    for label, notice in (n for n in licenses.NOTICES if len(n[1]) > 90):
+        for n in (7, 9):
+            odd = list(notice)
+            for i in range(n):
+                odd[5 + i * 9] = "#"
+            assert [(h[0], h[3]) for h in licenses.fuzzy("foo " + "".join(odd) + " bar")] == [(label, n)]
+
+
 def test_votes_decide_inside_and_outside_articles(spark):
     page = lambda i: f"<body><h1>Title {i}</h1><div>Our site</div><article><p>Story {i} is told here in words {i * 7}</p><p>Share me</p><p>By <b>author {i}</b></p></article></body>"
     near = lambda i: f"<body><article><p>A long story that all of these pages tell alike</p><p>Copy {i}</p></article></body>"
