@@ -23,9 +23,13 @@ def semantic_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return hits.join(total, F.col("column") == F.col("_c")).select("column", "value", "n", E.percent(F.col("n"), F.col("_all")).alias("pct"))
 
 
-def mixed_shares(df: DataFrame, column: str, key: str, head: int = 200) -> DataFrame:
-    """numeric, number_words, other shares of the first values."""
-    first = df.where(E.q(column).isNotNull()).orderBy(E.q(key)).limit(head)
+def _first(df: DataFrame, key: str, head: int | None) -> DataFrame:
+    return df if head is None else df.orderBy(E.q(key)).limit(head)
+
+
+def mixed_shares(df: DataFrame, column: str, key: str, head: int | None = None) -> DataFrame:
+    """numeric, number_words, other shares of all values, or of the first ``head`` (the reference takes 200)."""
+    first = df.where(E.q(column).isNotNull()).transform(_first, key, head)
     v = E.q(column).cast("string")
     word = reduce(lambda a, b: a | b, [E.normal(v).contains(w) for w in C.NUMBER_WORDS])
     n = F.count(F.lit(1))
@@ -33,17 +37,17 @@ def mixed_shares(df: DataFrame, column: str, key: str, head: int = 200) -> DataF
     return first.agg(share(E.is_numeric(v)).alias("numeric"), share(~E.is_numeric(v) & word).alias("number_words"), share(~E.is_numeric(v) & ~word).alias("other"))
 
 
-def date_kinds(df: DataFrame, column: str, key: str, head: int = 200) -> DataFrame:
+def date_kinds(df: DataFrame, column: str, key: str, head: int | None = None) -> DataFrame:
     """kind, n of values over five characters with a digit: slash, dash or dot."""
     v = F.trim(E.q(column).cast("string"))
-    first = df.where(E.q(column).isNotNull()).orderBy(E.q(key)).limit(head).where((F.length(v) > 5) & v.rlike(r"\d"))
+    first = df.where(E.q(column).isNotNull()).transform(_first, key, head).where((F.length(v) > 5) & v.rlike(r"\d"))
     kind = F.when(v.contains("/"), "slash").when(v.contains("-"), "dash").when(v.contains("."), "dot")
     return first.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).where("kind is not null")
 
 
-def number_kinds(df: DataFrame, column: str, key: str, head: int = 200) -> DataFrame:
+def number_kinds(df: DataFrame, column: str, key: str, head: int | None = None) -> DataFrame:
     v = F.trim(E.q(column).cast("string"))
-    first = df.where(E.q(column).isNotNull()).orderBy(E.q(key)).limit(head)
+    first = df.where(E.q(column).isNotNull()).transform(_first, key, head)
     return first.groupBy(sampling.number_kind(v).alias("kind")).agg(F.count(F.lit(1)).alias("n")).where("kind is not null")
 
 

@@ -424,20 +424,27 @@ register(
 _FIRST = f"(SELECT trim(CAST({{c}} AS VARCHAR)) AS value FROM {source('dirty_orders')} WHERE {{c}} IS NOT NULL ORDER BY o_orderkey LIMIT 200)"
 register(
     "date_kinds_dirty_orders",
-    lambda s, d: validation.date_kinds(load(s, d, "dirty_orders"), "day_text", "o_orderkey"),
+    lambda s, d: validation.date_kinds(load(s, d, "dirty_orders"), "day_text", "o_orderkey", head=200),
     f"SELECT * FROM (SELECT CASE WHEN contains(value, '/') THEN 'slash' WHEN contains(value, '-') THEN 'dash' WHEN contains(value, '.') THEN 'dot' END AS kind, count(*) AS n FROM {_FIRST.format(c='day_text')} WHERE length(value) > 5 AND regexp_matches(value, '\\d') GROUP BY 1) WHERE kind IS NOT NULL",
 )
 register(
     "number_kinds_dirty_orders",
-    lambda s, d: validation.number_kinds(load(s, d, "dirty_orders"), "amount", "o_orderkey"),
+    lambda s, d: validation.number_kinds(load(s, d, "dirty_orders"), "amount", "o_orderkey", head=200),
     f"SELECT * FROM (SELECT CASE WHEN regexp_matches(value, '[$€£¥]') THEN 'currency' WHEN regexp_matches(value, '^\\d+\\.?\\d*$') THEN 'plain' WHEN regexp_matches(value, '\\d+[eE][+-]?\\d+') THEN 'scientific' WHEN contains(value, '%') AND regexp_matches(value, '\\d') THEN 'percentage' END AS kind, count(*) AS n FROM {_FIRST.format(c='amount')} GROUP BY 1) WHERE kind IS NOT NULL",
 )
 _WORDS = " OR ".join(f"contains({NORM}, '{w}')" for w in C.NUMBER_WORDS)
 register(
     "mixed_shares_dirty_orders",
-    lambda s, d: rounded(validation.mixed_shares(load(s, d, "dirty_orders"), "amount", "o_orderkey")),
+    lambda s, d: rounded(validation.mixed_shares(load(s, d, "dirty_orders"), "amount", "o_orderkey", head=200)),
     f"SELECT round(count(*) FILTER ({IS_NUMERIC}) / count(*), 4) AS numeric, round(count(*) FILTER (NOT {IS_NUMERIC} AND ({_WORDS})) / count(*), 4) AS number_words, round(count(*) FILTER (NOT {IS_NUMERIC} AND NOT ({_WORDS})) / count(*), 4) AS other FROM {_FIRST.format(c='amount')}",
 )
+# The same over all rows, which is what claims are checked against.
+for _name, _make in {
+    "date_kinds": lambda s, d: validation.date_kinds(load(s, d, "dirty_orders"), "day_text", "o_orderkey"),
+    "number_kinds": lambda s, d: validation.number_kinds(load(s, d, "dirty_orders"), "amount", "o_orderkey"),
+    "mixed_shares": lambda s, d: rounded(validation.mixed_shares(load(s, d, "dirty_orders"), "amount", "o_orderkey")),
+}.items():
+    register(f"{_name}_dirty_orders_whole", _make, REGISTRY[f"{_name}_dirty_orders"][1].replace(" ORDER BY o_orderkey LIMIT 200", ""))
 CLAIMS = [
     {"issue_type": "mixed_data_types", "affected_columns": ["amount"]},
     {"issue_type": "semantic_nulls", "affected_columns": ["priority"]},

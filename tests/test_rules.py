@@ -282,3 +282,10 @@ def test_column_classes_of_all_rows(spark):
     day = "CASE WHEN id > 0 THEN '2024-01-02' END AS nulls_first"
     df = spark.range(3000).coalesce(1).selectExpr(day, "CASE WHEN id < 2999 THEN '2024-01-02' ELSE 'odd' END AS odd_last", "CAST(NULL AS STRING) AS none")
     assert profile.column_classes(df) == {"nulls_first": "datetime", "odd_last": "categorical", "none": "categorical"}
+
+
+def test_claims_are_checked_over_all_rows(spark):
+    df = spark.range(600).selectExpr("id", "CASE WHEN id < 300 THEN '5' ELSE 'odd' END AS v", "CASE WHEN id < 300 THEN '2024-01-02' ELSE '01/02/2024' END AS d")
+    claims = [{"issue_type": "mixed", "affected_columns": ["v"]}, {"issue_type": "format", "affected_columns": ["d"]}]
+    assert [c["validation_status"] for c in validation.validate(df, claims, "id")["claims"]] == ["VERIFIED", "VERIFIED"]
+    assert validation.mixed_shares(df, "v", "id", head=200).first().numeric == 1.0
