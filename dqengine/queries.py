@@ -552,6 +552,7 @@ def _signal(s: SparkSession, d: str) -> DataFrame:
 register("rf_signal_lineitem", _signal)
 register("model_ranking_orders", lambda s, d: s.createDataFrame([(m["rank"], m["model_name"], m["confidence_score"]) for m in models.ranking(report.gather(load(s, d, "orders"), "o_orderstatus", "classification", AS_OF, with_model=False), "classification")], "rank int, model string, score double"))
 register("report_labels", lambda s, d: report.as_table(s, report.analyze(load(s, d, "labels"), "toxic", name="labels", as_of=AS_OF)))
+register("report_dirty_orders", lambda s, d: report.as_table(s, report.analyze(load(s, d, "dirty_orders"), "o_orderstatus", name="dirty_orders", as_of=AS_OF)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
