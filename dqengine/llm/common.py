@@ -26,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new local one in a local session
+    and an error on a cluster, whose executors could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark, "_dqengine_shared", None) or "file://" + tempfile.mkdtemp(prefix="dqengine-")
         spark._dqengine_shared = found
     return found
@@ -37,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, so later steps survive lost executors and don't repeat
-    what came before. The shuffle files behind it go as soon as it is written."""
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder (or to ``path``) and reads it back, so later steps survive lost executors and
+    don't repeat what came before. The shuffle files behind it go as soon as it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

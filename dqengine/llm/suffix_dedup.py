@@ -3,10 +3,13 @@
 Every byte covered by a string of ``window`` bytes that also starts in a document with a smaller id goes; strings are judged on
 the input and never cross documents. The suffix array is sparse: it holds the suffixes at anchors (see ``windows``), of which
 every window has one. Suffixes are compared by prefix polynomial hashes: a binary search finds the common extension of two of
-them in logarithmically many steps, a mergesort orders them, and what the hashes call equal is verified byte by byte.
+them in logarithmically many steps, a mergesort orders them, and what the hashes call equal is verified byte by byte: inside
+the sort where contexts differ, against the bytes of the instance it equals where a whole context repeats.
 
 A null text is empty. A repeated id, a null id or an id that is no whole number counts as a document after the earlier rows of
-that id, in order of text; null ids come last. Texts shorter than the window lose nothing.
+that id, in order of text; null ids come last; repeated rows of one id are ties and lose what an equal row before them has.
+Texts shorter than the window lose nothing; very long texts are read whole, one at a time; an empty table gives no rows. Other
+columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,12 +26,11 @@ from dqengine.llm import windows as W
 from dqengine.llm.common import freed, materialize, table, text_slices
 
 WINDOW = 50
-GRAM = 20
 
 
 def first_hits(rows: pa.Table, spec: W.Spec) -> pa.Table:
-    """Of the anchors of a part: spans around those whose context an earlier document has, and anchors to compare further."""
-    key, context, doc, pos = W.unpack(rows)
+    """Of the anchors of a part: hits of those whose context an earlier document has, and anchors to compare further."""
+    key, context, _, doc, pos = W.unpack(rows)
     order = np.argsort(key, kind="stable")
     key = key[order]
     head = W.heads(key)
@@ -42,29 +44,28 @@ def first_hits(rows: pa.Table, spec: W.Spec) -> pa.Table:
     size = np.diff(np.r_[head, len(key)])
     spread = np.repeat(np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head), size) if len(head) else np.zeros(0, bool)
     own = W.heads(key, context)
-    own_size = np.diff(np.r_[own, len(key)])
-    later = doc > np.repeat(doc[own], own_size)
-    kinds = np.add.reduceat(np.isin(np.arange(len(key)), own, assume_unique=True).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
-    needs = spread & ~later & np.repeat(kinds > 1, size)
-    return W.hit_table(doc[later], pos[later] - spec.reach, pos[later] + spec.gram + spec.reach, doc[needs], pos[needs])
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, W.Spec]:
-    """(_key, _spans) of documents (_key, _text) that have bytes to remove."""
-    spark = docs.sparkSession
-    spec = W.Spec(words=False, window=window, gram=gram, earlier=True)
-    parts = W.parts_of(spark)
+    first = np.repeat(own, np.diff(np.r_[own, len(key)]))
+    later = doc > doc[first]
+    kinds = np.repeat(np.add.reduceat(np.isin(np.arange(len(key)), own, assume_unique=True).astype(np.int64), head), size) if len(head) else np.zeros(0, np.int64)
+    open_ = spread & ~later & (kinds > 1)
+    needs, wide = open_ & (kinds <= spec.wide), open_ & (kinds > spec.wide)
+    found = W.hit_table(*W.around(doc[later], pos[later], doc[first[later]], pos[first[later]], spec), (doc[needs], pos[needs]), (doc[wide], pos[wide]))
+    return pa.concat_tables([found, W.passed_on(rows)])
+
+
+def repeats(docs: DataFrame, spec: W.Spec) -> DataFrame:
+    """(_span_key, _spans) of documents (_key, _text) that have bytes to remove."""
+    parts = W.parts_of(docs.sparkSession)
     hits = W.anchor_rows(docs, spec, parts).groupBy("part").applyInArrow(lambda rows: freed(first_hits(rows, spec)), W.HITS)
     hits = materialize(hits, "suffix-hits")
-    more = materialize(W.compared(docs, hits, spec, parts), "suffix-compared")
-    spans = hits.where(F.length("spans") > 0).select("doc", "spans").unionByName(more.select("doc", "spans"))
-    return spans.groupBy(F.col("doc").alias("_span_key")).agg(F.collect_list("spans").alias("_spans")), spec
+    return W.spans_by_doc(W.all_proofs(docs, hits, spec, parts, "suffix"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int | None = None, seed: int = 0) -> DataFrame:
     """Per row: the id, n_bytes, n_removed, n_spans, ``kept`` (the remaining bytes) and ``removed`` (spans of bytes)."""
     base = W.keyed(docs, id_col, text_col)
-    spans, _ = repeats(base, window, gram)
+    spec = W.Spec(words=False, window=window, gram=gram or max(1, window * 2 // 5), earlier=True, seed=seed)
+    spans = repeats(base, spec)
     own = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start int, end int>>")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *own.fields])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -77,7 +78,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 if not found:
                     rows.append((len(raw), 0, 0, raw.tobytes(), []))
                     continue
-                gone = W.covered(found, len(raw))
+                gone = W.proven(W.Units(raw, np.array([0, len(raw)])), found)
                 edge = np.flatnonzero(np.diff(np.r_[0, gone.view(np.int8), 0]))
                 rows.append((len(raw), int(gone.sum()), len(edge) // 2, raw[~gone].tobytes(), [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]))
             columns = list(zip(*rows))
