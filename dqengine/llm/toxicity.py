@@ -1,15 +1,20 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax trained jointly in numpy.
 
-A text is cut into words; each word, framed by white space, gives its character n-grams of 3 to 6 bytes. The n-grams of a
+A text is cut into words; each word, framed by white space, gives its character n-grams of 3 to 6 characters. The n-grams of a
 few neighbouring words are averaged as embedding vectors and a two-class softmax reads the average, so an unseen
-misspelling scores through the n-grams it shares with known words. A text's score is that of its worst window: one insult
-in a long text counts as in a short one.
+misspelling scores through the n-grams it shares with known words. A text is read by its worst windows of 2, 5 and 20 words and
+its 8 worst words, so that one insult in a long text counts as in a short one and faintly toxic words count together; a
+logistic fit turns these readings and the text's length into a score.
 
 Training sees labels of whole texts only. It starts from n-gram log-odds, takes the worst window of each toxic text as a
-positive example and random and worst windows of the others as negative ones, trains, and picks the windows anew.
-
-Null or empty texts have no words and get the model's score of an empty bag. Null labels are ignored; a doc_id labelled
-several times counts as toxic if any label says so; without both classes every text gets the share of toxic labels.
+positive example and random and worst windows of the others as negative ones, trains, and picks the windows anew. The logistic
+fit uses readings out of fold: a third of the texts is read by a model trained on the other two thirds, for texts that training
+has seen are read too well.
+
+Null or empty texts have no words and get the score of readings of 0. Null labels are ignored; a doc_id labelled
+several times counts as toxic if any label says so; without both classes every text gets the share of toxic labels. Rows are
+scored one by one: repeated rows get equal scores, very long texts are read whole, an empty table gives no rows. Columns to keep
+are renamed on the way, so names like ``score`` can't clash.
 """
 
 from __future__ import annotations
@@ -22,21 +27,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from dqengine.llm.common import LOWER, table, text_slices, utf8
+from dqengine.llm.common import LOWER, materialize, table, text_slices, utf8
 
 SIZES = (3, 4, 5, 6)
 BITS = 19
 DIM = 8
-WINDOW = 5
+WINDOW = 10
+"""Words of a training example."""
+WINDOWS = (2, 5, 20)
+"""Words of the windows that a text is read by."""
+TOP = 8
+"""Worst single words that it is read by as well."""
+READINGS = len(WINDOWS) + TOP + 1
+FOLDS = 3
 TRAIN_ROWS = 8_000
 """Labelled rows that training may use, chosen by hash; the classifier's sample bound."""
 TRAIN_BYTES = 64 << 20
 """Bytes of training texts, in the same order, after which no further text is chosen. A chosen text is read whole."""
 SEED = 20240
 
-_LOWER = np.frombuffer(LOWER, np.uint8)
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LOWER = np.frombuffer(LOWER, np.uint8).astype(np.uint32)
 _BASE = np.uint32(0x01000193)
 
 
@@ -52,22 +64,29 @@ class Bag:
     word_text: np.ndarray = field(repr=False)
 
     @classmethod
-    def of(cls, raw: np.ndarray, at: np.ndarray) -> Bag:
+    def of(cls, codes: np.ndarray, at: np.ndarray) -> Bag:
+        """Of texts' code points, one text after the other, and where each begins."""
         n = len(at) - 1
         lengths = np.diff(at)
-        low = np.full(int(at[-1]) + n + 1, 32, np.uint8)
-        place = np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), lengths)
-        low[place] = _LOWER[raw]
-        space = _SPACE[low]
+        low = np.full(int(at[-1]) + n + 1, 32, np.uint32)
+        place = np.arange(len(codes)) + np.repeat(np.arange(1, n + 1), lengths)
+        low[place] = np.where(codes < 128, _LOWER[np.minimum(codes, 127)], codes)
+        space = (low == 32) | ((low >= 9) & (low <= 13))
         low[space] = 32
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         start, end = edge[::2], edge[1::2]
         text = np.searchsorted(at[1:] + np.arange(1, n + 1), start, side="right")
         return cls(low, space, start, end, n, text)
 
+    @classmethod
+    def of_utf8(cls, raw: np.ndarray, at: np.ndarray) -> Bag:
+        """Of texts' UTF-8 bytes."""
+        codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        return cls.of(codes, np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][at])
+
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each size: the bucket of the n-gram at each place, and whether it lies in one framed word."""
-        one = self.low.astype(np.uint32) + np.uint32(1)
+        one = self.low * np.uint32(0x9E3779B1) + np.uint32(1)
         power = [np.uint32(pow(int(_BASE), k, 1 << 32)) for k in range(8)]
         two = one[:-1] * power[1] + one[1:]
         four = two[:-2] * power[2] + two[2:] if len(two) > 2 else two[:0]
@@ -89,47 +108,76 @@ class Bag:
             h *= np.uint32(0xC2B2AE35)
             yield h >> np.uint32(32 - BITS), gaps[n - 2 : n - 2 + m] == gaps[:m]  # no space inside
 
-    def window_means(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean value of the n-grams of each window of words; first and last word of the window that starts at each word."""
+    def sums(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the values of all n-grams before each word, and their number."""
         total = np.zeros(len(self.low) + 1)
         for n, (bucket, inside) in zip(SIZES, self.grams()):
             at = value[bucket]
             at[~inside] = 0
-            total[2 : 2 + len(at)] += at  # belongs to the word of its second byte; shifted by one for sums
+            total[2 : 2 + len(at)] += at  # belongs to the word of its second character; shifted by one for sums
         total = np.cumsum(total)
         size = self.word_end - self.word_at
         count = sum(np.maximum(0, size + 3 - n) for n in SIZES)
-        sums = np.r_[0, np.cumsum(total[self.word_end] - total[self.word_at])]
-        counts = np.r_[0, np.cumsum(count)]
-        first = np.arange(len(size))
-        last_of_text = np.searchsorted(self.word_text, self.word_text, side="right")
-        last = np.minimum(first + WINDOW, last_of_text)
-        return (sums[last] - sums[first]) / np.maximum(1, counts[last] - counts[first]), first, last
-
-    def worst(self, value: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Largest window mean of each text plus bias, and the bytes where that window starts and ends."""
-        score, start, end = np.full(self.texts, bias), np.zeros(self.texts, np.int64), np.zeros(self.texts, np.int64)
+        return np.r_[0, np.cumsum(total[self.word_end] - total[self.word_at])], np.r_[0, np.cumsum(count)]
+
+    def window_means(self, sums: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean value of the n-grams of the windows that start at each word, and the word after each window."""
+        first = np.arange(len(self.word_at))
+        last = np.minimum(first + words, np.searchsorted(self.word_text, self.word_text, side="right"))
+        return (sums[last] - sums[first]) / np.maximum(1, counts[last] - counts[first]), last
+
+    def readings(self, value: np.ndarray) -> np.ndarray:
+        """(texts, ``READINGS``): the largest mean of each text for each width and for single words the ``TOP`` largest, and the
+        logarithm of its words."""
+        out = np.zeros((self.texts, READINGS))
+        if len(self.word_at):
+            heads = np.flatnonzero(np.r_[True, self.word_text[1:] != self.word_text[:-1]])
+            which, sums = self.word_text[heads], self.sums(value)
+            for i, words in enumerate(WINDOWS):
+                out[which, i] = np.maximum.reduceat(self.window_means(*sums, words)[0], heads)
+            size = np.diff(np.r_[heads, len(self.word_at)])
+            out[which, -1] = np.log1p(size)
+            single = self.window_means(*sums, 1)[0]
+            order = np.lexsort((-single, self.word_text))
+            rank = np.arange(len(order)) - np.repeat(heads, size)
+            order, rank = order[rank < TOP], rank[rank < TOP]
+            out[self.word_text[order], len(WINDOWS) + rank] = single[order]
+        return out
+
+    def worst(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the worst training window of each text starts and ends."""
+        start, end = np.zeros(self.texts, np.int64), np.zeros(self.texts, np.int64)
         if len(self.word_at):
-            mean, first, last = self.window_means(value)
+            mean, last = self.window_means(*self.sums(value), WINDOW)
             heads = np.flatnonzero(np.r_[True, self.word_text[1:] != self.word_text[:-1]])
             which = self.word_text[heads]
             top = np.maximum.reduceat(mean, heads)
-            score[which] = top + bias
             hit = np.flatnonzero(mean == np.repeat(top, np.diff(np.r_[heads, len(mean)])))
             hit = hit[np.r_[True, self.word_text[hit[1:]] != self.word_text[hit[:-1]]]]
-            start[which], end[which] = self.word_at[first[hit]], self.word_end[last[hit] - 1]
-        return score, start, end
+            start[which], end[which] = self.word_at[hit], self.word_end[last[hit] - 1]
+        return start, end
 
 
 @dataclass
 class Model:
-    """What scoring needs: the softmax's reading of each n-gram's vector, and its bias."""
+    """What scoring needs: the softmax's reading of each n-gram's vector, and the weights of a text's readings."""
 
     value: np.ndarray
+    weights: np.ndarray
     bias: float
 
     def scores(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(Bag.of(raw, at).worst(self.value, self.bias)[0], -30, 30)))
+        return _logistic(Bag.of_utf8(raw, at).readings(self.value) @ self.weights + self.bias)
+
+
+def constant(share: float) -> Model:
+    """A model that scores every text alike."""
+    p = min(max(share, 1e-3), 1 - 1e-3)
+    return Model(np.zeros(1 << BITS, np.float32), np.zeros(READINGS), float(np.log(p / (1 - p))))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +190,33 @@ def _chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int
     yield from zip(cuts, cuts[1:])
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 4, rate: float = 0.5) -> Model:
-    """Trains embeddings and softmax jointly; see the module's text for how windows are chosen."""
+def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 4, rate: float = 0.5, folds: int = FOLDS) -> Model:
+    """Trains embeddings and softmax jointly, then the logistic fit on readings out of fold; where a fold would lack a class, on
+    readings of the texts trained on."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
-        p = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
+        return constant(share)
+    value = _values(texts, toxic, rounds, epochs, rate)
+    fold = np.random.default_rng(SEED + 1).permutation(len(texts)) % folds
+    seen = np.zeros((len(texts), READINGS))
+    apart = all(0 < toxic[fold != k].mean() < 1 for k in range(folds) if (fold != k).any())
+    for k in range(folds) if apart else (-1,):
+        own = np.flatnonzero(fold == k) if apart else np.arange(len(texts))
+        others = np.flatnonzero(fold != k)
+        read_by = _values([texts[i] for i in others], toxic[others], rounds, epochs, rate) if apart else value
+        for a, b in _chunks([texts[i] for i in own]):
+            seen[own[a:b]] = Bag.of_utf8(*_joined([texts[i] for i in own[a:b]])).readings(read_by)
+    weights, bias = _calibrate(seen, toxic)
+    return Model(value, weights, bias)
+
+
+def _values(texts: list[bytes], toxic: np.ndarray, rounds: int, epochs: int, rate: float) -> np.ndarray:
+    """The softmax's reading of each n-gram's vector; see the module's text for how windows are chosen."""
     rng = np.random.default_rng(SEED)
     seen = np.zeros((2, 1 << BITS), np.float32)
     mark = np.zeros(1 << BITS, np.float32)
     for text, y in zip(texts, toxic):
-        bag = Bag.of(*_joined([text]))
+        bag = Bag.of_utf8(*_joined([text]))
         for bucket, inside in bag.grams():
             mark[bucket[inside]] = 1
         seen[int(y)] += mark
@@ -166,20 +230,20 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 4,
     for turn in range(rounds):
         examples, labels = [], []
         for a, b in _chunks(texts):
-            bag = Bag.of(*_joined(texts[a:b]))
-            _, start, end = bag.worst(value, 0.0)
+            bag = Bag.of_utf8(*_joined(texts[a:b]))
+            start, end = bag.worst(value)
             for i in range(b - a):
                 if end[i]:
-                    examples.append(bag.low[start[i] : end[i]].tobytes())
+                    examples.append(bag.low[start[i] : end[i]])
                     labels.append(toxic[a + i])
             others = np.flatnonzero(toxic[a + bag.word_text] == 0)
             for w in rng.choice(others, min(len(others), 3 * (b - a)), replace=False) if len(others) else ():
                 last = min(w + WINDOW, len(bag.word_at)) - 1
                 if bag.word_text[last] == bag.word_text[w]:
-                    examples.append(bag.low[bag.word_at[w] : bag.word_end[last]].tobytes())
+                    examples.append(bag.low[bag.word_at[w] : bag.word_end[last]])
                     labels.append(0)
         labels = np.array(labels, np.int64)
-        bag = Bag.of(*_joined(examples))
+        bag = Bag.of(np.concatenate(examples) if examples else np.zeros(0, np.uint32), np.r_[0, np.cumsum([len(x) for x in examples])].astype(np.int64))
         bucket, head = _by_text(bag, len(examples))
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(len(examples)), max(1, len(examples) // 256)):
@@ -208,10 +272,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 4,
                 slow_v[which] += (grad**2).mean(1)
                 vectors[which] -= rate * grad / np.sqrt(slow_v[which])[:, None]
         value = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32)
-    shift = float(bias[1] - bias[0])
-    logit = np.concatenate([Bag.of(*_joined(texts[a:b])).worst(value, shift)[0] for a, b in _chunks(texts)])
-    slope, offset = _calibrate(logit, toxic)
-    return Model((value * slope).astype(np.float32), shift * slope + offset)
+    return value
 
 
 def _by_text(bag: Bag, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,17 +291,15 @@ def _by_text(bag: Bag, texts: int) -> tuple[np.ndarray, np.ndarray]:
     return out, head
 
 
-def _calibrate(logit: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> tuple[float, float]:
-    """Logistic fit of labels on window logits (Newton), held near slope 1."""
-    x = np.stack([logit, np.ones_like(logit)], 1)
-    w = np.array([1.0, 0.0])
+def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic fit (Newton, standardized, ridge)."""
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[(x - mean) / spread, np.ones(len(x))]
+    w, held = np.zeros(z.shape[1]), ridge * np.r_[np.ones(x.shape[1]), 1e-6]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * (w - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
-        w -= np.linalg.solve(h, g)
-        w[0] = min(max(w[0], 0.05), 20)
-    return float(w[0]), float(w[1])
+        p = _logistic(z @ w)
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(held), z.T @ (p - y) + held * w)
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum())
 
 
 def held_out(id_col: Column) -> Column:
@@ -249,7 +308,8 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most ``rows`` labelled documents (hash order) that are not held out, fewer where those before reach
-    ``TRAIN_BYTES``; texts are read whole. The ids are bounded by ``rows``, so they are broadcast to the scans of the texts."""
+    ``TRAIN_BYTES``; texts are read whole, one for each id. The ids are bounded by ``rows``, so they are broadcast to the scan of the
+    texts."""
     ids = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("_id"))
@@ -257,30 +317,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("_id", F.lit(SEED)), "_id")
         .limit(rows)
     )
-    picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(ids), "_id")
-    size = picked.groupBy("_id").agg(F.sum(F.octet_length("_text")).alias("_size")).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").toArrow()
-    sizes = size["_size"].to_numpy()
-    chosen = int(np.searchsorted(np.cumsum(sizes) - sizes, TRAIN_BYTES))  # those with fewer bytes before them
-    if chosen < len(sizes):
-        picked = picked.join(F.broadcast(docs.sparkSession.createDataFrame(size.select(["_id"]).slice(0, chosen))), "_id")
-    got = picked.toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    # One text for each id: of repeated ids the least text.
+    picked = texts.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    picked = materialize(picked.withColumn("_size", F.octet_length("_text")), "toxicity-sample")
+    order = Window.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = picked.select("_id", F.coalesce(F.sum("_size").over(order), F.lit(0)).alias("_before")).where(F.col("_before") < TRAIN_BYTES)  # of at most ``rows`` sizes
+    got = picked.join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").toArrow().sort_by("_id")
     return fit(got["_text"].cast(pa.binary()).to_pylist(), np.array(got["_y"].to_pylist(), np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """The columns ``keep`` (the id, if None) of every row with ``score`` and ``predicted``."""
     keep = keep or [id_col]
+    text = "_scored_text"
+    kept_as = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept_as)], F.col(text_col).alias(text))
     schema = T.StructType([docs.schema[c] for c in keep]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    shared = docs.sparkSession.sparkContext.broadcast((model.value, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.value, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Model(*shared.value)
-        for part in text_slices(batches, text_col, 1 << 19):
-            found = ready.scores(*utf8(part.column(text_col)))
-            kept = [part.column(c) for c in keep]
+        for part in text_slices(batches, text, 1 << 18):
+            found = ready.scores(*utf8(part.column(text)))
+            kept = [part.column(c) for c in kept_as]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found), pa.array((found >= threshold).astype(np.int32))], schema.names)
 
-    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
