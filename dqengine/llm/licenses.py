@@ -5,14 +5,18 @@ in any such copy (pigeonhole), so an automaton of all pieces finds every candida
 matches the notice with at most k errors in the few characters around it and reports span and errors.
 
 Texts are compared as words: A-Z lower-cased, runs of digits, a-z and anything beyond ASCII, joined by one space. A null text
-has no words. Rows are independent: repeated rows and other columns don't matter, and texts are scanned whole.
+has no words, an empty one no spans. Rows are independent: repeated rows and other columns don't matter; texts are scanned
+whole, in time that grows with their length and their notices; an empty table gives no rows. Notices that overlap with equally
+many errors are ties and all reported.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,34 +83,45 @@ def fuzzy(line: str, notices: tuple[tuple[str, str], ...] = NOTICES, share: floa
     """(label, start, end, errors, similarity) of every notice in a line of normalized words; offsets are the line's. ``line``
     holds the words' UTF-8 bytes read as Latin-1, so that a character is a byte."""
     automaton, patterns = _scanner(notices, share)
-    windows: dict[int, list[list[int]]] = {}
+    starts: dict[int, set[int]] = {}
     for end, (size, where) in automaton.iter(line):
-        start = end + 1 - size
         for i, offset in where:
-            _, notice, k, _ = patterns[i]
-            a, b = start - offset - k - 1, start - offset + len(notice) + k + 1
-            have = windows.setdefault(i, [])
-            if have and a <= have[-1][1]:
-                have[-1][1] = max(b, have[-1][1])
-            else:
-                have.append([a, b])
-    found = []
-    for i, spans in windows.items():
-        label, notice, _, pattern = patterns[i]
-        for a, b in spans:
-            for m in pattern.finditer(line, max(0, a), min(len(line), b)):
+            starts.setdefault(i, set()).add(end + 1 - size - offset)
+    found = set()
+    for i, places in starts.items():
+        label, notice, k, pattern = patterns[i]
+        for first, last in near_places(sorted(places), 2 * k + 1, len(notice)):
+            for m in pattern.finditer(line, max(0, first - k - 1), min(len(line), last + len(notice) + k + 1)):
                 errors = sum(m.fuzzy_counts)
-                found.append((label, m.start(), m.end(), errors, 1 - errors / len(notice)))
-    return clearest(found)
+                found.add((label, m.start(), m.end(), errors, 1 - errors / len(notice)))
+    return clearest(list(found))
+
+
+def near_places(places: list[int], gap: int, most: int) -> Iterator[tuple[int, int]]:
+    """First and last of neighbours that are no further apart than ``gap``; none spans more than ``most``."""
+    first = last = None
+    for p in places:
+        if first is None or p - last > gap or p - first > most:
+            if first is not None:
+                yield first, last
+            first = p
+        last = p
+    if first is not None:
+        yield first, last
 
 
 def clearest(found: list[tuple]) -> list[tuple]:
     """Of overlapping spans those with the fewest errors, for notices that differ by a digit or two lie within each other's
-    errors; sorted by place."""
+    errors; sorted by place. Kept spans stand in order of start, and only those that start within the longest span are met."""
+    longest = max((hit[2] - hit[1] for hit in found), default=0)
+    starts: list[int] = []
     kept: list[tuple] = []
     for hit in sorted(found, key=lambda x: (x[3], x[1], x[0])):
-        if all(hit[1] >= other[2] or hit[2] <= other[1] or hit[3] == other[3] for other in kept):
-            kept.append(hit)
+        near = kept[bisect.bisect_left(starts, hit[1] - longest) : bisect.bisect_left(starts, hit[2])]
+        if all(hit[1] >= other[2] or hit[2] <= other[1] or hit[3] == other[3] for other in near):
+            at = bisect.bisect_right(starts, hit[1])
+            starts.insert(at, hit[1])
+            kept.insert(at, hit)
     return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -142,7 +157,8 @@ def scan(
             for text in part.column(text_col).to_pylist():
                 own_words = words(text or "")
                 line = b" %b " % b" ".join(own_words)
-                place = lambda at: line.count(b" ", 0, at + 1) - 1  # noqa: B023, E731  the word that starts after the space at ``at``
+                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                place = lambda at: int(np.searchsorted(spaces, at, side="right")) - 1  # noqa: B023, E731  the word that starts after the space at ``at``
                 counts.append(len(own_words))
                 bases.append([{"label": label, "start_word": place(at), "end_word": place(at) + size, "errors": 0, "similarity": 1.0} for phrase, label in base.items() for size in (len(phrase.split()),) for _, at in base_hits(line, {phrase: label})])
                 hits = fuzzy(line[1:-1].decode("latin-1"), notices, share)
