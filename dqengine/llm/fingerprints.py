@@ -6,11 +6,14 @@ bits) follows the text's length and is halved while the signature is short; a fi
 twice the block``. Two fingerprints are compared where their block sizes are equal or differ by a factor of two: likeness is
 1 - d / (n + m), d the edit distance with insertions and deletions of cost 1, if they share seven characters in a row, else 0.
 
-A null text is empty; the empty text's fingerprint is ``4::``. Equal texts have equal fingerprints and likeness 1.
+A null text is empty; the empty text's fingerprint is ``4::``. Equal texts have equal fingerprints and likeness 1. Very long texts
+are hashed whole, one at a time; an empty table gives no rows. Ids may be of any type that has an order; repeated ids are ties
+that a hash of the text orders. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,9 @@ LOWEST = 2
 COMMON = 7
 BUCKETS = 4
 """Ranges of ids for each shuffle partition."""
+SAMPLES = 32
+"""Rows of the sample that gives the borders, for each range."""
+SEED = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -136,31 +142,38 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (_id, _text, _bucket, _guest) by ranges of the id, each range closed by a guest: the first row of the next range
-    (of the first range after the last). Only range borders, a fixed number for each partition, pass the driver."""
+    """Rows (_id, _text, _bucket, _guest) by ranges of (id, hash of the text, a random number), null ids last, each range closed by
+    a guest: the first row of the next range (of the first range after the last). Borders come from a random sample of
+    ``SAMPLES`` rows a range, which passes the driver; ranges of repeated ids and even of equal rows are as long as others."""
     spark = docs.sparkSession
     count = BUCKETS * partitions(spark)
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    borders = sorted({int(b) for b in base.where("_id is not null").approxQuantile("_id", [i / count for i in range(1, count)], 0.2 / count)} if count > 1 else ())
-    # Borders below an id, counted by a binary search written as nested cases; null ids come last.
-    def place(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(F.col("_id") <= borders[mid], place(a, mid)).otherwise(place(mid + 1, b))
-
-    base = base.withColumn("_hash", F.xxhash64("_text")).withColumn("_bucket", F.when(F.col("_id").isNull(), F.lit(len(borders))).otherwise(place(0, len(borders))))
-    firsts = sorted((r["_bucket"], r["_f"]["_id"], r["_f"]["_hash"]) for r in base.groupBy("_bucket").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash")).alias("_f")).collect())
+    base = base.withColumn("_hash", F.xxhash64("_text")).withColumn("_spread", F.rand(SEED))
+    order = lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1], r[2])
+    sample = base.select("_id", "_hash", "_spread").orderBy(F.rand(SEED + 1)).limit(SAMPLES * count).collect()
+    sample = sorted(map(order, sample))
+    borders = [sample[i * len(sample) // count] for i in range(1, count)] if len(sample) >= count else []
+    schema = T.StructType([*base.schema.fields]).add("_bucket", "integer")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("_id", "_hash", "_spread")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bisect.bisect_right(borders, order(r)) for r in rows], pa.int32())], [*batch.schema.names, "_bucket"])
+
+    short = T.StructType([f for f in schema if f.name != "_text"])
+    dealt = base.drop("_text").mapInArrow(deal, short)
+    firsts = dealt.groupBy("_bucket").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash")).alias("_f"))
+    firsts = sorted((r["_bucket"], r["_f"]["_id"], r["_f"]["_hash"]) for r in firsts.collect())
     rows = [(firsts[i - 1][0], f[1], f[2]) for i, f in enumerate(firsts)]
-    guests = spark.createDataFrame(rows, T.StructType([T.StructField("_to", T.IntegerType()), T.StructField("_first", T.LongType()), T.StructField("_fhash", T.LongType())]))
-    marked = base.join(F.broadcast(guests), F.col("_id").cast("long").eqNullSafe(F.col("_first")) & (F.col("_hash") == F.col("_fhash")), "left")
-    own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g"))
-    guest = F.struct(F.col("_to").alias("b"), F.lit(1).alias("g"))
-    spread = marked.select("_id", "_text", "_hash", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("_x"))
+    wanted = spark.createDataFrame(rows, T.StructType([T.StructField("_to", T.IntegerType()), T.StructField("_first", base.schema["_id"].dataType), T.StructField("_fhash", T.LongType())]))
+    # One row a range, whatever number of equal rows there is.
+    guests = base.join(F.broadcast(wanted), F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_hash") == F.col("_fhash")))
+    guests = guests.groupBy("_to").agg(F.first("_id").alias("_id"), F.min("_text").alias("_text")).select("_id", "_text", F.lit(0).cast("long").alias("_hash"), F.lit(0.0).alias("_spread"), F.col("_to").alias("_bucket"), F.lit(1).alias("_guest"))
+    own = base.mapInArrow(deal, schema).withColumn("_guest", F.lit(0))
     return (
-        spread.select("_id", "_text", "_hash", F.col("_x.b").alias("_bucket"), F.col("_x.g").alias("_guest"))
+        own.unionByName(guests)
         .repartition(partitions(spark), "_bucket")
-        .sortWithinPartitions("_bucket", "_guest", F.col("_id").asc_nulls_last(), "_hash")
+        .sortWithinPartitions("_bucket", "_guest", F.col("_id").asc_nulls_last(), "_hash", "_spread")
         .select("_id", "_text", "_bucket", "_guest")
     )
 
