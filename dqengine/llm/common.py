@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,22 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS = 10_000
+"""Most keys of a join that are taken for hot and broadcast; each has more than that part of all rows."""
+
+
+def join_hot(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str], weight: str) -> DataFrame:
+    """left joined with right, whose keys are unique and whose ``weight`` says how many rows of left a key has. Keys with more than
+    a ``HOT_KEYS``-th of all rows, which can't be more than ``HOT_KEYS``, are broadcast, so no task gathers such a key's rows."""
+    most = max(1_000, int((right.agg(F.sum(weight)).first()[0] or 0) / HOT_KEYS) + 1)
+    hot, cold = right.where(F.col(weight) > most), right.where(F.col(weight) <= most)
+    equal = lambda names: reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in zip(left_keys, names)])
+    own = [f"_hot_key{i}" for i in range(len(left_keys))]
+    hot_keys = F.broadcast(hot.select(*[F.col(c).alias(k) for c, k in zip(right_keys, own)]))
+    rest = left.join(hot_keys, equal(own), "left_anti").join(cold, equal(right_keys))
+    return left.join(F.broadcast(hot), equal(right_keys)).unionByName(rest).drop(*right_keys)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

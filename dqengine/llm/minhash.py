@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqengine.llm import windows as W
-from dqengine.llm.common import LOWER, freed, materialize, struct_of, table, text_slices, utf8
+from dqengine.llm.common import LOWER, freed, join_hot, materialize, struct_of, table, text_slices, utf8
 
 COORDINATES = 64
 MATCHES = 36
@@ -47,8 +47,6 @@ CLOSE = 8
 """Coordinates in which a member of a long list may differ from its star's centre."""
 FREQUENT = 64
 """Classes of a posting from which on all count as equally frequent."""
-HOT_KEYS = 10_000
-"""Most keys of a join that are taken for hot and broadcast; each has more than that part of all rows."""
 SEED = 99
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -276,17 +274,7 @@ def in_pairs_of_blocks(rows: DataFrame, group: str, block: int, parts: int) -> D
 def sized(rows: DataFrame, group: str) -> DataFrame:
     """rows with _size, how many of them are in their group; groups of one go."""
     sizes = rows.groupBy(F.col(group).alias("_sized")).agg(F.count("*").alias("_size")).where("_size > 1")
-    return join_hot(rows, group, sizes, "_sized", "_size")
-
-
-def join_hot(left: DataFrame, left_key: str, right: DataFrame, right_key: str, weight: str) -> DataFrame:
-    """left joined with right, whose keys are unique and whose ``weight`` says how many rows of left a key has. Keys with more than
-    a ``HOT_KEYS``-th of all rows, which can't be more than ``HOT_KEYS``, are broadcast, so no task gathers such a key's rows."""
-    most = max(1_000, int((right.agg(F.sum(weight)).first()[0] or 0) / HOT_KEYS) + 1)
-    hot, cold = right.where(F.col(weight) > most), right.where(F.col(weight) <= most)
-    hot_keys = F.broadcast(hot.select(F.col(right_key).alias("_hot_key")))
-    rest = left.join(hot_keys, F.col(left_key) == F.col("_hot_key"), "left_anti").join(cold, F.col(left_key) == F.col(right_key))
-    return left.join(F.broadcast(hot), F.col(left_key) == F.col(right_key)).unionByName(rest).drop(right_key)
+    return join_hot(rows, [group], sizes, ["_sized"], "_size")
 
 
 def centres_of(stars: DataFrame) -> DataFrame:
@@ -330,10 +318,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     least = lambda df: df.groupBy(F.col("a").alias("_at")).agg(F.least(F.min("b"), F.col("_at")).alias("_m"), F.count("*").alias("_n"))
     while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = join_hot(both, "a", least(both), "_at", "_n").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        large = join_hot(both, ["a"], least(both), ["_at"], "_n").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         large = materialize(large.where("a <> b").distinct(), name)
         small = large.groupBy(F.col("a").alias("_at")).agg(F.min("b").alias("_m"), F.count("*").alias("_n"))
-        step = join_hot(large, "a", small, "_at", "_n").select(F.col("b").alias("x"), F.col("_m").alias("y"))
+        step = join_hot(large, ["a"], small, ["_at"], "_n").select(F.col("b").alias("x"), F.col("_m").alias("y"))
         step = step.unionByName(small.select(F.col("_at").alias("x"), F.col("_m").alias("y"))).where("x <> y")
         now = materialize(step.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
     own = now.groupBy(F.col("a").alias("_key")).agg(F.min("b").alias("_label"))
@@ -512,7 +500,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(edges, "minhash-components").select(F.col("_key").alias("_rep_key"), "_label")
     labelled = sets.join(labels, F.col("_rep") == F.col("_rep_key"), "left").select("_of_class", "_rows", F.coalesce("_label", "_rep").alias("_component"))
     labelled = materialize(labelled, "minhash-labelled")
-    whole = join_hot(every.where("_n > 0").select("_key", "_class", "_n"), "_class", labelled, "_of_class", "_rows")
+    whole = join_hot(every.where("_n > 0").select("_key", "_class", "_n"), ["_class"], labelled, ["_of_class"], "_rows")
     whole = whole.select("_key", "_n", "_component").unionByName(every.where("_n = 0").select("_key", "_n", F.col("_key").alias("_component")))
     named = whole.select(F.col("_key").alias("_whole_key"), F.col("_n").cast("long").alias("n_shingles"), (F.col("_key") == F.col("_component")).alias("kept"), "_component")
     if W.natural(base):

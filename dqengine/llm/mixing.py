@@ -67,12 +67,14 @@ def mix(
     along (the id, if None).
 
     A null text has size 0; documents of size 0 are never taken. A null source is a source of its own. Repeated rows are
-    documents of their own; they draw the same number, so which of two equal rows is taken cannot be told apart. A null id
-    draws like any other value. An empty table gives no rows.
+    documents of their own; rows equal in id, text and all columns to keep draw the same number, so which of them is taken
+    cannot be told apart. A null id draws like any other value. Very long texts count whole. An empty table gives no rows.
+    Columns to keep travel under names of their own, so theirs can't clash.
     """
     keep = keep or [id_col]
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    more = [F.col(c) for c in keep if c not in (id_col, text_col) and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), *more)
     base = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(source_col).cast("string").alias("_source"), size.alias("size"), draw.alias("_draw"))
     base = materialize(base.withColumn("_class", F.when(F.col("size") > 0, F.length(F.bin("size")))), "mix-sizes")
     classes = materialize(base.groupBy("_source", "_class").agg(F.sum("size").alias("_words"), F.count("*").alias("_docs")), "mix-classes")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqengine.llm.common import freed, materialize, partitions, struct_of, text_slices, utf8
+from dqengine.llm.common import freed, join_hot, materialize, partitions, struct_of, text_slices, utf8
 
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB ^ 0x5DEECE66C)
 SLICE = 1 << 18
@@ -506,9 +506,9 @@ def wide_hits(docs: DataFrame, hits: DataFrame, spec: Spec) -> DataFrame:
 
     rows = materialize(_with_needs(docs, hits, "wide").mapInArrow(windows, WINDOWS), "wide-windows")
     place = F.struct("doc", "start")
-    ends = rows.groupBy(F.col("one").alias("_one"), F.col("two").alias("_two")).agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-    ends = ends.where(F.col("_first.doc") < F.col("_last.doc") if spec.earlier else F.col("_first") < F.col("_last"))
-    joined = rows.join(ends, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")))
+    ends = rows.groupBy(F.col("one").alias("_one"), F.col("two").alias("_two")).agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("_n"))
+    ends = materialize(ends.where(F.col("_first.doc") < F.col("_last.doc") if spec.earlier else F.col("_first") < F.col("_last")), "wide-ends")
+    joined = join_hot(rows, ["one", "two"], ends, ["_one", "_two"], "_n")
     mate = F.col("_first") if spec.earlier else F.when(place == F.col("_first"), F.col("_last")).otherwise(F.col("_first"))
     found = (joined.where(F.col("doc") > F.col("_first.doc")) if spec.earlier else joined).withColumn("_mate", mate)
     found = found.select("doc", F.col("start").cast("long").alias("start"), F.col("_mate.doc").alias("mate"), (F.col("_mate.start") - F.col("start")).cast("long").alias("shift"))
