@@ -75,10 +75,3 @@ REGRESSORS = [
     ("LightGBM Regressor", True, True, False),
     ("ElasticNet Regression", False, False, True),
 ]
-PREPROCESSING = {
-    "imputation": ["Simple Imputation", "KNN Imputation", "Iterative Imputation"],
-    "encoding": ["One-Hot Encoding", "Label Encoding", "Target Encoding"],
-    "scaling": ["Standard Scaling", "Min-Max Scaling", "Robust Scaling"],
-    "sampling": ["SMOTE", "Random Oversampling", "Random Undersampling", "Class Weights"],
-    "feature_selection": ["Univariate Selection", "Recursive Feature Elimination", "L1-based Selection"],
-}

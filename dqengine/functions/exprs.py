@@ -83,8 +83,14 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0)))
 
 
-def quantile(c: Column, p: float, exact: bool = True) -> Column:
-    return F.percentile(c, F.lit(p)) if exact else F.percentile_approx(c, p, 10_000).cast("double")
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def quartile(c: Column, i: int, exact: bool = True) -> Column:
+    """The i-th quartile (1 to 3). All three of a column are one aggregate: equal expressions are computed once."""
+    if exact:
+        return F.percentile(c, F.array(*map(F.lit, QUARTILES)))[i - 1]
+    return F.percentile_approx(c, list(QUARTILES), 10_000)[i - 1].cast("double")
 
 
 def normal(c: Column) -> Column:

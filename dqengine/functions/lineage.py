@@ -5,14 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a new local folder in a local session and an error on a cluster, whose executors
+    could not read it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='dqengine-')}"
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the folder that all executors share (spark.checkpoint.dir; a local one where that is unset) and reads it
     back, so that it is computed once and survives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='dqengine-')}"
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

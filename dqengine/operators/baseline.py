@@ -56,8 +56,8 @@ def folds_for(rows: int, classes: int | None) -> int:
 
 
 def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
-    """Mean accuracy or R2 over the folds. Classes are dealt to the folds evenly: rows are placed by class and a hash, and the
-    place within the class gives the fold."""
+    """Mean accuracy or R2 over the folds. Classes are dealt to the folds evenly: rows are placed by class and a hash of their
+    values, and the place within the class gives the fold; so folds don't depend on how the table is laid out."""
     ready, features = prepared(df, target)
     ready = ready.persist()
     try:
@@ -87,7 +87,7 @@ def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
             forest = RandomForestRegressor(featureSubsetStrategy="all", numTrees=50, maxDepth=5, minInstancesPerNode=5, maxBins=128, seed=seed)
             evaluator = RegressionEvaluator(metricName="r2")
         k = folds_for(rows, classes)
-        drawn = ready.withColumn("_draw", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+        drawn = ready.withColumn("_draw", F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(ready.columns)]))  # the row's values, not its place
         if problem == "classification":
             placed = positions(drawn, [F.col("_target"), F.col("_draw")])
             first = placed.groupBy(F.col("_target").alias("_class")).agg(F.min("_place").alias("_first"))

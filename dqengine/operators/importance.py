@@ -5,9 +5,8 @@ Numeric features with more than ``bins`` values are cut at quantiles; a binned e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dqengine.functions import exprs as E
 
@@ -30,14 +29,21 @@ def binned(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
     return df
 
 
+def _n_ln_n(c: str) -> Column:
+    return F.col(c) * F.ln(F.col(c).cast("double"))
+
+
 def mutual_information(df: DataFrame, target: str, features: list[str] | None = None, bins: int = 20) -> DataFrame:
     """feature, mi. Nulls are a value of their own."""
     names = [c for c in (features or E.comparable_columns(df)) if c != target]
     ready = binned(df.select(*[E.q(c) for c in [*names, target]]), [*names, target], bins)
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), E.q(c).cast("string").alias("x")) for c in names])
     joint = ready.select(F.explode(cells).alias("_c"), E.q(target).cast("string").alias("y")).groupBy("_c.feature", "_c.x", "y").agg(F.count(F.lit(1)).alias("n"))
-    over = lambda *c: F.sum("n").over(Window.partitionBy(*c)).cast("double")
-    p = F.col("n") / over("feature")
-    term = p * F.ln(F.col("n") * over("feature") / (over("feature", "x") * over("feature", "y")))
-    return joint.withColumn("_t", term).groupBy("feature").agg(F.greatest(F.sum("_t"), F.lit(0.0)).alias("mi"))
+    # H(x) + H(y) - H(x, y), each from one sum of n ln n, so that counts are only ever aggregated.
+    whole = joint.groupBy("feature").agg(F.sum(_n_ln_n("n")).alias("_xy"), F.sum("n").cast("double").alias("_n"))
+    for side in ("x", "y"):
+        counts = joint.groupBy("feature", side).agg(F.sum("n").alias("n")).groupBy(F.col("feature").alias(f"_{side}_of"))
+        whole = whole.join(counts.agg(F.sum(_n_ln_n("n")).alias(f"_{side}")), F.col("feature") == F.col(f"_{side}_of"))
+    mi = F.ln("_n") + (F.col("_xy") - F.col("_x") - F.col("_y")) / F.col("_n")
+    return whole.select("feature", F.greatest(mi, F.lit(0.0)).alias("mi"))
 

@@ -135,6 +135,7 @@ def check(df: DataFrame, target: str | None, as_of: datetime, custom: dict[str,
             found.statistical = [{"column": r["column"], "risk": "high" if r.leak == "perfect" else "medium"} for r in target_correlations(df, target).collect()]
         else:
             found.statistical = [{"column": r["column"], "risk": r.risk} for r in predictor_leaks(df, target).collect()]
+    found.statistical.sort(key=lambda h: h["column"])
     found.future = [r.asDict() for r in future_dates(df, as_of).collect()]
     found.order = [r.asDict() for r in temporal_order(df).where("violations > 0").collect()]
     return found

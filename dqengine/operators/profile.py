@@ -80,9 +80,12 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def duplicate_flags(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Every row with ``is_duplicate``: an earlier row in ``order`` has the same keys."""
-    w = Window.partitionBy(*[E.q(c) for c in keys]).orderBy(*[E.q(c) for c in order])
-    return df.withColumn("is_duplicate", F.row_number().over(w) > 1)
+    """Every row with ``is_duplicate``: an earlier row in ``order``, which must tell rows of equal keys apart, has the same keys. The
+    first row of each key is an aggregate that combines within tasks, and a join that can be split where a key is hot."""
+    place = lambda names: F.struct(*[E.q(c) for c in names])
+    firsts = df.groupBy(place(keys).alias("_key")).agg(F.min(place(order)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    joined = df.join(firsts, place(keys).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn("is_duplicate", F.coalesce(place(order) != F.col("_first"), F.lit(False))).drop("_key", "_first", "_n")
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -93,9 +96,9 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool
         "mean": lambda c: F.avg(E.number(c)),
         "std": lambda c: F.stddev_samp(E.number(c)),
         "min": lambda c: F.min(E.number(c)),
-        "q25": lambda c: E.quantile(E.number(c), 0.25, exact),
-        "q50": lambda c: E.quantile(E.number(c), 0.5, exact),
-        "q75": lambda c: E.quantile(E.number(c), 0.75, exact),
+        "q25": lambda c: E.quartile(E.number(c), 1, exact),
+        "q50": lambda c: E.quartile(E.number(c), 2, exact),
+        "q75": lambda c: E.quartile(E.number(c), 3, exact),
         "max": lambda c: F.max(E.number(c)),
         "skewness": lambda c: E.adjusted_skewness(E.number(c)),
         "kurtosis": lambda c: E.adjusted_kurtosis(E.number(c)),
@@ -124,7 +127,7 @@ def high_correlations(df: DataFrame, threshold: float = 0.8, columns: list[str]
 def outlier_bounds(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> list[tuple[str, float, float]]:
     """(column, lower, upper) fences at 1.5 interquartile ranges: one row per column on the driver."""
     names = E.numeric_columns(df) if columns is None else columns
-    found = E.tidy(df, names, {"q1": lambda c: E.quantile(E.number(c), 0.25, exact), "q3": lambda c: E.quantile(E.number(c), 0.75, exact)}).where("q1 is not null").collect()
+    found = E.tidy(df, names, {"q1": lambda c: E.quartile(E.number(c), 1, exact), "q3": lambda c: E.quartile(E.number(c), 3, exact)}).where("q1 is not null").collect()
     return [(r["column"], r.q1 - 1.5 * (r.q3 - r.q1), r.q3 + 1.5 * (r.q3 - r.q1)) for r in found]
 
 
@@ -155,7 +158,8 @@ def categorical_features(df: DataFrame, columns: list[str] | None = None) -> Dat
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 3) -> DataFrame:
-    """column, value, n, rank: the k most frequent values; ties by value."""
+    """column, value, n, rank: the k most frequent values; ties by value. Ranks are cut at k before the shuffle as well, so no
+    task gets more than k values from each other task."""
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
     return value_counts(df, columns).where("value is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

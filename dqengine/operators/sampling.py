@@ -38,8 +38,9 @@ def positions(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def thirds_sample(df: DataFrame, time: str, key: str, per_third: int = 3, seed: int = 42) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("third").orderBy(draw(key, seed), E.q(key)))
-    return time_thirds(df, time, key).withColumn("_r", rank).where(F.col("_r") <= per_third).drop("_r")
+    thirds = time_thirds(df, time, key)
+    parts = [thirds.where(F.col("third") == t).orderBy(draw(key, seed), E.q(key)).limit(per_third) for t in ("early", "middle", "late")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def draw(key: str, seed: int) -> Column:
@@ -95,10 +96,9 @@ def null_like_rows(df: DataFrame, column: str, key: str, n: int = 3) -> DataFram
 
 def mixed_rows(df: DataFrame, column: str, key: str, n: int = 2) -> DataFrame:
     """The first rows of each class of a column that mixes numbers with other texts."""
-    classed = df.where(E.q(column).isNotNull()).withColumn("_class", E.is_numeric(E.q(column).cast("string")))
-    w = Window.partitionBy("_class").orderBy(E.q(key))
-    ranked = classed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    return ranked.drop("_class", "_r") if classed.select("_class").distinct().count() == 2 else df.limit(0)
+    numeric = E.is_numeric(E.q(column).cast("string"))
+    sides = [df.where(E.q(column).isNotNull() & c).orderBy(E.q(key)).limit(n) for c in (numeric, ~numeric)]
+    return sides[0].unionByName(sides[1]) if not any(s.isEmpty() for s in sides) else df.limit(0)
 
 
 def dominant_rows(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -132,11 +132,22 @@ def outlier_rows(df: DataFrame, least_pct: float = 5.0, key: str = "_row_id") ->
     return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "column string, end string, value double, key long")
 
 
-def temporal_column(df: DataFrame) -> str | None:
-    """The first date column, else the first string column that is called like one."""
+def parsing_columns(df: DataFrame, key: str, head: int = 10, least: float = 0.5) -> list[str]:
+    """String columns of whose first ``head`` non-null values by the key more than ``least`` parse as dates."""
+    found = []
+    for c in E.string_columns(df):
+        first = df.where(E.q(c).isNotNull()).orderBy(E.q(key)).limit(head)
+        n, dates = first.agg(F.count(F.lit(1)), F.count_if(E.parse_date(E.q(c)).isNotNull())).first()
+        if n and dates > least * n:
+            found.append(c)
+    return found
+
+
+def temporal_column(df: DataFrame, key: str | None = None) -> str | None:
+    """The first date column, else the first string column that is called like one, else (with a key) the first one that parses."""
     found = E.temporal_columns(df)
     named = [c for c in E.string_columns(df) if any(h in c.lower() for h in C.TEMPORAL_HINTS)]
-    return (found or named or [None])[0]
+    return (found or named or (parsing_columns(df, key) if key else []) or [None])[0]
 
 
 def stratified(df: DataFrame, key: str, seed: int = 42, compat: bool = False) -> list[dict]:
@@ -153,15 +164,27 @@ def stratified(df: DataFrame, key: str, seed: int = 42, compat: bool = False) ->
         add(format_rows(df, c, key), "date_formats", c, "HIGH")
         add(format_rows(df, c, key, number_kind, 30), "number_formats", c, "MEDIUM")
     add(missing_rows(df, BUDGET["medium"], key), "many_missing", None, "MEDIUM")
+    add(co_missing_rows(df, BUDGET["medium"], key), "missing_together", None, "MEDIUM")
     add(blank_rows(df, BUDGET["medium"], key), "blank_text", None, "MEDIUM")
+    for r in outlier_ends(df, key):
+        add(df.where(E.q(key) == r["key"]), "outlier", r["column"], "MEDIUM")
     if compat:
         found = [x for x in found if x["severity"] in ("CRITICAL", "HIGH")]
-    if (time := temporal_column(df)) and time in E.temporal_columns(df):
-        add(thirds_sample(df, time, key, seed=seed), "temporal", time, "LOW")
+    if time := temporal_column(df, key):
+        dated = df if time in E.temporal_columns(df) else df.withColumn(time, E.parse_date(E.q(time)))
+        add(thirds_sample(dated, time, key, seed=seed), "temporal", time, "LOW")
     add(baseline_rows(df, key, seed=seed), "baseline", None, "LOW")
+    if not any(x["issue_type"] == "temporal" for x in found):
+        add(stride_sample(df, 5, key), "spread", None, "LOW")
     return limited(found)
 
 
+def outlier_ends(df: DataFrame, key: str) -> list[dict]:
+    """column and key of the most extreme rows of columns with many outliers."""
+    numbers = [c for c in E.numeric_columns(df) if c != key]
+    return [r.asDict() for r in outlier_rows(df.select(*[E.q(c) for c in numbers], E.q(key)), key=key).collect() if r["column"] != key]
+
+
 def limited(rows: list[dict]) -> list[dict]:
     kept, seen, types = [], set(), {}
     left = {"CRITICAL": BUDGET["critical"], "HIGH": BUDGET["high"], "MEDIUM": BUDGET["medium"], "LOW": BUDGET["temporal"] + BUDGET["baseline"]}

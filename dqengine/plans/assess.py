@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Assessor = Callable[[dict], "dict | str"]
 NUMBER_KEY = "adjusted_quality_score"
@@ -24,8 +25,9 @@ def request(quality: dict, samples: list[dict], summary: dict, limit: int = 5) -
 
 
 def parse_answers(df: DataFrame, column: str, schema: str) -> DataFrame:
-    """JSON from free text by the first of these that works: the text itself, a fenced block, the outermost braces, and those
-    with trailing commas mended. Adds ``parsed`` (null if none) and ``strategy``."""
+    """JSON from free text by the first of these that works: the text itself, a fenced block, the outermost braces, those
+    with trailing commas mended, single fields of a broken object, and numbers behind a field's words in prose ("score is 62").
+    Adds ``parsed`` (null if none) and ``strategy``. ``schema`` is a flat one; of lists and structs only whole objects give values."""
     text = F.col(column)
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
@@ -36,7 +38,30 @@ def parse_answers(df: DataFrame, column: str, schema: str) -> DataFrame:
     strategy: Column = F.lit(None).cast("string")
     for name, t in reversed(tries):
         chosen, strategy = F.when(ok(t), t).otherwise(chosen), F.when(ok(t), F.lit(name)).otherwise(strategy)
-    return df.withColumn("strategy", strategy).withColumn("parsed", F.from_json(chosen, schema))
+    fields = T._parse_datatype_string(schema).fields
+    whole = F.from_json(chosen, schema)
+    for name, reader in (("partial", _in_part), ("prose", _in_prose)):
+        loose = [reader(text, f) for f in fields]
+        use = strategy.isNull() & F.coalesce(*[F.when(v.isNotNull(), True) for v in loose], F.lit(False))
+        strategy, whole = F.when(use, F.lit(name)).otherwise(strategy), F.when(use, F.struct(*[v.alias(f.name) for v, f in zip(loose, fields)])).otherwise(whole)
+    return df.withColumn("strategy", strategy).withColumn("parsed", whole)
+
+
+def _in_part(text: Column, f: T.StructField) -> Column:
+    """A field's value from a piece of JSON."""
+    if isinstance(f.dataType, T.StringType):
+        return F.nullif(F.regexp_extract(text, rf'"{f.name}"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
+        return F.nullif(F.regexp_extract(text, rf'"{f.name}"\s*:\s*"?(-?[0-9.]+|true|false)', 1), F.lit("")).try_cast(f.dataType)
+    return F.lit(None).cast(f.dataType)
+
+
+def _in_prose(text: Column, f: T.StructField) -> Column:
+    """A number that follows the field's words within a few others."""
+    if isinstance(f.dataType, T.NumericType):
+        words = f.name.replace("_", r"[\s_-]+")
+        return F.nullif(F.regexp_extract(text, rf"(?i)\b{words}\b[^0-9{{}}]{{0,30}}?(-?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast(f.dataType)
+    return F.lit(None).cast(f.dataType)
 
 
 def read_answer(answer: dict | str) -> dict:

@@ -52,42 +52,75 @@ def family(name: str) -> str:
     return "elastic"
 
 
+@dataclass
+class Case:
+    """A model and a table: what rules ask."""
+
+    name: str
+    kind: str
+    missing_ok: bool
+    categories_ok: bool
+    readable: bool
+    f: Fingerprint
+    classify: bool
+
+    @property
+    def small(self) -> bool:
+        return self.f.size in ("tiny", "small")
+
+
+# Points by rule. Of each rule's lines the first whose families and condition fit counts; None stands for any family.
+ANY = None
+RULES = {
+    "size": [
+        ("boost", lambda c: c.f.size == "tiny", -15),
+        ("boost", lambda c: c.f.size == "small", 10),
+        ("boost", lambda c: True, 20),
+        ("forest", lambda c: c.f.size == "tiny", 5),
+        ("forest", lambda c: True, 15),
+        ("linear svm", lambda c: c.small, 15),
+        ("linear svm", lambda c: c.f.high_dimensional, 20),
+        ("linear", lambda c: True, 5),
+        ("svm", lambda c: True, -10),
+        ("elastic", lambda c: c.f.high_dimensional or c.f.correlated_pairs > 5, 25),
+        ("elastic", lambda c: c.f.size in ("small", "medium"), 10),
+        ("elastic", lambda c: True, 5),
+    ],
+    "missing": [(ANY, lambda c: c.f.missing == "none", 0), (ANY, lambda c: c.missing_ok, 15), (ANY, lambda c: True, -15)],
+    "categories": [
+        (ANY, lambda c: c.f.category_ratio == 0, 0),
+        (ANY, lambda c: not c.categories_ok, lambda c: -(10 + int(10 * c.f.category_ratio))),
+        ("boost", lambda c: c.f.category_ratio > 0.5, 20),
+        (ANY, lambda c: True, 10),
+    ],
+    "balance": [(ANY, lambda c: c.classify and c.f.imbalanced and c.f.severe, 15), (ANY, lambda c: c.classify and c.f.imbalanced, 10)],
+    "robust": [("boost forest", lambda c: c.f.robust and "LightGBM" not in c.name, 15), ("linear", lambda c: c.f.robust, -10)],
+    "readable": [(ANY, lambda c: c.f.interpretable and c.readable, 20), (ANY, lambda c: c.f.interpretable, -10)],
+    "dimensions": [("elastic svm", lambda c: c.f.high_dimensional, 25), ("linear", lambda c: c.f.high_dimensional, 15), (ANY, lambda c: c.f.high_dimensional, -5)],
+    "signal": [
+        ("linear", lambda c: c.f.weak_signal and c.readable, 15),
+        ("linear", lambda c: c.f.weak_signal, 5),
+        (ANY, lambda c: c.f.weak_signal and c.readable, 10),
+        ("boost forest", lambda c: c.f.strong_signal and not c.f.weak_signal and "LightGBM" not in c.name, 15),
+    ],
+    "speed": [
+        ("boost", lambda c: c.f.fast and "LightGBM" in c.name, 20),
+        ("linear", lambda c: c.f.fast, 15),
+        ("forest", lambda c: c.f.fast, -5),
+        ("svm", lambda c: c.f.fast, -15),
+    ],
+    "preparation": [(ANY, lambda c: c.f.heavy and c.missing_ok and c.categories_ok, 15)],
+}
+
+
 def score(model: tuple[str, bool, bool, bool], f: Fingerprint, problem: str) -> float:
-    name, missing_ok, categories_ok, interpretable = model
-    kind = family(name)
-    small = f.size in ("tiny", "small")
-    s = 50.0
-    if kind == "boost":
-        s += {"tiny": -15, "small": 10}.get(f.size, 20)
-    elif kind == "forest":
-        s += 5 if f.size == "tiny" else 15
-    elif kind == "linear":
-        s += 15 if small else 20 if f.high_dimensional else 5
-    elif kind == "svm":
-        s += 15 if small else 20 if f.high_dimensional else -10
-    else:
-        s += 25 if f.high_dimensional or f.correlated_pairs > 5 else 10 if f.size in ("small", "medium") else 5
-    if f.missing != "none":
-        s += 15 if missing_ok else -15
-    if f.category_ratio > 0:
-        s += (20 if kind == "boost" and f.category_ratio > 0.5 else 10) if categories_ok else -(10 + int(10 * f.category_ratio))
-    if problem == "classification" and f.imbalanced:
-        s += 15 if f.severe else 10
-    if f.robust:
-        s += 15 if "XGBoost" in name or kind == "forest" else -10 if kind == "linear" else 0
-    if f.interpretable:
-        s += 20 if interpretable else -10
-    if f.high_dimensional:
-        s += 25 if kind in ("elastic", "svm") else 15 if kind == "linear" else -5
-    if f.weak_signal:
-        s += (10 if interpretable else 0) + (5 if kind == "linear" else 0)
-    elif f.strong_signal and ("XGBoost" in name or kind == "forest"):
-        s += 15
-    if f.fast:
-        s += 20 if "LightGBM" in name else {"linear": 15, "forest": -5, "svm": -15}.get(kind, 0)
-    if f.heavy and missing_ok and categories_ok:
-        s += 15
-    return max(0.0, min(100.0, s))
+    """50 and the points of all rules, held within 0 and 100."""
+    case = Case(model[0], family(model[0]), *model[1:], f, problem == "classification")
+    total = 50.0
+    for lines in RULES.values():
+        points = next((p for kinds, holds, p in lines if (kinds is ANY or case.kind in kinds.split()) and holds(case)), 0)
+        total += points(case) if callable(points) else points
+    return max(0.0, min(100.0, total))
 
 
 def reasoning(model: tuple[str, bool, bool, bool], f: Fingerprint) -> str:

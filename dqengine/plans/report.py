@@ -17,7 +17,10 @@ SCHEMA = """
 analysis_id string, timestamp timestamp,
 dataset_info struct<filename string, rows long, columns int, size_mb double, detected_problem_type string, detected_target_column string>,
 quality_score struct<overall double, grade string, breakdown map<string, struct<score double, grade string, description string>>>,
-data_profile struct<missing_pct double, duplicate_rows long, duplicate_pct double, column_types map<string, int>, numeric_summary map<string, double>, categorical_summary map<string, double>>,
+data_profile struct<missing_pct double, duplicate_rows long, duplicate_pct double, column_types map<string, int>, numeric_summary map<string, double>, categorical_summary map<string, double>,
+  missing map<string, double>, outliers map<string, struct<outliers long, outlier_pct double, lower double, upper double>>, high_correlations array<struct<column_a string, column_b string, r double>>,
+  numeric_features map<string, struct<variance double, low_variance boolean, n_unique long>>, categorical_features map<string, struct<n_unique long, cardinality string, mode string, mode_count long>>,
+  leakage struct<risk string, columns map<string, string>, recommendations array<string>>, consistency struct<score double, columns map<string, array<string>>, recommendations array<string>>>,
 detected_issues array<struct<severity string, category string, title string, affected_columns array<string>, recommendation string>>,
 model_recommendations array<struct<rank int, model_name string, confidence_score double, reasoning string>>,
 preprocessing_recommendations array<struct<priority int, step string, category string, methods array<string>, code_snippet string>>,
@@ -26,21 +29,40 @@ processing_seconds double
 """
 
 
-def gather(df: DataFrame, target: str | None, problem: str | None, as_of: datetime, with_model: bool = True, compat: bool = False) -> scoring.Evidence:
-    """The evidence, in a number of jobs that doesn't depend on the number of columns."""
+ADVICE = 3
+"""Recommendations of a rule set that the report shows."""
+
+
+def gather(df: DataFrame, target: str | None, problem: str | None, as_of: datetime, with_model: bool = True, compat: bool = False, exact: bool = True) -> scoring.Evidence:
+    """The evidence, in a number of jobs that doesn't depend on the number of columns. ``exact=False`` takes quantiles from sketches,
+    whose memory doesn't grow with the distinct values."""
     e = scoring.Evidence(columns=len(df.columns), target=target, problem=problem)
     d = profile.duplicates(df).first()
     e.rows, e.duplicate_pct = d.rows, d.duplicate_pct
+    e.details["duplicate_rows"] = d.duplicate_rows
     e.missing_by_column = {r["column"]: r.missing_pct for r in profile.missing(df).where("missing > 0").collect()}
     e.missing_pct = round(sum(e.missing_by_column.values()) / max(1, e.columns), 2)
     classes = profile.column_classes(df)
     e.categorical, e.numerical = (sum(c == k for c in classes.values()) for k in ("categorical", "numerical"))
-    e.outlier_pct = {r["column"]: r.outlier_pct for r in profile.outliers(df).collect()}
-    sizes = [abs(r.r) for r in profile.correlations(df).collect() if r.r is not None]
-    e.high_pairs, e.max_abs_r = sum(r > 0.8 for r in sizes), max(sizes, default=0.0)
-    e.high_cardinality = profile.categorical_features(df).where("cardinality = 'high'").count()
-    e.low_variance = profile.numeric_features(df).where("low_variance").count()
-    e.consistency = consistency.check(df, compat).score
+    e.details["column_types"] = {k: sum(c == k for c in classes.values()) for k in dict.fromkeys(classes.values())}
+    fences = profile.outliers(df, exact=exact).collect()
+    e.outlier_pct = {r["column"]: r.outlier_pct for r in fences}
+    e.details["outliers"] = {r["column"]: {"outliers": int(r.outliers), "outlier_pct": r.outlier_pct, "lower": r.lower, "upper": r.upper} for r in fences}
+    pairs = [r for r in profile.correlations(df).collect() if r.r is not None]
+    high = sorted((r for r in pairs if abs(r.r) > 0.8), key=lambda r: (-abs(r.r), r.column_a, r.column_b))
+    e.high_pairs, e.max_abs_r = len(high), max((abs(r.r) for r in pairs), default=0.0)
+    e.details["high_correlations"] = [r.asDict() for r in high]
+    categories = profile.categorical_features(df).collect()
+    e.high_cardinality = sum(r.cardinality == "high" for r in categories)
+    e.details["categorical_features"] = {r["column"]: {k: r[k] for k in ("n_unique", "cardinality", "mode", "mode_count")} for r in categories}
+    numbers = profile.numeric_features(df).collect()
+    e.low_variance = sum(r.low_variance for r in numbers)
+    e.details["numeric_features"] = {r["column"]: {k: r[k] for k in ("variance", "low_variance", "n_unique")} for r in numbers}
+    e.binary = sum(r.n_unique == 2 for r in [*categories, *numbers])
+    found = consistency.check(df, compat)
+    e.consistency = found.score
+    rules = {"mixed_types": found.mixed, "noise": found.noise, "categories": found.categorical, "units": found.units, "formats": found.formats}
+    e.details["consistency"] = {"score": found.score, "columns": {k: sorted(v) for k, v in rules.items() if v}, "recommendations": found.recommendations()[:ADVICE]}
     if target:
         e.target_missing = df.where(profile.is_missing(df, target)).count()
         if problem == "classification":
@@ -48,7 +70,9 @@ def gather(df: DataFrame, target: str | None, problem: str | None, as_of: dateti
             e.target_classes, e.balanced, e.imbalance = b.classes, b.balanced if b.balanced is not None else True, b.imbalance_ratio or 1.0
         elif target in E.numeric_columns(df):
             e.target_std = next((r["std"] for r in profile.target_statistics(df, target).collect()), None)
-        e.leakage_risk = leakage.check(df, target, as_of, compat=compat).overall(compat)
+        leaks = leakage.check(df, target, as_of, compat=compat)
+        e.leakage_risk = leaks.overall(compat)
+        e.details["leakage"] = {"risk": e.leakage_risk, "columns": leaks.risks(compat), "recommendations": leaks.recommendations()[:ADVICE]}
         e.max_mi = max((r.mi for r in importance.mutual_information(df, target).collect()), default=0.0)
         if with_model:
             e.signal_points = baseline.train(df, target, problem).score(compat)
@@ -66,16 +90,20 @@ def analyze(
     key: str | None = None,
     with_model: bool = True,
     compat: bool = False,
+    exact: bool = True,
+    keep: bool = True,
 ) -> dict:
-    """The report as a dict. ``key`` names a column that orders rows (one is added if None)."""
+    """The report as a dict. ``key`` names a column that orders rows (one is added if None). ``exact``: see ``gather``. ``keep``: whether
+    the table is persisted (in memory, then on disk) while it is read; without, every job scans it anew."""
     if problem_type not in ("auto", "classification", "regression"):
         raise ValueError("problem_type is auto, classification or regression")
     began = time.time()
-    df = tables.normalize(tables.check(df)).persist()
+    df = tables.normalize(tables.check(df))
+    df = df.persist() if keep else df
     try:
         target = profile.detect_target(df, target or None)
         problem = profile.problem_type(df, target).first().problem_type if problem_type == "auto" else problem_type
-        e = gather(df, target, problem, as_of or datetime.now(timezone.utc).replace(tzinfo=None), with_model, compat)
+        e = gather(df, target, problem, as_of or datetime.now(timezone.utc).replace(tzinfo=None), with_model, compat, exact)
         quality = scoring.quality(e)
         found = issues.detected(e)
         insight = assess.fallback(found) | {"red_flags": [], "pipeline": "", "action_items": [{"action": i["recommendation"], "impact": i["severity"].upper(), "effort": ""} for i in found[:5]]}
@@ -90,10 +118,7 @@ def analyze(
                     quality["overall"] = scoring.blend(quality["overall"], answer[assess.NUMBER_KEY], weight)
                     quality["grade"] = scoring.grade(quality["overall"])
                 insight = assess.insights(answer)
-        d = profile.duplicates(df).first()
-        counts: dict[str, int] = {}
-        for c in profile.column_classes(df).values():
-            counts[c] = counts.get(c, 0) + 1
+        shown = {k: e.details.get(k) for k in ("outliers", "high_correlations", "numeric_features", "categorical_features", "leakage", "consistency")}
         return {
             "analysis_id": str(uuid.uuid4()),
             "timestamp": datetime.now(timezone.utc),
@@ -101,11 +126,13 @@ def analyze(
             "quality_score": quality,
             "data_profile": {
                 "missing_pct": float(e.missing_pct),
-                "duplicate_rows": d.duplicate_rows,
-                "duplicate_pct": d.duplicate_pct,
-                "column_types": counts,
-                "numeric_summary": {"columns": float(e.numerical), "low_variance": float(e.low_variance), "high_pairs": float(e.high_pairs)},
-                "categorical_summary": {"columns": float(e.categorical), "high_cardinality": float(e.high_cardinality)},
+                "duplicate_rows": e.details["duplicate_rows"],
+                "duplicate_pct": e.duplicate_pct,
+                "column_types": e.details["column_types"],
+                "numeric_summary": {"columns": float(e.numerical), "low_variance": float(e.low_variance), "high_pairs": float(e.high_pairs), "mean_outlier_pct": round(sum(e.outlier_pct.values()) / max(1, len(e.outlier_pct)), 2)},
+                "categorical_summary": {"columns": float(e.categorical), "high_cardinality": float(e.high_cardinality), "binary": float(e.binary)},
+                "missing": e.missing_by_column,
+                **shown,
             },
             "detected_issues": found,
             "model_recommendations": models.ranking(e, problem),
@@ -114,7 +141,8 @@ def analyze(
             "processing_seconds": round(time.time() - began, 2),
         }
     finally:
-        df.unpersist()
+        if keep:
+            df.unpersist()
 
 
 def as_table(spark: SparkSession, report: dict) -> DataFrame:

@@ -35,6 +35,8 @@ class Evidence:
     leakage_risk: str | None = None
     max_mi: float | None = None
     signal_points: float = 30.0
+    details: dict = field(default_factory=dict)
+    """What the report shows of each column; no score reads it."""
 
 
 def clamp(x: float) -> float:

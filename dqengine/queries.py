@@ -5,7 +5,7 @@ A projection is the same list of SQL expressions on both sides; everything after
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Callable
 from datetime import datetime
 from itertools import combinations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqengine.functions import catalogs as C
+from dqengine.functions.lineage import shared_dir
 from dqengine.operators import baseline, consistency, importance, leakage, profile, sampling, validation
 from dqengine.plans import assess, display, models, report, scoring
 from dqengine.streaming import profile as streaming
@@ -52,6 +53,10 @@ PROJECTIONS = {
         ],
     ),
     "noted_events": ("events", ["event_id", "event_type", "value", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS reading", "CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS user_id"]),
+    "numbered_events": ("events", ["event_id", "CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'usual' END AS kind"]),
+    "gappy_events": ("events", ["event_id", "CASE WHEN event_id % 8 = 1 THEN ' ' ELSE event_type END AS event_type", "CASE WHEN event_id % 10 < 9 THEN NULL ELSE value END AS value", "CASE WHEN event_id % 10 > 7 THEN NULL ELSE value END AS reading", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id"]),
+    "iso_orders": ("orders", ["o_orderkey", f"CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE {DAY} END AS day", f"CASE WHEN o_orderkey % 3 = 0 THEN {DAY} ELSE 'soon' END AS half"]),
+    "telling_lineitem": ("lineitem", ["l_returnflag", "concat('only ', l_returnflag) AS sure", "CASE WHEN l_returnflag = 'A' THEN 'only' ELSE 'mixed' END AS hint", "l_linestatus", "l_orderkey AS order_id", "CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_shipdate END AS ship_date"]),
     "mostly_events": ("events", ["CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'usual' END AS kind", "CASE WHEN event_id % 4 = 0 THEN 'x' ELSE 'nan' END AS filler", "event_type"]),
     "flags_labels": ("labels", ["quality", "toxic", "CASE WHEN quality = 1 THEN 'yes' ELSE 'No' END AS answer", "doc_id", "quality = 1 AS flag", "CASE WHEN doc_id < 0 THEN 1 ELSE NULL END AS nothing"]),
     "dup_orders": ("(SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 10 = 0)", ["*"]),
@@ -282,6 +287,15 @@ register(
     lambda s, d: rounded(leakage.predictor_leaks(load(s, d, "flagged_lineitem"), "l_returnflag")),
     f"SELECT \"column\", round(ratio, 4) AS ratio, CASE WHEN ratio >= 0.5 THEN 'perfect' ELSE 'near' END AS leak, CASE WHEN ratio >= 0.5 THEN 'high' ELSE 'medium' END AS risk FROM ({_PREDICTORS}) WHERE ratio >= 0.2",
 )
+_TELLING = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", coalesce(sum(n) FILTER (v IS NOT NULL AND k = 1), 0) / sum(n) AS ratio FROM (SELECT {c} AS v, count(DISTINCT l_returnflag) AS k, count(*) AS n FROM {source('telling_lineitem')} GROUP BY 1)"
+    for c in ("sure", "hint", "l_linestatus", "order_id", "ship_date")
+)
+register(
+    "predictor_leaks_telling_lineitem",
+    lambda s, d: rounded(leakage.predictor_leaks(load(s, d, "telling_lineitem"), "l_returnflag")),
+    f"SELECT \"column\", round(ratio, 4) AS ratio, CASE WHEN ratio >= 0.5 THEN 'perfect' ELSE 'near' END AS leak, CASE WHEN ratio >= 0.5 THEN 'high' ELSE 'medium' END AS risk FROM ({_TELLING}) WHERE ratio >= 0.2",
+)
 _NAMES = ", ".join(f"('{category}', '{name}', '{C.LEAK_RISK[category]}')" for category, names in C.LEAK_NAMES.items() for name in names)
 for _t in ("lineitem", "orders", "events", "embeddings"):
     register(
@@ -457,16 +471,11 @@ CLAIMS = [
     {"issue_type": "correlation", "affected_columns": ["o_orderkey"]},
     {"issue_type": "something_else", "affected_columns": ["sex"]},
 ]
-_STATUS = ["VERIFIED", "VERIFIED", "UNVERIFIED", "VERIFIED", "PARTIAL", "VERIFIED", "VERIFIED", "UNVERIFIED", "UNVERIFIED", "UNVERIFIED"]
-
-
 def _claims(s: SparkSession, d: str) -> DataFrame:
     found = validation.validate(load(s, d, "dirty_orders"), CLAIMS, "o_orderkey")["claims"]
     return s.createDataFrame([(i, c["issue_type"], c["validation_status"]) for i, c in enumerate(found)], "claim long, issue_type string, validation_status string")
 
 
-register("claims_dirty_orders", _claims, "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{c['issue_type']}', '{v}')" for i, (c, v) in enumerate(zip(CLAIMS, _STATUS))) + ") AS t(claim, issue_type, validation_status)")
-
 # Scores. The operators are functions on the driver; the twins work the same grids out in SQL.
 register(
     "blend_grid",
@@ -509,7 +518,7 @@ register(
 )
 
 # Answers as text.
-ANSWERS = ['{"score": 70, "note": "a"}', 'Sure: ```json\n{"score": 60, "note": "b"}\n```', 'text {"score": 50, "note": "c"} text', '{"score": 40, "note": "d",}', "no json at all", ""]
+ANSWERS = ['{"score": 7, "note": "cut', "The score is about 62 of 100.", '{"score": 70, "note": "a"}', 'Sure: ```json\n{"score": 60, "note": "b"}\n```', 'text {"score": 50, "note": "c"} text', '{"score": 40, "note": "d",}', "no json at all", ""]
 
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
@@ -517,7 +526,15 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     return assess.parse_answers(df, "text", "score long, note string").select("answer", "strategy", F.col("parsed.score").alias("score"), F.col("parsed.note").alias("note"))
 
 
-register("parsed_answers", _answers, "SELECT * FROM (VALUES (0::BIGINT, 'direct', 70::BIGINT, 'a'), (1, 'fenced', 60, 'b'), (2, 'braces', 50, 'c'), (3, 'mended', 40, 'd'), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL)) AS t(answer, strategy, score, note)")
+register(
+    "parsed_answers",
+    _answers,
+    "SELECT answer, strategy, CASE strategy WHEN 'direct' THEN CAST(json_extract_string(text, '$.score') AS BIGINT) WHEN 'prose' THEN CAST(nullif(regexp_extract(text, '(?i)\\bscore\\b[^0-9{}]*?(-?[0-9]+)', 1), '') AS BIGINT) ELSE CAST(nullif(regexp_extract(text, '\"score\": ([0-9]+)', 1), '') AS BIGINT) END AS score, "
+    "CASE WHEN strategy IN ('direct', 'fenced', 'braces', 'mended') THEN regexp_extract(text, '\"note\": \"([a-z]+)\"', 1) END AS note FROM (SELECT answer, text, CASE WHEN json_valid(text) AND NOT contains(text, ',}') THEN 'direct' WHEN contains(text, '```') THEN 'fenced' WHEN json_valid(regexp_extract(text, '\\{.*\\}')) AND NOT contains(text, ',}') THEN 'braces' "
+    "WHEN json_valid(replace(regexp_extract(text, '\\{.*\\}'), ',}', '}')) THEN 'mended' WHEN regexp_matches(text, '\"score\": [0-9]') THEN 'partial' WHEN regexp_matches(text, 'score [a-z ]*[0-9]') THEN 'prose' END AS strategy FROM (VALUES "
+    + ", ".join(f"({i}::BIGINT, " + "concat(" + ", ".join(("chr(10)" if part == "\n" else "'" + part.replace("'", "''") + "'") for part in re.split("(\n)", text)) + ")" + ")" for i, text in enumerate(ANSWERS))
+    + ") AS t(answer, text))",
+)
 
 # Streams.
 register(
@@ -529,7 +546,7 @@ register(
 
 def _running(s: SparkSession, d: str) -> DataFrame:
     """The events as a stream, profiled batch by batch and merged."""
-    base = (s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/") + f"/running-{datetime.now():%H%M%S%f}"
+    base = f"{shared_dir(s)}/running-{datetime.now():%H%M%S%f}"
     stream = s.readStream.schema(load(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     streaming.running_profile(stream, ["value", "user_id"], f"{base}/partial", f"{base}/checkpoint").awaitTermination()
     return rounded(streaming.merged(s.read.parquet(f"{base}/partial")), 2)
@@ -555,9 +572,18 @@ register("report_labels", lambda s, d: report.as_table(s, report.analyze(load(s,
 register("report_dirty_orders", lambda s, d: report.as_table(s, report.analyze(load(s, d, "dirty_orders"), "o_orderstatus", name="dirty_orders", as_of=AS_OF)))
 
 
+def _evidence() -> None:
+    from dqengine import evidence_queries  # it reads this module's twins
+
+    if "scores_customer" not in REGISTRY:
+        evidence_queries.register_all(register)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _evidence()
     return {name: make for name, (make, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _evidence()
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql}

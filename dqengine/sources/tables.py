@@ -17,6 +17,10 @@ class UnsupportedFile(ValueError):
     """The file's kind can't be read."""
 
 
+class UnreadableFile(ValueError):
+    """The file's content doesn't fit its kind, encoding or schema."""
+
+
 class EmptyTable(ValueError):
     """The table has no rows or no columns."""
 
@@ -30,12 +34,13 @@ def kind_of(path: str) -> str:
     return suffix
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sampling: float = 1.0) -> DataFrame:
-    """A table by its file's suffix. A given schema spares the pass that infers one."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sampling: float = 1.0, multiline: bool = True) -> DataFrame:
+    """A table by its file's suffix. A given schema spares the pass that infers one. ``multiline=False`` lets a large CSV file whose
+    values hold no line breaks be split over tasks."""
     suffix = kind_of(path)
     reader = spark.read.format(READERS[suffix])
     if READERS[suffix] == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"', mode="FAILFAST", samplingRatio=sampling, sep="\t" if suffix == "tsv" else ",")
+        reader = reader.options(header=True, multiLine=multiline, escape='"', mode="FAILFAST", samplingRatio=sampling, sep="\t" if suffix == "tsv" else ",")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.load(path)
     return missing_text_to_null(df) if READERS[suffix] == "csv" else df
@@ -59,11 +64,25 @@ def check(df: DataFrame) -> DataFrame:
     """The table itself, if it has a column and a row."""
     if not df.columns:
         raise EmptyTable("the table has no columns")
-    if df.isEmpty():
+    if readable(df).isEmpty():
         raise EmptyTable("the table has no rows")
     return df
 
 
+BROKEN = ("MALFORMED", "FAILED_READ_FILE", "CANNOT_READ", "INVALID_UTF8", "BAD_RECORD", "CORRUPT")
+
+
+def readable(df: DataFrame) -> DataFrame:
+    """The table itself, if its first row can be read; damage further on is raised by the action that meets it."""
+    try:
+        df.isEmpty()
+    except Exception as error:
+        if any(word in str(error).upper() for word in BROKEN):
+            raise UnreadableFile(str(error).splitlines()[0]) from error
+        raise
+    return df
+
+
 def size_mb(spark: SparkSession, path: str) -> float:
     """Megabytes of a file or folder in any file system that Spark knows."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,14 +90,21 @@ def size_mb(spark: SparkSession, path: str) -> float:
     return round(summary.getLength() / 1048576, 2)
 
 
-def metadata(df: DataFrame) -> DataFrame:
-    """One row per column: name, type, position; with the table's rows."""
+def metadata(df: DataFrame, name: str = "table", size_mb: float = 0.0) -> DataFrame:
+    """One row per column: position, name and type; with the table's name, rows and size."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
+    columns = df.sparkSession.createDataFrame(rows, "position int, column string, type string")
+    counted = df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.lit(float(size_mb)).alias("size_mb"))
+    return columns.join(F.broadcast(counted))  # one row
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    return [c for c in (x.strip().strip('"') for x in read_table(spark, path).columns) if c]
+    """Column names, without the ones that are empty; of a text file only the first line is read."""
+    kind = kind_of(path)
+    if READERS[kind] != "csv":
+        return read_table(spark, path).columns
+    names = spark.read.csv(path, header=True, inferSchema=False, sep="\t" if kind == "tsv" else ",").columns
+    return [c for c in (n.strip().strip('"') for n in names) if c]
 
 
 def write_report(report: DataFrame, path: str, kind: str = "json", mode: str = "errorifexists") -> None:
