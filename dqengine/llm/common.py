@@ -60,14 +60,20 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 HOT_KEYS = 10_000
 """Most keys of a join that are taken for hot and broadcast; each has more than that part of all rows."""
+FEW_KEYS = 200_000
+"""Rows of a few numbers each up to which a side of a join is broadcast whole."""
 
 
 def join_hot(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str], weight: str) -> DataFrame:
-    """left joined with right, whose keys are unique and whose ``weight`` says how many rows of left a key has. Keys with more than
-    a ``HOT_KEYS``-th of all rows, which can't be more than ``HOT_KEYS``, are broadcast, so no task gathers such a key's rows."""
-    most = max(1_000, int((right.agg(F.sum(weight)).first()[0] or 0) / HOT_KEYS) + 1)
-    hot, cold = right.where(F.col(weight) > most), right.where(F.col(weight) <= most)
+    """left joined with right, whose keys are unique and whose ``weight`` says how many rows of left a key has. A right side of
+    at most ``FEW_KEYS`` rows is broadcast. Of a larger one, keys with more than a ``HOT_KEYS``-th of all rows, which can't be
+    more than ``HOT_KEYS``, are broadcast, so no task gathers such a key's rows."""
     equal = lambda names: reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in zip(left_keys, names)])
+    n, rows = right.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if n <= FEW_KEYS:
+        return left.join(F.broadcast(right), equal(right_keys)).drop(*right_keys)
+    most = max(100, rows // HOT_KEYS + 1)
+    hot, cold = right.where(F.col(weight) > most), right.where(F.col(weight) <= most)
     own = [f"_hot_key{i}" for i in range(len(left_keys))]
     hot_keys = F.broadcast(hot.select(*[F.col(c).alias(k) for c, k in zip(right_keys, own)]))
     rest = left.join(hot_keys, equal(own), "left_anti").join(cold, equal(right_keys))

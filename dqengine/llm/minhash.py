@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqengine.llm import windows as W
-from dqengine.llm.common import LOWER, freed, join_hot, materialize, struct_of, table, text_slices, utf8
+from dqengine.llm.common import FEW_KEYS, LOWER, freed, join_hot, materialize, struct_of, table, text_slices, utf8
 
 COORDINATES = 64
 MATCHES = 36
@@ -73,20 +73,19 @@ def shingle_codes(ids: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.nda
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Hashes of the distinct shingles of many texts, where each text's begin, and the SHA-256 of each text's word sequence."""
-    words, begin = W.word_lists(_LOWER[raw] if len(raw) else raw, at)
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint64, len(words))
+    words = W.Words.of(_LOWER[raw] if len(raw) else raw, at)
+    (ids, known), begin = words.numbered(), words.begin
     code, text, start = shingle_codes(ids, begin, size)
     order = np.lexsort((code, text))
     order = order[W.heads(text[order], code[order])]
     text, start = text[order], start[order]
-    hashes, n = W.word_hashes(list(known)), np.diff(begin)
+    hashes, n = W.word_hashes(known), np.diff(begin)
     length = np.minimum(size, n[text])
     h = length.astype(np.uint64)
     for j in range(size):
         word = hashes[ids[np.minimum(start + j, len(ids) - 1)].astype(np.int64)] if len(ids) else h
         h = h * np.uint64(W.BASES[0]) + np.where(j < length, word, np.uint64(0))
-    digests = [hashlib.sha256(b" ".join(words[a:b])).digest() for a, b in zip(begin.tolist(), begin[1:].tolist())]
+    digests = [hashlib.sha256(words.cut(a, b)).digest() for a, b in zip(begin.tolist(), begin[1:].tolist())]
     return W.mixed(h), np.searchsorted(text, np.arange(len(n) + 1)), digests
 
 
@@ -332,9 +331,8 @@ class Sets:
     """Shingle sets of a group, numbered from the words themselves, in order of size."""
 
     def __init__(self, blobs: list[bytes], shingle: int):
-        lists = [b.split(b" ") for b in blobs]
-        ids = W.word_ids([w for x in lists for w in x])
-        code, text, _ = shingle_codes(ids, np.r_[0, np.cumsum([len(x) for x in lists])], shingle)
+        words = W.Words.of(np.frombuffer(b"".join(blobs), np.uint8), np.r_[0, np.cumsum([len(b) for b in blobs])].astype(np.int64))
+        code, text, _ = shingle_codes(words.numbered()[0], words.begin, shingle)
         code = np.unique(code, return_inverse=True)[1]
         order = np.lexsort((code, text))
         order = order[W.heads(text[order], code[order])]
@@ -442,9 +440,11 @@ def stars_confirmed(rows: pa.Table, shingle: int, percent: int) -> pa.Table:
     return _stars_table(pairs)
 
 
-def with_words(docs: DataFrame, keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """keys with the normalized words of their documents; a merge join at every size, as keys grow with the documents."""
-    joined = docs.join(keys.hint("merge"), F.col("_key") == F.col(key)).select("_key", "_text", *columns)
+def with_words(docs: DataFrame, keys: DataFrame, key: str, columns: list[str], few: bool = False) -> DataFrame:
+    """keys with the normalized words of their documents. ``few``: keys are not many as a rule, such as centres; up to ``FEW_KEYS`` of
+    them are broadcast. Others grow with the documents and are joined by merging at every size."""
+    side = F.broadcast(keys) if few and keys.count() <= FEW_KEYS else keys.hint("merge")
+    joined = docs.join(side, F.col("_key") == F.col(key)).select("_key", "_text", *columns)
     schema = struct_of("_key long, _words binary")
     for c in columns:
         schema.add(joined.schema[c])
@@ -466,7 +466,7 @@ def links(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int, part
     if stars.isEmpty():
         return found.select("a", "b")
     centres = centres_of(stars).withColumnRenamed("_key", "_centre").withColumnRenamed("group", "_cluster")
-    met = in_pairs_of_blocks(with_words(docs, centres, "_centre", ["_cluster", "_far", "_size"]), "_cluster", SET_BLOCK, parts)
+    met = in_pairs_of_blocks(with_words(docs, centres, "_centre", ["_cluster", "_far", "_size"], few=True), "_cluster", SET_BLOCK, parts)
     more = materialize(met.groupBy("part").applyInArrow(lambda rows: freed(centres_confirmed(rows, shingle, percent)), STARS), "minhash-centres")
     edges = found.select("a", "b").unionByName(more.where("far is null").select("a", "b"))
     maybe = more.where("far is not null").select(F.col("a").alias("_one"), F.col("b").alias("_two")).distinct()
@@ -479,7 +479,7 @@ def links(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int, part
     apart = materialize(apart.where(F.coalesce("_one_label", "_one") != F.coalesce("_two_label", "_two")).select("_one", "_two"), "minhash-apart")
     sides = apart.select("_one", "_two", F.col("_one").alias("_of"), F.lit(0).alias("_side")).unionByName(apart.select("_one", "_two", F.col("_two").alias("_of"), F.lit(1).alias("_side")))
     asked = sides.join(stars.select(F.col("a").alias("_star"), F.col("b").alias("_member")), F.col("_of") == F.col("_star")).select("_member", "_one", "_two", "_side")
-    rows = with_words(docs, asked, "_member", ["_one", "_two", "_side"]).withColumn("part", F.pmod(F.xxhash64("_one", "_two"), F.lit(parts)).cast("int"))
+    rows = with_words(docs, asked, "_member", ["_one", "_two", "_side"], few=True).withColumn("part", F.pmod(F.xxhash64("_one", "_two"), F.lit(parts)).cast("int"))
     last = rows.groupBy("part").applyInArrow(lambda rows: freed(stars_confirmed(rows, shingle, percent)), STARS)
     return edges.unionByName(last.select("a", "b"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqengine.llm import windows as W
-from dqengine.llm.common import freed, materialize, shared_dir, struct_of, table, text_slices
+from dqengine.llm.common import freed, materialize, shared_dir, struct_of, table, text_slices, utf8
 
 WINDOW = 35
 GRAM = 14
@@ -253,13 +253,14 @@ def remaining(base: DataFrame, spans: DataFrame, docs: DataFrame, id_col: str, t
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches_, "_text", 2 << 20):
             rows = []
-            for text, found in zip(part.column("_text").to_pylist(), part.column("_spans").to_pylist()):
-                words = (text or "").encode().split()
-                n = len(words)
-                if found:
-                    gone = W.proven(W.Units(np.zeros(n, np.uint8), np.array([0, n]), words), found)
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                rows.append((n, n - len(words), b" ".join(words)))
+            words = W.Words.of(*utf8(part.column("_text")))
+            for a, b, found in zip(words.begin.tolist(), words.begin[1:].tolist(), part.column("_spans").to_pylist()):
+                if not found:
+                    rows.append((b - a, 0, words.cut(a, b)))
+                    continue
+                own = W.Words(words.joined, words.place[a : b + 1], np.array([0, b - a]))
+                gone = W.proven(W.Units(np.zeros(b - a, np.uint8), own.begin, own), found)
+                rows.append((b - a, int(gone.sum()), b" ".join([own.cut(i, i + 1) for i in np.flatnonzero(~gone).tolist()])))
             n, removed, kept = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [part.column("_id"), *(part.column(c) for c in extra), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema.names

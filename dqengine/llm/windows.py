@@ -34,17 +34,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqengine.llm.common import freed, join_hot, materialize, partitions, struct_of, text_slices, utf8
+from dqengine.llm.common import offsets as offsets_of
 
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB ^ 0x5DEECE66C)
 SLICE = 1 << 18
 FLUSH = 1 << 18
 """Anchors that a task packs into one set of rows."""
-PARTS = 8
+PARTS = 4
 """Parts of the key space for each shuffle partition."""
 WIDE = 4096
 """Different contexts of a key beyond which they are not compared in one place."""
 SALTS = 16
 """Rows into which the requests to one mate are dealt."""
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -106,11 +108,42 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def word_lists(raw: np.ndarray, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The words of many texts one after the other, and where each text's begin; bytes.split knows the same white space."""
-    data = raw.tobytes()
-    lists = [data[a:b].split() for a, b in zip(at.tolist(), at[1:].tolist())]
-    return list(chain.from_iterable(lists)), np.r_[0, np.cumsum([len(x) for x in lists], dtype=np.int64)]
+@dataclass
+class Words:
+    """The words of many texts one after the other: their bytes with a space behind each, where each word begins there, and
+    which word each text begins with."""
+
+    joined: np.ndarray
+    place: np.ndarray
+    begin: np.ndarray
+
+    @classmethod
+    def of(cls, raw: np.ndarray, at: np.ndarray) -> Words:
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[at] = True
+        solid = np.r_[False, ~_SPACE[raw], False]
+        start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
+        end = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
+        place = np.r_[0, np.cumsum(end - start + 1)]
+        joined = np.full(place[-1], 32, np.uint8)
+        data = raw[solid[1:-1]]
+        joined[np.arange(len(data)) + np.repeat(np.arange(len(start)), end - start)] = data
+        return cls(joined, place, np.searchsorted(start, at))
+
+    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        """Numbers that are equal where words are, and the words by number."""
+        n = len(self.place) - 1
+        offsets = (self.place - np.arange(n + 1)).astype(np.int32)
+        keep = np.ones(len(self.joined), bool)
+        keep[self.place[1:] - 1] = False
+        made = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(self.joined[keep])]).dictionary_encode()
+        known, at = made.dictionary.buffers()[2], offsets_of(made.dictionary).tolist()
+        data = known.to_pybytes() if known is not None else b""
+        return made.indices.to_numpy().astype(np.uint64), [data[a:b] for a, b in zip(at, at[1:])]
+
+    def cut(self, a: int, b: int) -> bytes:
+        """Words a to b, joined by one space."""
+        return self.joined[self.place[a] : self.place[b] - 1].tobytes() if b > a else b""
 
 
 def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
@@ -118,23 +151,17 @@ def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
-def word_ids(words: list[bytes]) -> np.ndarray:
-    """Numbers that are equal where words are."""
-    known: dict[bytes, int] = {}
-    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint64, len(words))
-
-
 @dataclass
 class Units:
     """What texts are made of: values (bytes, or hashes of words), where each text begins, and the words."""
 
     values: np.ndarray
     at: np.ndarray
-    words: list[bytes] | None = None
+    words: Words | None = None
 
     def cut(self, a: int, b: int) -> bytes:
         """Units a to b as bytes; words are joined by one space."""
-        return b" ".join(self.words[a:b]) if self.words is not None else self.values[a:b].tobytes()
+        return self.words.cut(a, b) if self.words is not None else self.values[a:b].tobytes()
 
 
 @dataclass(frozen=True)
@@ -165,14 +192,15 @@ class Spec:
         """Units whose values are not needed."""
         if not self.words:
             return Units(raw, at)
-        words, begin = word_lists(raw, at)
-        return Units(np.zeros(len(words), np.uint8), begin, words)
+        words = Words.of(raw, at)
+        return Units(np.zeros(len(words.place) - 1, np.uint8), words.begin, words)
 
     def units(self, raw: np.ndarray, at: np.ndarray) -> Units:
         if not self.words:
             return Units(raw, at)
-        words, begin = word_lists(raw, at)
-        return Units(word_hashes(words, self.seed), begin, words)
+        words = Words.of(raw, at)
+        ids, known = words.numbered()
+        return Units(word_hashes(known, self.seed)[ids.astype(np.int64)], words.begin, words)
 
 
 def anchors(units: np.ndarray, at: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -592,7 +620,8 @@ def compare_contexts(rows: pa.Table, spec: Spec) -> pa.Table:
     extensions of neighbours, and for every split of a window into what lies before and after the anchor the groups of
     equal windows. Equality by hash is verified unit by unit; a collision starts over with another base."""
     doc, pos, left, size = (np.concatenate([from_planes(d, kind) for d in rows[name].to_pylist()] or [np.zeros(0, kind)]).astype(np.int64) for name, kind in (("doc", np.int64), ("pos", np.int32), ("left", np.int32), ("size", np.int32)))
-    units = word_ids(b" ".join(rows["units"].to_pylist()).split(b" ")) if spec.words else np.frombuffer(b"".join(rows["units"].to_pylist()), np.uint8)
+    raw = np.frombuffer((b" " if spec.words else b"").join(rows["units"].to_pylist()), np.uint8)
+    units = Words.of(raw, np.array([0, len(raw)])).numbered()[0] if spec.words else raw
     begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
     for base in BASES:
         found = _compare(Suffixes(units, begin + left, begin + size, begin, Hashes(units, base)), doc, spec)

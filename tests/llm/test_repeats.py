@@ -88,7 +88,7 @@ def test_words_that_collide_under_every_odd_base_are_different(spark):
 
 
 def test_equal_hashes_of_different_words_stop_the_job():
-    units = W.Units(np.zeros(3, np.uint8), np.array([0, 3]), [b"a", b"b", b"c"])
+    units = W.Spec(True, 35, 14, False).units(np.frombuffer(b" a b\tc ", np.uint8), np.array([0, 7]))
     assert W.proven(units, [{"start": -2, "end": 2, "proof": b"a b"}, {"start": 2, "end": 3, "proof": None}]).all()
     with pytest.raises(RuntimeError, match="another seed"):
         W.proven(units, [{"start": 1, "end": 9, "proof": b"b d"}])
@@ -110,7 +110,7 @@ def left_by(spans, texts, spec):
         raw = np.frombuffer(t.encode(), np.uint8)
         units = spec.units(raw, np.array([0, len(raw)]))
         keep = np.flatnonzero(~W.proven(units, found.get(i))).tolist()
-        yield b" ".join(units.words[j] for j in keep) if spec.words else raw[keep].tobytes()
+        yield b" ".join(units.cut(j, j + 1) for j in keep) if spec.words else raw[keep].tobytes()
 
 
 @pytest.mark.parametrize("wide", [2, 4096])
@@ -234,6 +234,17 @@ def test_stars_that_only_members_link(spark):
     assert docs.count() == 4
 
 
+def test_words_of_texts():
+    texts = [b"", b"  one\ttwo ", b"three", b"four", b"\x0b", "é\u00a0x \x1c".encode(), b"one"]
+    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    words = W.Words.of(raw, at)
+    want = [w for t in texts for w in t.split()]
+    assert [words.cut(i, i + 1) for i in range(len(want))] == want and words.cut(0, len(want)) == b" ".join(want)
+    assert words.begin.tolist() == np.r_[0, np.cumsum([len(t.split()) for t in texts])].tolist()
+    ids, known = words.numbered()
+    assert [known[int(i)] for i in ids] == want and len(known) == len(set(want))
+
+
 def test_shingle_codes_are_those_of_words():
     rng = np.random.default_rng(5)
     for size in (1, 3, 5, 9):
