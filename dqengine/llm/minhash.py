@@ -14,9 +14,9 @@ coordinates and 36 matches a pair of similarity 0.8 is missed with probability a
 
 Long lists and large clusters are split into blocks by a hash. In a block every member goes to a star: a centre that it is near
 to. Both distances (coordinates that differ; 1 - similarity) obey the triangle inequality, so stars whose centres lie further
-apart than the limit and both radii have no link between them. Centres of all blocks meet; only pairs of stars that their
-centres leave open and that nothing else has joined are compared member by member. So a group of many copies costs its members
-once and its few centres again. Only centres that are all far from each other need pairs of blocks.
+apart than the limit and both radii have no link between them. Centres of all blocks meet; only members of stars that their
+centres leave open and that nothing else has joined are compared one by one. So a group of many copies costs its members
+once and its few centres again. Only centres, and what is left open at the end, need pairs of blocks.
 
 Null and empty texts have no shingles and are linked with nothing; with fewer words than a shingle the whole sequence is one.
 Rows that repeat an id, or have none, are documents of their own; equal rows are one class, of which the first in order of id
@@ -75,11 +75,13 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray
     """Hashes of the distinct shingles of many texts, where each text's begin, and the SHA-256 of each text's word sequence."""
     words = W.Words.of(_LOWER[raw] if len(raw) else raw, at)
     (ids, known), begin = words.numbered(), words.begin
+    n = np.diff(begin)
     code, text, start = shingle_codes(ids, begin, size)
-    order = np.lexsort((code, text))
+    order = np.argsort(code, kind="stable")
+    order = order[np.argsort(text[order].astype(np.uint16 if len(n) < 1 << 16 else np.int64), kind="stable")]  # 16 bits are sorted by radix
     order = order[W.heads(text[order], code[order])]
     text, start = text[order], start[order]
-    hashes, n = W.word_hashes(known), np.diff(begin)
+    hashes = W.word_hashes(known)
     length = np.minimum(size, n[text])
     h = length.astype(np.uint64)
     for j in range(size):
@@ -421,22 +423,24 @@ def centres_confirmed(rows: pa.Table, shingle: int, percent: int) -> pa.Table:
     return _stars_table(pairs)
 
 
-def stars_confirmed(rows: pa.Table, shingle: int, percent: int) -> pa.Table:
-    """One link between two stars, if there is any, for each pair of them."""
-    key, side, blobs = rows["_key"].to_numpy(), rows["_side"].to_numpy(), rows["_words"].to_pylist()
+def open_confirmed(rows: pa.Table, shingle: int, percent: int) -> pa.Table:
+    """Links between members of stars that nothing else has joined (other labels), for each cluster's pair of blocks."""
+    key, label, blobs = rows["_key"].to_numpy(), rows["_label"].to_numpy(), rows["_words"].to_pylist()
     pairs: list[tuple] = []
-    for group in by_groups(rows, ("_one", "_two")):
+    for group in by_groups(rows, ("_cluster", "_i", "_j")):
+        if len(group) < 2:
+            continue
         sets = Sets([blobs[g] for g in group], shingle)
         group = group[sets.order]
-        other = side[group] == 1
-        for x in np.flatnonzero(~other).tolist():
-            rest = sets.fitting(x, percent, other)
+        mine = label[group].copy()
+        for x in range(len(group)):
+            rest = sets.fitting(x, percent, mine != mine[x])
             if len(rest):
                 common = sets.common(x, rest)
-                near = rest[100 * common >= percent * (sets.size[rest] + sets.size[x] - common)]
-                if len(near):
-                    pairs.append((int(key[group[x]]), int(key[group[near[0]]]), None, None))
-                    break
+                for y in rest[100 * common >= percent * (sets.size[rest] + sets.size[x] - common)].tolist():
+                    if mine[y] != mine[x]:
+                        pairs.append((int(key[group[x]]), int(key[group[y]]), None, None))
+                        mine[mine == mine[y]] = mine[x]
     return _stars_table(pairs)
 
 
@@ -472,15 +476,16 @@ def links(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int, part
     maybe = more.where("far is not null").select(F.col("a").alias("_one"), F.col("b").alias("_two")).distinct()
     if maybe.isEmpty():
         return edges
-    # Pairs of stars that nothing else has joined.
+    # Members of stars that may be linked and that nothing else has joined.
     label = components(edges, "minhash-stars")
     one, two = label.select(F.col("_key").alias("_one_key"), F.col("_label").alias("_one_label")), label.select(F.col("_key").alias("_two_key"), F.col("_label").alias("_two_label"))
-    apart = maybe.join(one, F.col("_one") == F.col("_one_key"), "left").join(two, F.col("_two") == F.col("_two_key"), "left")
-    apart = materialize(apart.where(F.coalesce("_one_label", "_one") != F.coalesce("_two_label", "_two")).select("_one", "_two"), "minhash-apart")
-    sides = apart.select("_one", "_two", F.col("_one").alias("_of"), F.lit(0).alias("_side")).unionByName(apart.select("_one", "_two", F.col("_two").alias("_of"), F.lit(1).alias("_side")))
-    asked = sides.join(stars.select(F.col("a").alias("_star"), F.col("b").alias("_member")), F.col("_of") == F.col("_star")).select("_member", "_one", "_two", "_side")
-    rows = with_words(docs, asked, "_member", ["_one", "_two", "_side"], few=True).withColumn("part", F.pmod(F.xxhash64("_one", "_two"), F.lit(parts)).cast("int"))
-    last = rows.groupBy("part").applyInArrow(lambda rows: freed(stars_confirmed(rows, shingle, percent)), STARS)
+    sides = maybe.join(one, F.col("_one") == F.col("_one_key"), "left").join(two, F.col("_two") == F.col("_two_key"), "left")
+    sides = sides.select("_one", "_two", F.coalesce("_one_label", "_one").alias("_one_label"), F.coalesce("_two_label", "_two").alias("_two_label")).where("_one_label <> _two_label")
+    apart = sides.select(F.col("_one").alias("_star"), F.col("_one_label").alias("_label")).unionByName(sides.select(F.col("_two").alias("_star"), F.col("_two_label").alias("_label"))).distinct()
+    left = stars.select(F.col("a").alias("_of"), F.col("b").alias("_member"), F.col("group").alias("_cluster")).join(apart, F.col("_of") == F.col("_star"))
+    left = sized(materialize(left.select("_member", "_cluster", "_label"), "minhash-open"), "_cluster")
+    rows = in_pairs_of_blocks(with_words(docs, left, "_member", ["_cluster", "_label", "_size"], few=True), "_cluster", SET_BLOCK, parts)
+    last = rows.groupBy("part").applyInArrow(lambda rows: freed(open_confirmed(rows, shingle, percent)), STARS)
     return edges.unionByName(last.select("a", "b"))
 
 

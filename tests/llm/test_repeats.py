@@ -218,20 +218,16 @@ def test_near_duplicates_by_stars(spark, monkeypatch, lists, sets, close):
     assert [got[i] for i in range(len(texts))] == labels_of(texts, 4)
 
 
-def test_stars_that_only_members_link(spark):
-    """Two stars whose centres are not near each other, joined by one pair of members."""
+def test_open_stars_are_compared_by_members():
+    """Members of three labels, two of which one pair links, and sets of other sizes."""
     a = [f"a{i}" for i in range(100)]
     step = lambda w, i: [*w[:i], *(f"s{i}z{j}" for j in range(10)), *w[i + 10 :]]
-    centre, member = a, step(a, 0)
-    other, far = step(member, 20), step(step(member, 20), 40)
-    texts = [" ".join(x) for x in (centre, member, other, far)]
-    docs = table(spark, texts).select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"))
-    sides = [(0, 0, 3, 0), (1, 0, 3, 0), (3, 0, 3, 1), (2, 0, 3, 1)]
-    rows = pa.table({"_key": [s[0] for s in sides], "_one": [0] * 4, "_two": [3] * 4, "_side": [s[3] for s in sides], "_words": pa.array([texts[s[0]].encode() for s in sides], pa.binary())})
-    found = minhash.stars_confirmed(rows, 4, 70).to_pylist()
-    want = [(x, y) for x in (0, 1) for y in (2, 3) if labels_of([texts[x], texts[y]], 4, 70)[1] == 0]
-    assert [(f["a"], f["b"]) for f in found][:1] and (found[0]["a"], found[0]["b"]) in want
-    assert docs.count() == 4
+    texts = [" ".join(x) for x in (a, step(a, 0), step(step(step(a, 0), 20), 40), step(step(a, 0), 20), a[:40], step(a[:40], 3))]
+    label = [0, 0, 2, 2, 4, 5]
+    columns = {"_key": list(range(6)), "_cluster": [9] * 6, "_i": [0] * 6, "_j": [1] * 6, "_label": label, "_words": pa.array([t.encode() for t in texts], pa.binary())}
+    found = [(f["a"], f["b"]) for f in minhash.open_confirmed(pa.table(columns), 4, 75).to_pylist()]
+    want = {(x, y) for x in range(6) for y in range(x + 1, 6) if label[x] != label[y] and labels_of([texts[x], texts[y]], 4, 75)[1] == 0}
+    assert len(found) == 1 and {tuple(sorted(f)) for f in found} <= want
 
 
 def test_words_of_texts():
