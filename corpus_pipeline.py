@@ -1,7 +1,8 @@
 """From raw documents to training tokens in five stages, each one operator of the training-data subpackage.
 
 Every stage gets the documents that its predecessor kept and returns their columns; the last returns tokens. Columns beyond the
-known ones travel along in a struct, so their names can't clash with the operators' own.
+known ones travel along in a struct, so their names can't clash with the operators' own. Stages take null ids, texts and sources, empty
+and very long texts, repeated rows and empty tables; what becomes of them is said at each stage.
 """
 
 from __future__ import annotations
@@ -28,21 +29,24 @@ def _unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from labels of documents that are not held out."""
+    """Documents that the classifier rejects go; it learns from labels of documents that are not held out. Null and empty texts
+    score as texts without words; equal texts score alike, so repeated rows stay or go together. Without labels all stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(_packed(docs), model, keep=["text", ROW])
     return _unpacked(scored.where("predicted = 0"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of least id: five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group stays, the one of least id: five-word shingles, similarity 0.8. Null and empty texts
+    are like nothing and stay. Of repeated ids the first row by text stays, of equal rows one; null ids come last."""
     found = minhash.near_duplicates(_packed(docs), shingle=5, percent=80, keep=["text", ROW])
     return _unpacked(found.where("kept"), docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that stand anywhere else too go from the text; texts that lose nothing stay as they are."""
-    found = substring_index.dedup(_packed(docs), keep=["text", ROW])
+    """Words of passages that stand anywhere else too go from the text; texts that lose nothing, null and empty ones among them,
+    stay as they are. Equal rows repeat each other: both lose their passages. The documents come as one batch."""
+    found = substring_index.dedup(_packed(docs), keep=["text", ROW], batches=1)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
@@ -51,14 +55,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice."""
+    """Every document as often as the mix takes it: not at all, once or twice. Null and empty texts have no words and are not taken; a
+    null source is a source; equal rows are documents of their own."""
     mixed = mixing.mix(_packed(docs), keep=["text", ROW])
     copies = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return _unpacked(copies, docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token ids."""
+    """doc_id, n_tokens and token ids of every row, repeated ones too; null and empty texts have no tokens."""
     tokens = bpe.encode(docs, bpe.ranks_path())
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -13,7 +13,8 @@ copies of each other); text outside is content only in a slot: a node that most
 those. Where a page marks none, the text outside template nodes is content.
 
 A null or empty page has empty text. A page without host belongs to the host "". Pages are parsed whole; repeated rows give
-repeated results; other columns are not read. Child lists are matched exactly at any length and depth; long ones by divide and
+repeated results, each different page votes once; an empty table gives no rows; other columns are not read, so their names can't
+clash. Of pages or layouts that tie as exemplars the one of least hash stands. Child lists are matched exactly at any length and depth; long ones by divide and
 conquer, in memory that grows with their length and the square of their different shapes only.
 """
 

@@ -6,7 +6,8 @@ sizes, void and unknown elements skipped, simple blocks and block groups, all fo
 with track, timestamp and byte range; cues become (time, track, cluster position). Bytes are read back by those ranges alone.
 
 A null text or medium is empty: the writer pads it to 64 bytes of silence, the parser finds no packets in it. A truncated or
-broken file raises ValueError with the offset.
+broken file raises ValueError with the offset. Rows are independent: equal texts give equal files, repeated rows each their own; very
+long texts are stored whole; an empty table gives no rows; only the columns named are read, so other names can't clash.
 """
 
 from __future__ import annotations

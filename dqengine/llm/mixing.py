@@ -73,7 +73,8 @@ def mix(
     """
     keep = keep or [id_col]
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    more = [F.col(c) for c in keep if c not in (id_col, text_col) and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    hashable = lambda c: not any(kind in docs.schema[c].dataType.simpleString() for kind in ("map<", "variant"))
+    more = [F.col(c) for c in keep if c not in (id_col, text_col) and hashable(c)]
     draw = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), *more)
     base = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(source_col).cast("string").alias("_source"), size.alias("size"), draw.alias("_draw"))
     base = materialize(base.withColumn("_class", F.when(F.col("size") > 0, F.length(F.bin("size")))), "mix-sizes")

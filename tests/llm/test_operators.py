@@ -93,6 +93,22 @@ def test_odd_rows_and_empty_tables(name, odd, empty):
     assert OPERATORS[name](empty).count() == 0
 
 
+def test_results_of_odd_rows(odd):
+    """Two equal rows, the same text without id, a row of nulls and an empty text: what each operator makes of them."""
+    ids = lambda name, *columns: sorted(((r.doc_id, *(r[c] for c in columns)) for r in OPERATORS[name](odd).collect()), key=repr)
+    want = lambda *rows: sorted(rows, key=repr)
+    t = "same words here " * 20
+    assert ids("suffix", "n_bytes", "n_removed") == want((1, 320, 0), (1, 320, 320), (None, 320, 320), (None, 0, 0), (2, 0, 0))
+    assert ids("substring", "n_words", "n_removed") == want((1, 60, 60), (1, 60, 60), (None, 60, 60), (None, 0, 0), (2, 0, 0))
+    assert ids("minhash", "n_shingles", "component_id", "kept") == want((1, 3, 1, True), (1, 3, 1, False), (None, 3, 1, False), (None, 0, None, True), (2, 0, 2, True))
+    assert ids("licenses", "n_words") == want((1, 60), (1, 60), (None, 60), (None, 0), (2, 0))
+    assert ids("toxicity", "predicted") == want((1, 0), (1, 0), (None, 0), (None, 0), (2, 0))
+    assert [(r[0], r[1]) for r in ids("mixing", "size", "taken")] == want((1, 60), (1, 60), (None, 60), (None, 0), (2, 0))
+    assert {r.doc_id: r.n_chars for r in OPERATORS["fingerprints"](odd).collect() if r.n_chars in (0, len(t))}.keys() == {1, 2, None}
+    assert {(r.n_tokens == 0, r.decoded_sha256) for r in OPERATORS["round_trip"](odd).collect()} == {(True, sha("")), (False, sha(t))}
+    assert {(r.n_bytes, r.payload_bytes) for r in OPERATORS["matroska"](odd).collect()} == {(0, 64), (320, 320)}
+
+
 def test_suffix_dedup_by_brute_force(documents):
     got = rows_of(suffix_dedup.dedup(documents))
     seen = set()
@@ -270,6 +286,19 @@ def test_votes_decide_inside_and_outside_articles(spark):
     assert got == want | {10 + i: f"A long story that all of these pages tell alike Copy {i}" for i in range(3)}
 
 
+def test_hand_labelled_pages(spark):
+    """Pages of three sites as sites write them, with the text that a reader would call the article."""
+    nav = "<header><div class='logo'>Daily</div><nav><ul><li><a href='/'>Home</a><li><a href='/s'>Sport</a></ul></nav></header>"
+    foot = "<footer><p>&copy; 2024 Daily</p></footer><script>track('<p>x</p>')</script>"
+    body = lambda i: f"<h1>Headline {i}</h1><p>The council met on day {i} &amp; voted.</p><p>Mayor No. {i}<br>spoke  for\n{i} minutes.</p><ul><li>point {i}<li>more {i * 3}</ul>"
+    marked = lambda i: f"<!doctype html><html><head><title>{i}</title><style>p{{}}</style></head><body>{nav}<main><article>{body(i)}<div class='ad-slot'>Buy {i}!</div></article></main><aside>Most read: {i + 1}</aside><section class='comments'><p>user{i}: nice</p></section>{foot}"
+    plain = lambda i: f"<html><body><div id=top>Gazette of the valley</div><div><a href='/a'>News</a> <a href='/b'>Weather</a></div><div>{body(i)}</div><form><input name=q><button>Go</button></form><div>Printed in the valley since 1901</div></body></html>"
+    table = lambda i: f"<table><tr><td>Forum<td>Rules of this forum</tr><tr><td>{body(i)}<td>Members only</tr></table><div role=navigation>Next page {i}</div>"
+    rows = [(100 * k + i, f"https://site{k}.example/{i}", page(i)) for k, page in enumerate((marked, plain, table)) for i in range(1, 6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * k + i: f"Headline {i} The council met on day {i} & voted. Mayor No. {i} spoke for {i} minutes. point {i} more {i * 3}" for k in range(3) for i in range(1, 6)}
+
+
 def test_layouts_of_a_host_have_templates_of_their_own(spark):
     one = lambda i: f"<body><div>Menu</div><p>Story {i}</p></body>"
     two = lambda i: f"<body><table><tr><td>Prices of the shop<td>Item {i}</table><h2>Call us</h2></body>"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from dqengine.llm import licenses, registry
+from dqengine.llm import bpe, licenses, registry
 from dqengine.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,24 @@ def test_passages_go(spark, docs):
     assert got[3].text == by_id(docs)[3].text and got[3].n_chars == 1
 
 
+def test_toxic_documents_go(spark, docs, tmp_path):
+    """Labels teach a word; documents with it go, labelled or not, equal rows together; null and empty texts stay."""
+    plain = [f"calm words number {i} about rivers and hills" for i in range(120)]
+    rows = [(i, t + (" you blorgface" if i % 4 == 0 else ""), "en", "a", 1) for i, t in enumerate(plain)]
+    rows += [(200, "such a blorgface again", "en", "a", 1), (200, "such a blorgface again", "en", "a", 1), (201, None, None, None, None), (202, "", "en", "a", 0), (203, "rivers and hills", "en", "a", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, table, str(tmp_path)).collect())
+    assert left == [i for i in range(120) if i % 4] + [201, 202, 203]
+
+
+def test_tokens_decode_to_the_texts(spark, docs):
+    got = corpus_pipeline.tokenize(spark, docs, SF).collect()
+    _, tokens, _ = bpe.codec(bpe.ranks_path())
+    texts = sorted(r.text or "" for r in docs.collect())
+    assert sorted(bpe.decode_ids(r.ids, tokens).decode() for r in got) == texts and all(r.n_tokens == len(r.ids) for r in got)
+
+
 def test_mixing_repeats_rows(spark, docs):
     got = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
     assert max(got.count(i) for i in set(got)) <= 2 and None not in got and 34 not in got
