@@ -81,7 +81,7 @@ def evidence_sql(name: str) -> str:
     return f"""
 SELECT a.*, d.dup, o.out15, o.out10, p.pairs, p.max_r, c.consistency FROM (
   SELECT count(*)::DOUBLE AS n, {len(t.columns)} AS k, {len(t.numbers)} AS numbers, {len(t.texts)} AS texts,
-    round(({' + '.join(pct.values())}) / {len(t.columns)}, 2) AS miss, {' + '.join(f'({x} > 40)::INTEGER' for x in pct.values())} AS miss40,
+    round(({' + '.join(pct.values())}) / {len(t.columns)} + 1e-9, 2) AS miss, {' + '.join(f'({x} > 40)::INTEGER' for x in pct.values())} AS miss40,
     {' + '.join(f'(count(DISTINCT {c}) > 50)::INTEGER' for c in t.texts) or 0} AS high_card,
     {' + '.join(f'coalesce(var_samp({c}) < 0.01, false)::INTEGER' for c in t.numbers)} AS low_var FROM {src}) a,
   (SELECT coalesce(round((sum(m) - count(*)) * 100.0 / sum(m), 2), 0.0) AS dup FROM (SELECT count(*) AS m FROM (SELECT {', '.join(t.columns)} FROM {src}) GROUP BY {', '.join(t.columns)})) d,

@@ -41,7 +41,7 @@ def gather(df: DataFrame, target: str | None, problem: str | None, as_of: dateti
     e.rows, e.duplicate_pct = d.rows, d.duplicate_pct
     e.details["duplicate_rows"] = d.duplicate_rows
     e.missing_by_column = {r["column"]: r.missing_pct for r in profile.missing(df).where("missing > 0").collect()}
-    e.missing_pct = round(sum(e.missing_by_column.values()) / max(1, e.columns), 2)
+    e.missing_pct = round(sum(e.missing_by_column.values()) / max(1, e.columns) + 1e-9, 2)  # ties go up
     classes = profile.column_classes(df)
     e.categorical, e.numerical = (sum(c == k for c in classes.values()) for k in ("categorical", "numerical"))
     e.details["column_types"] = {k: sum(c == k for c in classes.values()) for k in dict.fromkeys(classes.values())}

@@ -268,6 +268,73 @@ def test_watermarked_stream(spark, tmp_path):
     assert closed.windows >= 13 and closed.n == 6 * closed.windows
 
 
+def test_reports_from_sketches_and_whole_details(spark, churn):
+    exact, rough = (report.analyze(churn, as_of=datetime(2024, 5, 1), with_model=False, exact=x, keep=x) for x in (True, False))
+    assert exact["quality_score"] == rough["quality_score"]
+    p = exact["data_profile"]
+    assert p["missing"] == {"plan": 8.33} and p["outliers"]["monthly"]["outliers"] == 1 and p["categorical_features"]["churn"]["mode"] == "no"
+    assert p["leakage"]["risk"] == "high" and len(p["leakage"]["recommendations"]) <= 3 and p["consistency"]["columns"]["mixed_types"] == ["age"]
+    assert p["numeric_features"]["monthly"]["n_unique"] == 12 and p["categorical_summary"]["binary"] == 1.0 and p["high_correlations"] == []
+    assert report.as_table(spark, exact).select("data_profile.consistency.score").first()[0] == p["consistency"]["score"]
+
+
+def test_folds_do_not_depend_on_partitions(spark):
+    df = spark.range(400).select((F.col("id") % 9).cast("double").alias("x"), (F.xxhash64("id") % 5).alias("z"), F.when((F.col("id") * 7 + F.xxhash64("id") % 4) % 9 > 4, "up").otherwise("down").alias("t"))
+    assert baseline.train(df.coalesce(1), "t", "classification").value == pytest.approx(baseline.train(df.repartition(5), "t", "classification").value, abs=0.03)
+
+
+def test_unreadable_files(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n3,4,5,6\n")
+    with pytest.raises(tables.UnreadableFile):
+        df = tables.read_table(spark, str(tmp_path / "bad.csv"), schema="a int, b int")
+        tables.check(df.where("a = 3"))
+    (tmp_path / "t.csv").write_text('a, "b" ,\n1,2,3\n')
+    assert tables.header(spark, str(tmp_path / "t.csv"))[:2] == ["a", "b"]
+    one = tables.metadata(spark.createDataFrame([(1, "x")], "a int, s string"), "t", 0.5).orderBy("position").collect()
+    assert [(r.column, r.type, r.table, r.rows, r.size_mb) for r in one] == [("a", "int", "t", 1, 0.5), ("s", "string", "t", 1, 0.5)]
+
+
+def test_samples_of_outliers_gaps_and_text_dates(spark):
+    rows = [(i, float(i % 5) if i not in (7, 8, 9, 10) else (-1) ** i * 1000.0, None if i % 3 == 0 else "a", None if i % 3 == 0 else 1.0, f"2024-01-{1 + i % 28:02}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v double, s string, w double, when_made string")
+    found = sampling.stratified(df, "id")
+    kinds = {(r["issue_type"], r["column"]) for r in found}
+    assert {("outlier", "v"), ("missing_together", None), ("temporal", "when_made"), ("many_missing", None)} <= kinds
+    assert sampling.parsing_columns(df, "id") == ["when_made"] and sampling.temporal_column(df.drop("when_made"), "id") is None
+    plain = sampling.stratified(df.select("id", "w"), "id")
+    assert ("spread", None) in {(r["issue_type"], r["column"]) for r in plain}
+
+
+def test_rules_of_models_by_family():
+    from itertools import product
+
+    def plain(model, f, problem):
+        """The same points, added rule by rule."""
+        name, missing_ok, cats, readable = model
+        kind, small = models.family(name), f.size in ("tiny", "small")
+        lines = [
+            {"boost": {"tiny": -15, "small": 10}.get(f.size, 20), "forest": 5 if f.size == "tiny" else 15, "linear": 15 if small else 20 if f.high_dimensional else 5, "svm": 15 if small else 20 if f.high_dimensional else -10, "elastic": 25 if f.high_dimensional or f.correlated_pairs > 5 else 10 if f.size in ("small", "medium") else 5}[kind],
+            0 if f.missing == "none" else 15 if missing_ok else -15,
+            0 if f.category_ratio == 0 else -(10 + int(10 * f.category_ratio)) if not cats else 20 if kind == "boost" and f.category_ratio > 0.5 else 10,
+            (15 if f.severe else 10) if problem == "classification" and f.imbalanced else 0,
+            0 if not f.robust else 15 if "XGBoost" in name or kind == "forest" else -10 if kind == "linear" else 0,
+            0 if not f.interpretable else 20 if readable else -10,
+            0 if not f.high_dimensional else {"elastic": 25, "svm": 25, "linear": 15}.get(kind, -5),
+            (10 * readable + 5 * (kind == "linear")) if f.weak_signal else 15 if f.strong_signal and ("XGBoost" in name or kind == "forest") else 0,
+            0 if not f.fast else 20 if "LightGBM" in name else {"linear": 15, "forest": -5, "svm": -15}.get(kind, 0),
+            15 if f.heavy and missing_ok and cats else 0,
+        ]
+        return max(0.0, min(100.0, 50.0 + sum(lines)))
+
+    flags = (False, True)
+    for size, missing, ratio, pairs in product(("tiny", "small", "medium", "large"), ("none", "low"), (0, 0.3, 0.6), (0, 6)):
+        for bits in product(flags, repeat=6):
+            wide, unbalanced, weak, robust, readable, fast = bits
+            f = models.Fingerprint(size, wide, missing, pairs, ratio, unbalanced, unbalanced and weak, weak, not weak, robust, readable, fast, ratio > 0.5)
+            for problem, many in (("classification", models.C.CLASSIFIERS), ("regression", models.C.REGRESSORS)):
+                assert [models.score(m, f, problem) for m in many] == [plain(m, f, problem) for m in many]
+
+
 def test_column_classes(spark):
     df = spark.createDataFrame([("2024-01-05", "x", 1, True, 1.5)], "d string, s string, i int, b boolean, f double").withColumn("t", F.current_timestamp())
     assert profile.column_classes(df) == {"d": "datetime", "s": "categorical", "i": "numerical", "b": "boolean", "f": "numerical", "t": "datetime"}
