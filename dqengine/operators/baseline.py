@@ -88,10 +88,13 @@ def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
             evaluator = RegressionEvaluator(metricName="r2")
         k = folds_for(rows, classes)
         drawn = ready.withColumn("_draw", F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(ready.columns)]))  # the row's values, not its place
-        if problem == "classification":
-            placed = positions(drawn, [F.col("_target"), F.col("_draw")])
+        # Equal rows follow each other, so places deal them to all folds, whichever of them comes first.
+        by = [F.col("_target")] if problem == "classification" else []
+        placed = positions(drawn, [*by, F.col("_draw")])
+        if by:
             first = placed.groupBy(F.col("_target").alias("_class")).agg(F.min("_place").alias("_first"))
-            drawn = placed.join(first, F.col("_target") == F.col("_class")).withColumn("_draw", F.col("_place") - F.col("_first"))
+            placed = placed.join(first, F.col("_target") == F.col("_class")).withColumn("_place", F.col("_place") - F.col("_first"))
+        drawn = placed.withColumn("_draw", F.col("_place"))
         fold = F.pmod(F.col("_draw"), F.lit(k))
         dealt = Pipeline(stages=stages).fit(ready).transform(drawn).select("features", "label", fold.alias("_fold")).persist()
         try:
