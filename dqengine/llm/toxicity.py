@@ -11,8 +11,8 @@ positive example and random and worst windows of the others as negative ones, tr
 fit uses readings out of fold: a third of the texts is read by a model trained on the other two thirds, for texts that training
 has seen are read too well.
 
-Null or empty texts have no words and get the score of readings of 0. Null labels are ignored; a doc_id labelled
-several times counts as toxic if any label says so; without both classes every text gets the share of toxic labels. Rows are
+Null or empty texts have no words and score 0. Null labels are ignored; a doc_id labelled
+several times counts as toxic if any label says so; without both classes every text with words gets the share of toxic labels. Rows are
 scored one by one: repeated rows get equal scores, very long texts are read whole, an empty table gives no rows. Columns to keep
 are renamed on the way, so names like ``score`` can't clash.
 """
@@ -142,6 +142,9 @@ class Bag:
             rank = np.arange(len(order)) - np.repeat(heads, size)
             order, rank = order[rank < TOP], rank[rank < TOP]
             out[self.word_text[order], len(WINDOWS) + rank] = single[order]
+            for i in range(1, TOP):  # texts of fewer words repeat their last one
+                short = which[size <= i]
+                out[short, len(WINDOWS) + i] = out[short, len(WINDOWS) + i - 1]
         return out
 
     def worst(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +170,10 @@ class Model:
     bias: float
 
     def scores(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return _logistic(Bag.of_utf8(raw, at).readings(self.value) @ self.weights + self.bias)
+        bag = Bag.of_utf8(raw, at)
+        found = _logistic(bag.readings(self.value) @ self.weights + self.bias)
+        found[np.bincount(bag.word_text, minlength=bag.texts) == 0] = 0.0
+        return found
 
 
 def constant(share: float) -> Model:

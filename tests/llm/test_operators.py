@@ -587,7 +587,7 @@ def test_toxicity_finds_unseen_misspellings_in_long_texts():
     known = score([made(rng.choice(insults)) for _ in range(100)])
     misspelt = score([made(x) for x in ("blorgfacee", "snarkwitt", "grimblocks", "xblorgface") for _ in range(20)])
     assert (known >= 0.3).mean() > 0.9 and (clean < 0.3).mean() > 0.95 and (misspelt >= 0.3).mean() > 0.7
-    assert score([b"", b"  "]).shape == (2,) and (score([b""]) >= 0).all()
+    assert score([b"", b"  ", b"\x0b"]).tolist() == [0, 0, 0] and (score([w.encode() for w in plain[:50]]) < 0.3).mean() > 0.9
 
 
 def test_toxicity_trains_without_held_out_rows(spark, documents):
