@@ -77,14 +77,15 @@ def shared(texts):
 
 def test_words_that_collide_under_every_odd_base_are_different(spark):
     tail = " ".join(f"w{i}" for i in range(34))
+    texts = []
     for n in (1024, 4096):
         one, two = thue_morse(n), thue_morse(n, True)
-        texts = [f"{one} {tail}", f"{two} {tail}", one, two, one + " x"]
-        got = {r.doc_id: r.kept for r in substring_index.dedup(table(spark, texts)).collect()}
-        assert got == dict(enumerate(texts))
-        label, size = labels_of(texts, 4), [max(1, len(t.split()) - 3) for t in texts]
-        found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, texts), shingle=4).collect()}
-        assert found == {i: (size[i], label[i]) for i in range(len(texts))} and label[:4] != [0, 0, 2, 2]
+        texts += [f"{one} {tail}", f"{two} {tail}", one, two, one + " x"]
+    got = {r.doc_id: r.kept for r in substring_index.dedup(table(spark, texts), batches=1).collect()}
+    assert got == dict(enumerate(texts))
+    label, size = labels_of(texts, 4), [max(1, len(t.split()) - 3) for t in texts]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, texts), shingle=4).collect()}
+    assert found == {i: (size[i], label[i]) for i in range(len(texts))} and label[2:5] == [2, 3, 4]
 
 
 def test_equal_hashes_of_different_words_stop_the_job():
@@ -208,7 +209,7 @@ def chains(rng):
     return [rows[i] for i in rng.permutation(len(rows))]
 
 
-@pytest.mark.parametrize("lists, sets, close", [(1024, 512, 8), (12, 9, 8), (10, 6, 30)])
+@pytest.mark.parametrize("lists, sets, close", [(1024, 512, 8), (10, 6, 30)])
 def test_near_duplicates_by_stars(spark, monkeypatch, lists, sets, close):
     monkeypatch.setattr(minhash, "LIST_BLOCK", lists)
     monkeypatch.setattr(minhash, "SET_BLOCK", sets)
