@@ -4,12 +4,12 @@ A text is cut into words; each word, framed by white space, gives its character
 few neighbouring words are averaged as embedding vectors and a two-class softmax reads the average, so an unseen
 misspelling scores through the n-grams it shares with known words. A text is read by its worst windows of 2, 5 and 20 words and
 its 8 worst words, so that one insult in a long text counts as in a short one and faintly toxic words count together; a
-logistic fit turns these readings and the text's length into a score.
+logistic fit turns these readings into a score. The text's length is no reading: more words can only raise what is read.
 
 Training sees labels of whole texts only. It starts from n-gram log-odds, takes the worst window of each toxic text as a
 positive example and random and worst windows of the others as negative ones, trains, and picks the windows anew. The logistic
 fit uses readings out of fold: a third of the texts is read by a model trained on the other two thirds, for texts that training
-has seen are read too well.
+has seen are read too well. Folds and the last model are fitted side by side, each in a Spark task of its own.
 
 Null or empty texts have no words and score 0. Null labels are ignored; a doc_id labelled
 several times counts as toxic if any label says so; without both classes every text with words gets the share of toxic labels. Rows are
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dqengine.llm.common import LOWER, materialize, table, text_slices, utf8
+from dqengine.llm.common import LOWER, free_memory, materialize, struct_of, table, text_slices, utf8
 
 SIZES = (3, 4, 5, 6)
 BITS = 19
@@ -40,7 +40,7 @@ WINDOWS = (2, 5, 20)
 """Words of the windows that a text is read by."""
 TOP = 8
 """Worst single words that it is read by as well."""
-READINGS = len(WINDOWS) + TOP + 1
+READINGS = len(WINDOWS) + TOP
 FOLDS = 3
 TRAIN_ROWS = 8_000
 """Labelled rows that training may use, chosen by hash; the classifier's sample bound."""
@@ -127,8 +127,7 @@ class Bag:
         return (sums[last] - sums[first]) / np.maximum(1, counts[last] - counts[first]), last
 
     def readings(self, value: np.ndarray) -> np.ndarray:
-        """(texts, ``READINGS``): the largest mean of each text for each width and for single words the ``TOP`` largest, and the
-        logarithm of its words."""
+        """(texts, ``READINGS``): the largest mean of each text for each width and for single words the ``TOP`` largest."""
         out = np.zeros((self.texts, READINGS))
         if len(self.word_at):
             heads = np.flatnonzero(np.r_[True, self.word_text[1:] != self.word_text[:-1]])
@@ -136,7 +135,6 @@ class Bag:
             for i, words in enumerate(WINDOWS):
                 out[which, i] = np.maximum.reduceat(self.window_means(*sums, words)[0], heads)
             size = np.diff(np.r_[heads, len(self.word_at)])
-            out[which, -1] = np.log1p(size)
             single = self.window_means(*sums, 1)[0]
             order = np.lexsort((-single, self.word_text))
             rank = np.arange(len(order)) - np.repeat(heads, size)
@@ -202,18 +200,50 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 4,
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
         return constant(share)
-    value = _values(texts, toxic, rounds, epochs, rate)
     fold = np.random.default_rng(SEED + 1).permutation(len(texts)) % folds
-    seen = np.zeros((len(texts), READINGS))
     apart = all(0 < toxic[fold != k].mean() < 1 for k in range(folds) if (fold != k).any())
-    for k in range(folds) if apart else (-1,):
-        own = np.flatnonzero(fold == k) if apart else np.arange(len(texts))
-        others = np.flatnonzero(fold != k)
-        read_by = _values([texts[i] for i in others], toxic[others], rounds, epochs, rate) if apart else value
-        for a, b in _chunks([texts[i] for i in own]):
-            seen[own[a:b]] = Bag.of_utf8(*_joined([texts[i] for i in own[a:b]])).readings(read_by)
+    whole, *parts = _in_tasks(texts, toxic, fold, [-1, *range(folds)] if apart else [-1], rounds, epochs, rate)
+    seen = np.zeros((len(texts), READINGS))
+    for k, (_, read) in enumerate(parts):
+        seen[fold == k] = read
+    if not apart:
+        seen = _read(texts, whole[0])
     weights, bias = _calibrate(seen, toxic)
-    return Model(value, weights, bias)
+    return Model(whole[0], weights, bias)
+
+
+def _read(texts: list[bytes], value: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(texts), READINGS))
+    for a, b in _chunks(texts):
+        out[a:b] = Bag.of_utf8(*_joined(texts[a:b])).readings(value)
+    return out
+
+
+def _in_tasks(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray, which: list[int], *how) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each fold the model of all other texts and its readings of the fold's (-1: the model of all texts, no readings). With a
+    session each is a task that gets the sample, which ``TRAIN_BYTES`` bounds, by broadcast."""
+
+    def one(k: int, texts, toxic, fold) -> tuple[np.ndarray, np.ndarray]:
+        others = np.flatnonzero(fold != k)
+        value = _values([texts[i] for i in others], toxic[others], *how)
+        return value, _read([texts[i] for i in np.flatnonzero(fold == k)], value)
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return [one(k, texts, toxic, fold) for k in which]
+    shared = spark.sparkContext.broadcast((texts, toxic, fold))
+    schema = struct_of("fold integer, value binary, readings binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                value, read = one(k, *shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([value.tobytes()], pa.binary()), pa.array([read.tobytes()], pa.binary())], schema.names)
+        free_memory()
+
+    rows = {r.fold: r for r in spark.range(which[0], which[-1] + 1, 1, len(which)).mapInArrow(run, schema).collect()}
+    shared.unpersist()
+    return [(np.frombuffer(rows[k].value, np.float32), np.frombuffer(rows[k].readings).reshape(-1, READINGS)) for k in which]
 
 
 def _values(texts: list[bytes], toxic: np.ndarray, rounds: int, epochs: int, rate: float) -> np.ndarray:
@@ -297,8 +327,22 @@ def _by_text(bag: Bag, texts: int) -> tuple[np.ndarray, np.ndarray]:
     return out, head
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic fit (Newton, standardized, ridge)."""
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic fit. Readings whose weight would be negative are left out, so that no word makes a text less
+    toxic."""
+    used = np.arange(x.shape[1])
+    while True:
+        own, bias = _logistic_fit(x[:, used], y)
+        if (own >= 0).all():
+            break
+        used = used[own >= 0]
+    weights = np.zeros(x.shape[1])
+    weights[used] = own
+    return weights, bias
+
+
+def _logistic_fit(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Newton steps over standardized readings, with a ridge."""
     mean, spread = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / spread, np.ones(len(x))]
     w, held = np.zeros(z.shape[1]), ridge * np.r_[np.ones(x.shape[1]), 1e-6]

@@ -613,3 +613,44 @@ def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "TRAIN_BYTES", 100_000)
     toxicity.train(docs, labels)
     assert 100_000 <= sum(map(len, seen)) < 130_000 and set(seen) <= {t.encode() for _, t in rows}
+
+
+def test_toxicity_behind_clean_texts_and_slow_readings(spark):
+    rows = duckdb_rows("SELECT doc_id, coalesce(text, '') AS text, toxic FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL ORDER BY doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id])
+    model = toxicity.fit([t.encode() for t in rows.text[~held]], rows.toxic[~held].to_numpy())
+    assert (model.weights >= 0).all()
+    clean, bad = rows.text[held & (rows.toxic == 0)].tolist(), rows.text[held & (rows.toxic == 1)].tolist()
+    rng = np.random.default_rng(0)
+    padded = [" ".join([*(clean[i] for i in rng.choice(len(clean), 200)), t]).encode() for t in bad[:40]]
+    assert (model.scores(*toxicity._joined(padded)) >= 0.3).mean() >= 0.9
+    some = ["One tÉxt of words", "", " \t", "a", "日本 語 " * 9, *bad[:3]]
+    bag = toxicity.Bag.of_utf8(*toxicity._joined([t.encode() for t in some]))
+    value = np.random.default_rng(1).normal(size=1 << toxicity.BITS).astype(np.float32)
+    assert np.allclose(bag.readings(value), [slow_readings(t, value) for t in some], atol=1e-4)
+
+
+def duckdb_rows(sql):
+    from tests.compare import connect
+
+    return connect("/root/testdata/sf0.1").sql(sql).df()
+
+
+def slow_readings(text, value):
+    """By definition: n-grams of every framed word one at a time."""
+    words = [" " + re.sub("[A-Z]", lambda m: m.group().lower(), w) + " " for w in WORD.findall(text)]
+
+    def grams(word):
+        return [value[bucket(word[i : i + n])] for n in toxicity.SIZES for i in range(len(word) - n + 1)]
+
+    def bucket(gram):
+        own = toxicity.Bag.of(np.array([ord(c) for c in gram], np.uint32), np.array([0, len(gram)]))
+        own.low = np.array([ord(c) for c in gram], np.uint32)
+        own.space = np.zeros(len(gram), bool)
+        return next(b for n, (b, _) in zip([s for s in toxicity.SIZES if s <= len(gram)], own.grams()) if n == len(gram))[0]
+
+    each = [grams(w) for w in words]
+    mean = lambda part: sum(map(sum, part)) / max(1, sum(map(len, part)))
+    widths = [max((mean(each[i : i + n]) for i in range(len(each))), default=0.0) for n in toxicity.WINDOWS]
+    single = sorted((mean([g]) for g in each), reverse=True)[: toxicity.TOP]
+    return widths + single + [single[-1] if single else 0.0] * (toxicity.TOP - len(single))
