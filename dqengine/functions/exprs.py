@@ -86,10 +86,8 @@ def safe_corr(a: Column, b: Column) -> Column:
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def quartile(c: Column, i: int, exact: bool = True) -> Column:
-    """The i-th quartile (1 to 3). All three of a column are one aggregate: equal expressions are computed once."""
-    if exact:
-        return F.percentile(c, F.array(*map(F.lit, QUARTILES)))[i - 1]
+def sketched_quartile(c: Column, i: int) -> Column:
+    """The i-th quartile (1 to 3), its rank off by a ten-thousandth of the rows at most. All three of a column are one aggregate."""
     return F.percentile_approx(c, list(QUARTILES), 10_000)[i - 1].cast("double")
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +10,8 @@ from pyspark.sql.window import Window
 
 from dqengine.functions import catalogs as C
 from dqengine.functions import exprs as E
+from dqengine.operators.gram import column_means, gram_sums
+from dqengine.operators.quantiles import order_statistics
 
 
 def column_classes(df: DataFrame) -> dict[str, str]:
@@ -67,9 +68,16 @@ def row_missing_histogram(df: DataFrame) -> DataFrame:
 
 def co_missing(df: DataFrame, least_pct: float = 0.0) -> DataFrame:
     """column_a, column_b, rows in which both are missing, for pairs that have any."""
-    pairs = list(combinations(df.columns, 2))
-    rows = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.count_if(is_missing(df, a) & is_missing(df, b)).alias("both_missing"), F.count(F.lit(1)).alias("rows")) for a, b in pairs]
-    return df.agg(F.array(*rows).alias("_r")).select(F.inline("_r")).where((F.col("both_missing") > 0) & (F.col("both_missing") * 100.0 > F.col("rows") * least_pct)).drop("rows")
+    flags = df.select(*[is_missing(df, c).cast("double").alias(f"_{i}") for i, c in enumerate(df.columns)])
+    n = df.count() if least_pct else 0
+    sums = gram_sums(flags, {"both": ("x", "x")}, "i int, j int, both_missing long", lambda i, j, s: {"both_missing": s["both"].round().astype("int64")})
+    sums = sums.where((F.col("both_missing") > 0) & (F.col("both_missing") * 100.0 > F.lit(n * least_pct)))
+    return _named_pairs(sums, df.columns, "both_missing")
+
+
+def _named_pairs(pairs: DataFrame, names: list[str], *values: str) -> DataFrame:
+    name = F.array(*map(F.lit, names))
+    return pairs.select(F.element_at(name, F.col("i") + 1).alias("column_a"), F.element_at(name, F.col("j") + 1).alias("column_b"), *values)
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -88,36 +96,56 @@ def duplicate_flags(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return joined.withColumn("is_duplicate", F.coalesce(place(order) != F.col("_first"), F.lit(False))).drop("_key", "_first", "_n")
 
 
+def quartiles(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, list[float]]:
+    """The three quartiles of each numeric column that has values: by distributed selection, or from sketches."""
+    if exact:
+        return order_statistics(df, columns)
+    found = E.tidy(df, columns, {f"q{i}": lambda c, i=i: E.sketched_quartile(E.number(c), i) for i in (1, 2, 3)}).where("q1 is not null").collect()
+    return {r["column"]: [r.q1, r.q2, r.q3] for r in found}
+
+
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles, max, skewness and kurtosis of each numeric column. ``exact=False`` takes sketches for
-    the quartiles, whose memory does not grow with the distinct values."""
+    the quartiles, which are one pass more instead of a few."""
+    names = E.numeric_columns(df) if columns is None else columns
+    cuts = quartiles(df, names, exact)
+    cut = lambda c, i: F.lit(cuts[c][i] if c in cuts else None).cast("double")
     metrics = {
         "n": lambda c: F.count(E.number(c)).cast("double"),
         "mean": lambda c: F.avg(E.number(c)),
         "std": lambda c: F.stddev_samp(E.number(c)),
         "min": lambda c: F.min(E.number(c)),
-        "q25": lambda c: E.quartile(E.number(c), 1, exact),
-        "q50": lambda c: E.quartile(E.number(c), 2, exact),
-        "q75": lambda c: E.quartile(E.number(c), 3, exact),
+        "q25": lambda c: cut(c, 0),
+        "q50": lambda c: cut(c, 1),
+        "q75": lambda c: cut(c, 2),
         "max": lambda c: F.max(E.number(c)),
         "skewness": lambda c: E.adjusted_skewness(E.number(c)),
         "kurtosis": lambda c: E.adjusted_kurtosis(E.number(c)),
     }
-    return E.tidy(df, E.numeric_columns(df) if columns is None else columns, metrics).where("n > 0")
+    return E.tidy(df, names, metrics).where("n > 0")
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_a, column_b, r for every pair of numeric columns, over rows that have both."""
+    """column_a, column_b, r for every pair of numeric columns, over rows that have both; null where either is constant there.
+    Sums of products come from the matrices of Arrow batches, taken from the columns' means, so that any number of pairs is one
+    pass."""
     names = E.numeric_columns(df) if columns is None else columns
-    pairs = list(combinations(names, 2))
-    if not pairs:
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
-    rows = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), E.safe_corr(E.finite(a), E.finite(b)).alias("r")) for a, b in pairs]
-    made = None
-    for i in range(0, len(rows), E.WIDE):
-        part = df.agg(F.array(*rows[i : i + E.WIDE]).alias("_r")).select(F.inline("_r"))
-        made = part if made is None else made.unionByName(part)
-    return made
+    numbers = df.select(*[E.finite(c).alias(f"_{i}") for i, c in enumerate(names)])
+    centred = numbers.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(numbers.columns, column_means(numbers))])
+    sums = gram_sums(centred, {"n": ("1", "1"), "x": ("x", "1"), "y": ("1", "x"), "xx": ("xx", "1"), "yy": ("1", "xx"), "xy": ("x", "x")}, "i int, j int, r double", _pearson)
+    return _named_pairs(sums, names, "r")
+
+
+def _pearson(i, j, s) -> dict:
+    """r from sums over rows that have both; None where a variance is nothing but rounding."""
+    n = np.maximum(s["n"], 1)
+    vx, vy = s["xx"] - s["x"] ** 2 / n, s["yy"] - s["y"] ** 2 / n
+    flat = (vx <= 1e-13 * s["xx"]) | (vy <= 1e-13 * s["yy"]) | (s["n"] < 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (s["xy"] - s["x"] * s["y"] / n) / np.sqrt(vx * vy)
+    return {"r": np.where(flat, np.nan, np.clip(r, -1, 1))}
 
 
 def high_correlations(df: DataFrame, threshold: float = 0.8, columns: list[str] | None = None) -> DataFrame:
@@ -126,9 +154,8 @@ def high_correlations(df: DataFrame, threshold: float = 0.8, columns: list[str]
 
 def outlier_bounds(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> list[tuple[str, float, float]]:
     """(column, lower, upper) fences at 1.5 interquartile ranges: one row per column on the driver."""
-    names = E.numeric_columns(df) if columns is None else columns
-    found = E.tidy(df, names, {"q1": lambda c: E.quartile(E.number(c), 1, exact), "q3": lambda c: E.quartile(E.number(c), 3, exact)}).where("q1 is not null").collect()
-    return [(r["column"], r.q1 - 1.5 * (r.q3 - r.q1), r.q3 + 1.5 * (r.q3 - r.q1)) for r in found]
+    found = quartiles(df, E.numeric_columns(df) if columns is None else columns, exact)
+    return [(c, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, _, q3) in found.items()]
 
 
 def outliers(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from dqengine.functions import exprs as E
-from dqengine.operators import baseline, consistency, importance, leakage, profile, sampling, validation
+from dqengine.operators import baseline, consistency, importance, leakage, neighbours, profile, sampling, validation
 from dqengine.plans import assess, issues, models, scoring
 from dqengine.sources import tables
 
@@ -73,7 +73,8 @@ def gather(df: DataFrame, target: str | None, problem: str | None, as_of: dateti
         leaks = leakage.check(df, target, as_of, compat=compat)
         e.leakage_risk = leaks.overall(compat)
         e.details["leakage"] = {"risk": e.leakage_risk, "columns": leaks.risks(compat), "recommendations": leaks.recommendations()[:ADVICE]}
-        e.max_mi = max((r.mi for r in importance.mutual_information(df, target).collect()), default=0.0)
+        information = neighbours.neighbour_information if compat else importance.mutual_information
+        e.max_mi = max((r.mi for r in information(df, target).collect()), default=0.0)
         if with_model:
             e.signal_points = baseline.train(df, target, problem).score(compat)
     return e

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dqengine.functions import catalogs as C
 from dqengine.functions.lineage import shared_dir
-from dqengine.operators import baseline, consistency, importance, leakage, profile, sampling, validation
+from dqengine.operators import baseline, consistency, importance, leakage, neighbours, profile, sampling, validation
 from dqengine.plans import assess, display, models, report, scoring
 from dqengine.streaming import profile as streaming
 
@@ -331,6 +331,27 @@ def _information_sql(name: str, target: str, features: list[str]) -> str:
 for _t, _target, _features in (("dirty_orders", "o_orderstatus", ["priority", "sex"]), ("flagged_lineitem", "l_returnflag", _FLAGGED), ("part", "p_brand", ["p_type"])):
     register(f"mutual_information_{_t}", lambda s, d, t=_t, y=_target, f=_features: rounded(importance.mutual_information(load(s, d, t), y, f), 6), _information_sql(_t, _target, _features))
 
+
+
+def _neighbour_sql(name: str, target: str, features: list[str], k: int = 3) -> str:
+    """Distances to the k values before and after each in its class, then a count of all values in each ball."""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({target} AS VARCHAR) AS y, CAST({c} AS DOUBLE) AS x, row_number() OVER () AS id FROM {source(name)}" for c in features)
+    beside = ", ".join(f"abs({f}(x, {j}) OVER w - x)" for j in range(1, k + 1) for f in ("lag", "lead"))
+    psi = lambda n: f"(SELECT p FROM psi WHERE psi.n = {n})"
+    return (
+        f"WITH cells AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS size FROM ({long})), kept AS (SELECT * FROM cells WHERE size > 1), "
+        f"near AS (SELECT *, list_sort(list_filter([{beside}], lambda d: d IS NOT NULL))[least({k}, size - 1)] AS r FROM kept WINDOW w AS (PARTITION BY feature, y ORDER BY x, id)), "
+        "balls AS (SELECT a.feature, a.id, any_value(a.size) AS size, any_value(a.r) AS r, count(*) FILTER (b.y = a.y AND a.r = 0) AS own, greatest(count(*) FILTER (b.x = a.x OR a.r > 0), 1) AS n_all FROM near a JOIN kept b "
+        "ON a.feature = b.feature AND (b.x = a.x AND a.r = 0 OR b.x > a.x - a.r AND b.x < a.x + a.r) GROUP BY a.feature, a.id), "
+        f"psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / n) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM range(1, (SELECT count(*) + 2 FROM cells)) AS t(n)), "
+        f"parts AS (SELECT b.feature, o.p - m.p - s.p AS part FROM balls b JOIN psi o ON o.n = CASE WHEN b.r = 0 THEN b.own ELSE least({k}, b.size - 1) END JOIN psi m ON m.n = b.n_all JOIN psi s ON s.n = b.size), "
+        "mean AS (SELECT feature, avg(part) AS part, count(*) AS n FROM parts GROUP BY feature) SELECT feature, round(greatest(psi.p + part, 0.0), 6) AS mi FROM mean JOIN psi ON psi.n = mean.n"
+    )
+
+
+for _t, _target, _features in (("part", "p_brand", ["p_retailprice", "p_size"]), ("customer", "c_mktsegment", ["c_acctbal", "c_nationkey"])):
+    register(f"neighbour_information_{_t}", lambda s, d, t=_t, y=_target, f=_features: rounded(neighbours.neighbour_information(load(s, d, t), y, f), 6), _neighbour_sql(_t, _target, _features))
+
 register(
     "profile_summary_dirty_lineitem",
     lambda s, d: display.profile_summary(load(s, d, "dirty_lineitem").select(*NUMERIC["dirty_lineitem"])),
