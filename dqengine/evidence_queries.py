@@ -1,5 +1,5 @@
 """Queries of the plans: evidence gathered from tables, what the scores, notes and rankings make of it, and the same in SQL over
-the tables. The evidence of a table is gathered once a session and read by all queries of that table."""
+the tables. Every query gathers the parts of the evidence that it reads, from the whole table."""
 
 from __future__ import annotations
 
@@ -44,13 +44,19 @@ TABLES = {
 TEXTS = Table(("o_orderkey",), ("o_orderstatus", "priority", "amount", "day_text", "phone", "sex"))
 
 
-@functools.lru_cache(maxsize=64)
-def _gathered(app: str, sf_dir: str, name: str) -> scoring.Evidence:
-    return report.gather(Q.load(SparkSession.getActiveSession(), sf_dir, name), None, None, AS_OF, with_model=False)
+NOTES = frozenset({"missing", "classes"})
+ISSUE_PARTS = frozenset({"missing", "duplicates", "correlations", "categories", "numbers"})
+SCORE_PARTS = ISSUE_PARTS | {"outliers", "consistency"}
+MODEL_PARTS = NOTES | {"correlations", "outliers"}
 
 
-def evidence(spark: SparkSession, sf_dir: str, name: str) -> scoring.Evidence:
-    return _gathered(spark.sparkContext.applicationId, sf_dir, name)
+def evidence(spark: SparkSession, sf_dir: str, name: str, parts: frozenset[str]) -> scoring.Evidence:
+    """Parts of a table's evidence; the table is kept while they are gathered."""
+    df = Q.load(spark, sf_dir, name).persist()
+    try:
+        return report.gather(df, None, None, AS_OF, with_model=False, parts=parts)
+    finally:
+        df.unpersist()
 
 
 # Consistency in SQL for any table: the twins of the single rules, over other values.
@@ -282,28 +288,32 @@ def _numeric(c: str) -> str:
     return Q.IS_NUMERIC.replace("value", c)
 
 
+def _table_summary(s: SparkSession, e: scoring.Evidence) -> DataFrame:
+    return _listed(s, [(issues.size_category(e.rows), round(issues.samples_per_feature(e), 4), issues.complexity(e))], "size_category string, samples_per_feature double, complexity string")
+
+
 def register_all(register: Callable) -> None:
     for name, t in TABLES.items():
         base = evidence_sql(name)
-        e = functools.partial(lambda s, d, name: evidence(s, d, name), name=name)
-        register(f"scores_{name}", lambda s, d, e=e: _score_rows(s, scoring.quality(e(s, d))), _scores_sql(base, PARTS, {"target_suitability": "'C'"}))
-        register(f"issues_{name}", lambda s, d, e=e: _listed(s, [(i["category"], i["severity"]) for i in issues.detected(e(s, d))], "category string, severity string"), _flags_sql(base, ISSUES, ("category", "severity")))
-        register(f"preprocessing_{name}", lambda s, d, e=e: _listed(s, [(i["priority"], i["category"]) for i in issues.preprocessing(e(s, d))], "priority int, category string"), _flags_sql(base, PREPROCESSING, ("category",), "priority"))
-        register(f"readiness_{name}", lambda s, d, e=e: _listed(s, [(n,) for n in issues.readiness(e(s, d))], "note string"), _flags_sql(base, READINESS, ("note",)))
-        register(f"suggested_steps_{name}", lambda s, d, e=e: _listed(s, [(n,) for n in issues.suggested_steps(e(s, d))], "step string"), _flags_sql(base, SUGGESTED, ("step",), first=5))
-        register(f"risk_factors_{name}", lambda s, d, e=e: _listed(s, issues.risk_factors(e(s, d)), "level string, risk string"), _flags_sql(base, RISKS, ("level", "risk")))
+        e = functools.partial(lambda s, d, parts, name: evidence(s, d, name, parts), name=name)
+        register(f"scores_{name}", lambda s, d, e=e: _score_rows(s, scoring.quality(e(s, d, SCORE_PARTS))), _scores_sql(base, PARTS, {"target_suitability": "'C'"}))
+        register(f"issues_{name}", lambda s, d, e=e: _listed(s, [(i["category"], i["severity"]) for i in issues.detected(e(s, d, ISSUE_PARTS))], "category string, severity string"), _flags_sql(base, ISSUES, ("category", "severity")))
+        register(f"preprocessing_{name}", lambda s, d, e=e: _listed(s, [(i["priority"], i["category"]) for i in issues.preprocessing(e(s, d, NOTES | {"duplicates"}))], "priority int, category string"), _flags_sql(base, PREPROCESSING, ("category",), "priority"))
+        register(f"readiness_{name}", lambda s, d, e=e: _listed(s, [(n,) for n in issues.readiness(e(s, d, NOTES))], "note string"), _flags_sql(base, READINESS, ("note",)))
+        register(f"suggested_steps_{name}", lambda s, d, e=e: _listed(s, [(n,) for n in issues.suggested_steps(e(s, d, NOTES | {"duplicates"}))], "step string"), _flags_sql(base, SUGGESTED, ("step",), first=5))
+        register(f"risk_factors_{name}", lambda s, d, e=e: _listed(s, issues.risk_factors(e(s, d, frozenset({"missing"}))), "level string, risk string"), _flags_sql(base, RISKS, ("level", "risk")))
         register(
             f"table_summary_{name}",
-            lambda s, d, e=e: _listed(s, [(issues.size_category(e(s, d).rows), round(issues.samples_per_feature(e(s, d)), 4), issues.complexity(e(s, d)))], "size_category string, samples_per_feature double, complexity string"),
+            lambda s, d, e=e: _table_summary(s, e(s, d, NOTES | {"categories"})),
             f"WITH e AS ({base}) {SUMMARY_SQL} FROM e",
         )
-        register(f"model_fingerprint_{name}", lambda s, d, e=e: s.createDataFrame([models.fingerprint(e(s, d))]).withColumn("correlated_pairs", F.col("correlated_pairs").cast("int")).withColumn("category_ratio", F.round("category_ratio", 4)), f"WITH e AS ({base}) {FINGERPRINT_SQL} FROM e")
-        register(f"model_scores_{name}", lambda s, d, e=e: _model_scores(s, e(s, d)), f"WITH e AS ({base}), f AS ({FINGERPRINT_SQL} FROM e), m AS ({_ALL_MODELS}) {MODEL_SCORES_SQL}")
+        register(f"model_fingerprint_{name}", lambda s, d, e=e: s.createDataFrame([models.fingerprint(e(s, d, MODEL_PARTS))]).withColumn("correlated_pairs", F.col("correlated_pairs").cast("int")).withColumn("category_ratio", F.round("category_ratio", 4)), f"WITH e AS ({base}) {FINGERPRINT_SQL} FROM e")
+        register(f"model_scores_{name}", lambda s, d, e=e: _model_scores(s, e(s, d, MODEL_PARTS)), f"WITH e AS ({base}), f AS ({FINGERPRINT_SQL} FROM e), m AS ({_ALL_MODELS}) {MODEL_SCORES_SQL}")
         counts = ", ".join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in ("high", "medium", "low"))
-        register(f"issue_counts_{name}", lambda s, d, e=e: _listed(s, [tuple(issues.severity_counts(issues.detected(e(s, d))).values())], "high long, medium long, low long"), f"SELECT {counts} FROM ({_flags_sql(base, ISSUES, ('category', 'severity'))})")
+        register(f"issue_counts_{name}", lambda s, d, e=e: _listed(s, [tuple(issues.severity_counts(issues.detected(e(s, d, ISSUE_PARTS))).values())], "high long, medium long, low long"), f"SELECT {counts} FROM ({_flags_sql(base, ISSUES, ('category', 'severity'))})")
         register(
             f"issue_summary_{name}",
-            lambda s, d, e=e: _listed(s, [(assess.fallback(issues.detected(e(s, d)))["summary"],)], "summary string"),
+            lambda s, d, e=e: _listed(s, [(assess.fallback(issues.detected(e(s, d, ISSUE_PARTS)))["summary"],)], "summary string"),
             f"SELECT concat(high, ' high, ', medium, ' medium and ', low, ' low issues') AS summary FROM (SELECT {counts} FROM ({_flags_sql(base, ISSUES, ('category', 'severity'))}))",
         )
     features = ["l_linenumber", "hint", "l_linestatus"]

@@ -203,7 +203,11 @@ def numeric_features(df: DataFrame, columns: list[str] | None = None) -> DataFra
     """column, variance, low_variance (< 0.01), n_unique, is_constant."""
     names = E.numeric_columns(df) if columns is None else columns
     moments = E.tidy(df, names, {"variance": lambda c: F.var_samp(E.number(c))})
-    distinct = value_counts(df.select(*[E.number(c).alias(c) for c in names]), names).where("value is not null").groupBy(F.col("column").alias("_c")).agg(F.count(F.lit(1)).alias("n_unique"))
+    if not names:
+        return moments.selectExpr("column", "variance", "false as low_variance", "0L as n_unique", "true as is_constant")
+    # Distinct numbers are told apart as numbers: a column's place and a double a cell.
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), E.number(c).alias("_x")) for i, c in enumerate(names)]))).where("_x is not null")
+    distinct = cells.groupBy("_i", "_x").agg(F.lit(1)).groupBy("_i").agg(F.count(F.lit(1)).alias("n_unique")).select(F.element_at(F.array(*map(F.lit, names)), F.col("_i") + 1).alias("_c"), "n_unique")
     joined = moments.join(distinct, F.col("column") == F.col("_c"), "left")
     n = F.coalesce("n_unique", F.lit(0))
     return joined.select("column", "variance", F.coalesce(F.col("variance") < 0.01, F.lit(False)).alias("low_variance"), n.alias("n_unique"), (n <= 1).alias("is_constant"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqengine.functions import catalogs as C
@@ -51,39 +51,79 @@ def number_kinds(df: DataFrame, column: str, key: str, head: int | None = None)
     return first.groupBy(sampling.number_kind(v).alias("kind")).agg(F.count(F.lit(1)).alias("n")).where("kind is not null")
 
 
-def _varied(rows: list, least: float) -> bool:
-    total = sum(r.n for r in rows)
-    return total > 10 and sum(r.n / total > least for r in rows) > 1
-
-
-def status_of(df: DataFrame, claim: dict, key: str) -> str:
-    """VERIFIED, PARTIAL or UNVERIFIED."""
-    kind = next((k for k in KINDS if k in claim.get("issue_type", "").lower()), None)
-    columns = [c for c in claim.get("affected_columns", []) if c in df.columns]
-    yes = lambda found: "VERIFIED" if found else "UNVERIFIED"
-    if kind == "duplicate":
-        return yes(profile.duplicates(df).first().duplicate_rows > 0)
-    if kind == "missing":
-        return yes(columns)
-    if kind == "outlier":
-        return yes([c for c in columns if c in E.numeric_columns(df)])
-    if kind == "semantic_null":
-        return yes(columns and not semantic_nulls(df, columns).isEmpty())
-    if kind == "mixed":
-        shares = [mixed_shares(df, c, key).first() for c in columns]
-        return yes(any((s.numeric or 0) > 0.05 and max(s.number_words or 0, s.other or 0) > 0.05 for s in shares))
-    if kind == "format":
-        found = any(_varied(date_kinds(df, c, key).collect(), 0.05) or _varied(number_kinds(df, c, key).collect(), 0.1) for c in columns)
-        return "VERIFIED" if found else "PARTIAL"
-    if kind == "correlation":
-        numbers = [c for c in columns if c in E.numeric_columns(df)]
-        return yes(not profile.high_correlations(df, 0.7, numbers if len(numbers) > 1 else None).isEmpty())
-    return "UNVERIFIED"
-
-
-def validate(df: DataFrame, claims: list[dict], key: str) -> dict:
-    """The claims with validation_status, their rates and the confidence that follows."""
-    checked = [claim | {"validation_status": status_of(df, claim, key)} for claim in claims]
+DATES, NUMBERS = ("slash", "dash", "dot"), ("currency", "plain", "scientific", "percentage")
+
+
+def column_facts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column what claims are checked against: missing_pct, null_like (values that stand for null), shares numeric, words and other, and
+    counts of the kinds of dates and numbers. One aggregation for every few columns."""
+    value = lambda c: E.q(c).cast("string")
+    trimmed = lambda c: F.trim(value(c))
+    word = lambda c: reduce(lambda a, b: a | b, [E.normal(value(c)).contains(w) for w in C.NUMBER_WORDS])
+    share = lambda c, cond: F.try_divide(F.count_if(cond).cast("double"), F.count(value(c)))
+    dated = lambda c: (F.length(trimmed(c)) > 5) & trimmed(c).rlike(r"\d")
+    date = lambda c: F.when(dated(c), F.when(trimmed(c).contains("/"), "slash").when(trimmed(c).contains("-"), "dash").when(trimmed(c).contains("."), "dot"))
+    metrics = {
+        "missing_pct": lambda c: E.percent(F.count_if(profile.is_missing(df, c)), F.count(F.lit(1))),
+        "null_like": lambda c: F.count_if(E.normal(value(c)).isin(C.CLAIM_NULL_TOKENS)).cast("double"),
+        "numeric": lambda c: share(c, E.is_numeric(value(c))),
+        "words": lambda c: share(c, ~E.is_numeric(value(c)) & word(c)),
+        "other": lambda c: share(c, ~E.is_numeric(value(c)) & ~word(c)),
+    }
+    metrics |= {k: lambda c, k=k: F.count_if(date(c) == k).cast("double") for k in DATES}
+    metrics |= {k: lambda c, k=k: F.count_if(sampling.number_kind(trimmed(c)) == k).cast("double") for k in NUMBERS}
+    return E.tidy(df, columns, metrics)
+
+
+def _varied(kinds: tuple[str, ...], least: float) -> Column:
+    """Whether over ten values fall into two or more kinds that each have more than that share."""
+    total = sum((F.col(k) for k in kinds), F.lit(0.0))
+    return (total > 10) & (sum(((F.col(k) > least * total).cast("int") for k in kinds), F.lit(0)) > 1)
+
+
+def kind_of(claim: dict) -> str | None:
+    return next((k for k in KINDS if k in claim.get("issue_type", "").lower()), None)
+
+
+def claim_evidence(df: DataFrame, claims: list[dict]) -> DataFrame:
+    """claim (its place), issue_type, validation_status and evidence: the mean missing or outlier percentage of its columns, how many of them
+    are mixed, varied or hold null-like values, how many rows are duplicates, or how many pairs are correlated by more than 0.7.
+
+    Claims are a table that is joined to the facts of the columns that they name; facts are gathered once for all claims, and only
+    those that some claim asks for. Columns that the table doesn't have are no evidence."""
+    spark = df.sparkSession
+    named = [[c for c in claim.get("affected_columns", []) if c in df.columns] for claim in claims]
+    kinds = [kind_of(c) for c in claims]
+    rows = [(i, c.get("issue_type", ""), k, names) for i, (c, k, names) in enumerate(zip(claims, kinds, named))]
+    table = spark.createDataFrame(rows, "claim long, issue_type string, kind string, columns array<string>")
+    of = lambda *wanted: list(dict.fromkeys(c for k, names in zip(kinds, named) if k in wanted for c in names))
+    numbers = set(E.numeric_columns(df))
+    facts = column_facts(df, of("mixed", "semantic_null", "format", "missing")).withColumnRenamed("column", "_fact")
+    fences = profile.outliers(df, [c for c in of("outlier") if c in numbers]).select(F.col("column").alias("_fence"), "outlier_pct")
+    pairs = profile.high_correlations(df, 0.7, [c for c in of("correlation") if c in numbers]).select(F.array_sort(F.array("column_a", "column_b")).alias("_pair"))
+    repeated = profile.duplicates(df).select(F.lit("duplicate").alias("_kind"), F.col("duplicate_rows").cast("double")) if "duplicate" in kinds else spark.createDataFrame([], "_kind string, duplicate_rows double")
+
+    each = table.withColumn("_column", F.explode_outer("columns")).join(F.broadcast(facts), F.col("_column") == F.col("_fact"), "left").join(F.broadcast(fences), F.col("_column") == F.col("_fence"), "left")
+    mixed = (F.coalesce("numeric", F.lit(0.0)) > 0.05) & (F.greatest(F.coalesce("words", F.lit(0.0)), F.coalesce("other", F.lit(0.0))) > 0.05)
+    found = each.groupBy("claim", "issue_type", "kind", "columns").agg(
+        F.avg("missing_pct").alias("missing"), F.avg("outlier_pct").alias("outlier"), F.count_if(F.col("null_like") > 0).alias("nulls"), F.count_if(mixed).alias("mixed"), F.count_if(_varied(DATES, 0.05) | _varied(NUMBERS, 0.1)).alias("varied")
+    )
+    # A pair is evidence of every claim that names both of its columns.
+    linked = table.where("kind = 'correlation'").select(F.col("claim").alias("_claim"), F.explode(F.array_distinct("columns")).alias("a"), "columns")
+    linked = linked.select("_claim", "a", F.explode(F.array_distinct("columns")).alias("b")).where("a < b").join(F.broadcast(pairs), F.col("_pair") == F.array("a", "b"))
+    found = found.join(linked.groupBy("_claim").agg(F.count(F.lit(1)).alias("pairs")), F.col("claim") == F.col("_claim"), "left").join(F.broadcast(repeated), F.col("kind") == F.col("_kind"), "left")
+    values = {"mixed": F.col("mixed"), "semantic_null": F.col("nulls"), "format": F.col("varied"), "missing": F.col("missing"), "outlier": F.col("outlier"), "duplicate": F.col("duplicate_rows"), "correlation": F.coalesce("pairs", F.lit(0))}
+    evidence = reduce(lambda at, kv: at.when(F.col("kind") == kv[0], kv[1].cast("double")), values.items(), F.when(F.lit(False), F.lit(None).cast("double")))
+    # Missing values and outliers are confirmed by being measured, however few there are.
+    holds = F.when(F.col("kind").isin("missing", "outlier"), evidence.isNotNull()).otherwise(F.coalesce(evidence > 0, F.lit(False)))
+    status = F.when(holds, "VERIFIED").when(F.col("kind") == "format", "PARTIAL").otherwise("UNVERIFIED")
+    return found.select("claim", "issue_type", status.alias("validation_status"), evidence.alias("evidence"))
+
+
+def validate(df: DataFrame, claims: list[dict], key: str | None = None) -> dict:
+    """The claims with validation_status and evidence, their rates and the confidence that follows."""
+    found = {r.claim: r for r in claim_evidence(df, claims).collect()} if claims else {}
+    checked = [claim | {"validation_status": found[i].validation_status, "evidence": found[i].evidence} for i, claim in enumerate(claims)]
     n = len(checked)
     rate = sum(c["validation_status"] == "VERIFIED" for c in checked) / n if n else 1.0
     partial = sum(c["validation_status"] == "PARTIAL" for c in checked) / n if n else 0.0

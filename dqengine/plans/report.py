@@ -7,9 +7,10 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dqengine.functions import exprs as E
-from dqengine.operators import baseline, consistency, importance, leakage, neighbours, profile, sampling, validation
+from dqengine.operators import baseline, consistency, importance, leakage, neighbours, profile, sampling, sketches, telling, validation
 from dqengine.plans import assess, issues, models, scoring
 from dqengine.sources import tables
 
@@ -33,51 +34,87 @@ ADVICE = 3
 """Recommendations of a rule set that the report shows."""
 
 
-def gather(df: DataFrame, target: str | None, problem: str | None, as_of: datetime, with_model: bool = True, compat: bool = False, exact: bool = True) -> scoring.Evidence:
-    """The evidence, in a number of jobs that doesn't depend on the number of columns. ``exact=False`` takes quantiles from sketches,
-    whose memory doesn't grow with the distinct values."""
+PARTS = frozenset({"duplicates", "missing", "classes", "outliers", "correlations", "categories", "numbers", "consistency", "target"})
+"""What evidence is made of."""
+
+
+def gather(df: DataFrame, target: str | None, problem: str | None, as_of: datetime, with_model: bool = True, compat: bool = False, exact: bool = True, parts: frozenset[str] = PARTS) -> scoring.Evidence:
+    """The evidence, in a number of jobs that doesn't depend on the number of columns; ``parts`` names what is wanted of it.
+    ``exact=False`` takes missing values, duplicates, quartiles, distinct and most frequent values from sketches, whose memory doesn't
+    grow with the rows."""
     e = scoring.Evidence(columns=len(df.columns), target=target, problem=problem)
-    d = profile.duplicates(df).first()
-    e.rows, e.duplicate_pct = d.rows, d.duplicate_pct
-    e.details["duplicate_rows"] = d.duplicate_rows
-    e.missing_by_column = {r["column"]: r.missing_pct for r in profile.missing(df).where("missing > 0").collect()}
-    e.missing_pct = round(sum(e.missing_by_column.values()) / max(1, e.columns) + 1e-9, 2)  # ties go up
-    classes = profile.column_classes(df)
-    e.categorical, e.numerical = (sum(c == k for c in classes.values()) for k in ("categorical", "numerical"))
-    e.details["column_types"] = {k: sum(c == k for c in classes.values()) for k in dict.fromkeys(classes.values())}
-    fences = profile.outliers(df, exact=exact).collect()
-    e.outlier_pct = {r["column"]: r.outlier_pct for r in fences}
-    e.details["outliers"] = {r["column"]: {"outliers": int(r.outliers), "outlier_pct": r.outlier_pct, "lower": r.lower, "upper": r.upper} for r in fences}
-    pairs = [r for r in profile.correlations(df).collect() if r.r is not None]
-    high = sorted((r for r in pairs if abs(r.r) > 0.8), key=lambda r: (-abs(r.r), r.column_a, r.column_b))
-    e.high_pairs, e.max_abs_r = len(high), max((abs(r.r) for r in pairs), default=0.0)
-    e.details["high_correlations"] = [r.asDict() for r in high]
-    categories = profile.categorical_features(df).collect()
-    e.high_cardinality = sum(r.cardinality == "high" for r in categories)
-    e.details["categorical_features"] = {r["column"]: {k: r[k] for k in ("n_unique", "cardinality", "mode", "mode_count")} for r in categories}
-    numbers = profile.numeric_features(df).collect()
-    e.low_variance = sum(r.low_variance for r in numbers)
-    e.details["numeric_features"] = {r["column"]: {k: r[k] for k in ("variance", "low_variance", "n_unique")} for r in numbers}
-    e.binary = sum(r.n_unique == 2 for r in [*categories, *numbers])
+    state = {} if exact else {r["column"]: r for r in sketches.read(sketches.sketch(df), 1).collect()}
+    if not exact:
+        e.rows, distinct = df.agg(F.count(F.lit(1)), sketches.distinct_rows(df)).first()
+        # Within the sketch's own error there are no duplicates.
+        e.details["duplicate_rows"] = more = e.rows - distinct if e.rows - distinct > sketches.DISTINCT_ERROR * e.rows else 0
+        e.duplicate_pct = round(100 * more / max(1, e.rows), 2)
+    elif "duplicates" in parts:
+        d = profile.duplicates(df).first()
+        e.rows, e.duplicate_pct = d.rows, d.duplicate_pct
+        e.details["duplicate_rows"] = d.duplicate_rows
+    else:
+        e.rows = df.count()
+    if "missing" in parts:
+        e.missing_by_column = {c: r.missing_pct for c, r in state.items() if r.missing} if state else {r["column"]: r.missing_pct for r in profile.missing(df).where("missing > 0").collect()}
+        e.missing_pct = round(sum(e.missing_by_column.values()) / max(1, e.columns) + 1e-9, 2)  # ties go up
+    if "classes" in parts:
+        classes = profile.column_classes(df)
+        e.categorical, e.numerical = (sum(c == k for c in classes.values()) for k in ("categorical", "numerical"))
+        e.details["column_types"] = {k: sum(c == k for c in classes.values()) for k in dict.fromkeys(classes.values())}
+    if "outliers" in parts:
+        fences = profile.outliers(df, exact=exact).collect()
+        e.outlier_pct = {r["column"]: r.outlier_pct for r in fences}
+        e.details["outliers"] = {r["column"]: {"outliers": int(r.outliers), "outlier_pct": r.outlier_pct, "lower": r.lower, "upper": r.upper} for r in fences}
+    if "correlations" in parts:
+        found = [r for r in profile.correlations(df).collect() if r.r is not None]
+        high = sorted((r for r in found if abs(r.r) > 0.8), key=lambda r: (-abs(r.r), r.column_a, r.column_b))
+        e.high_pairs, e.max_abs_r = len(high), max((abs(r.r) for r in found), default=0.0)
+        e.details["high_correlations"] = [r.asDict() for r in high]
+    if "categories" in parts:
+        texts = E.string_columns(df)
+        if state:
+            e.details["categorical_features"] = {c: {"n_unique": state[c].n_unique, "cardinality": "high" if state[c].n_unique > 50 else "medium" if state[c].n_unique > 10 else "low", "mode": state[c].top[0]["value"], "mode_count": state[c].top[0]["n"]} for c in texts if state[c].top}
+        else:
+            e.details["categorical_features"] = {r["column"]: {k: r[k] for k in ("n_unique", "cardinality", "mode", "mode_count")} for r in profile.categorical_features(df).collect()}
+        e.high_cardinality = sum(c["cardinality"] == "high" for c in e.details["categorical_features"].values())
+    if "numbers" in parts:
+        if state:
+            variances = {c: state[c]["std"] ** 2 if state[c]["std"] is not None else None for c in E.numeric_columns(df)}
+            e.details["numeric_features"] = {c: {"variance": v, "low_variance": v is not None and v < 0.01, "n_unique": state[c].n_unique} for c, v in variances.items()}
+        else:
+            e.details["numeric_features"] = {r["column"]: {k: r[k] for k in ("variance", "low_variance", "n_unique")} for r in profile.numeric_features(df).collect()}
+        e.low_variance = sum(r["low_variance"] for r in e.details["numeric_features"].values())
+    e.binary = sum(r["n_unique"] == 2 for k in ("categorical_features", "numeric_features") for r in e.details.get(k, {}).values())
+    if "consistency" in parts:
+        _gather_consistency(e, df, compat)
+    if target and "target" in parts:
+        _gather_target(e, df, as_of, with_model, compat)
+    return e
+
+
+def _gather_consistency(e: scoring.Evidence, df: DataFrame, compat: bool) -> None:
     found = consistency.check(df, compat)
     e.consistency = found.score
     rules = {"mixed_types": found.mixed, "noise": found.noise, "categories": found.categorical, "units": found.units, "formats": found.formats}
     e.details["consistency"] = {"score": found.score, "columns": {k: sorted(v) for k, v in rules.items() if v}, "recommendations": found.recommendations()[:ADVICE]}
-    if target:
-        e.target_missing = df.where(profile.is_missing(df, target)).count()
-        if problem == "classification":
-            b = profile.class_balance(df, target).first()
-            e.target_classes, e.balanced, e.imbalance = b.classes, b.balanced if b.balanced is not None else True, b.imbalance_ratio or 1.0
-        elif target in E.numeric_columns(df):
-            e.target_std = next((r["std"] for r in profile.target_statistics(df, target).collect()), None)
-        leaks = leakage.check(df, target, as_of, compat=compat)
-        e.leakage_risk = leaks.overall(compat)
-        e.details["leakage"] = {"risk": e.leakage_risk, "columns": leaks.risks(compat), "recommendations": leaks.recommendations()[:ADVICE]}
-        information = neighbours.neighbour_information if compat else importance.mutual_information
-        e.max_mi = max((r.mi for r in information(df, target).collect()), default=0.0)
-        if with_model:
-            e.signal_points = baseline.train(df, target, problem).score(compat)
-    return e
+
+
+def _gather_target(e: scoring.Evidence, df: DataFrame, as_of: datetime, with_model: bool, compat: bool) -> None:
+    target, problem = e.target, e.problem
+    e.target_missing = df.where(profile.is_missing(df, target)).count()
+    if problem == "classification":
+        b = profile.class_balance(df, target).first()
+        e.target_classes, e.balanced, e.imbalance = b.classes, b.balanced if b.balanced is not None else True, b.imbalance_ratio or 1.0
+    elif target in E.numeric_columns(df):
+        e.target_std = next((r["std"] for r in profile.target_statistics(df, target).collect()), None)
+    leaks = leakage.check(df, target, as_of, compat=compat)
+    e.leakage_risk = leaks.overall(compat)
+    e.details["leakage"] = {"risk": e.leakage_risk, "columns": leaks.risks(compat), "recommendations": leaks.recommendations()[:ADVICE]}
+    information = neighbours.neighbour_information if compat else importance.mutual_information
+    e.max_mi = max((r.mi for r in information(df, target).collect()), default=0.0)
+    if with_model:
+        e.signal_points = baseline.train(df, target, problem).score(compat)
 
 
 def analyze(
@@ -110,7 +147,7 @@ def analyze(
         insight = assess.fallback(found) | {"red_flags": [], "pipeline": "", "action_items": [{"action": i["recommendation"], "impact": i["severity"].upper(), "effort": ""} for i in found[:5]]}
         if assessor is not None:
             keyed = df if key else tables.with_row_id(df)
-            samples = sampling.stratified(keyed, key or "_row_id", compat=compat)
+            samples = telling.samples(keyed, key or "_row_id", compat=compat)
             answer = assess.read_answer(assessor(assess.request(quality, samples, sampling.summary(samples))))
             if "error" not in answer:
                 checked = validation.validate(keyed, answer["blocking_issues"], key or "_row_id")

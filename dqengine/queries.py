@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dqengine.functions import catalogs as C
 from dqengine.functions.lineage import shared_dir
-from dqengine.operators import baseline, consistency, importance, leakage, neighbours, profile, sampling, validation
+from dqengine.operators import baseline, consistency, importance, leakage, neighbours, profile, sampling, sketches, telling, validation
 from dqengine.plans import assess, display, models, report, scoring
 from dqengine.streaming import profile as streaming
 
@@ -198,6 +198,29 @@ register(
 _PER_ROW = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in _MISSING)
 register("missing_summary_noted_events", lambda s, d: profile.missing_summary(load(s, d, "noted_events")).withColumn("total_missing", F.col("total_missing").cast("long")), f"SELECT CAST(sum({_PER_ROW}) AS BIGINT) AS total_missing, round(sum({_PER_ROW}) * 100.0 / (count(*) * 5), 2) AS missing_pct, count(*) FILTER ({_PER_ROW} = 0) AS complete_rows FROM {source('noted_events')}")
 register("row_missing_histogram_noted_events", lambda s, d: profile.row_missing_histogram(load(s, d, "noted_events")), f"SELECT CAST({_PER_ROW} AS INTEGER) AS missing_columns, count(*) AS rows FROM {source('noted_events')} GROUP BY 1")
+
+
+def _merged_states(s: SparkSession, d: str) -> DataFrame:
+    """States of three parts of a table, merged and read."""
+    df = load(s, d, "noted_events")
+    parts = [sketches.sketch(df.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == r)) for r in range(3)]
+    found = sketches.read(sketches.merged(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    return rounded(found.select("column", "rows", "missing", "missing_pct", "mean", "std", "min", "max", "skewness", "kurtosis", F.when(~F.col("numeric"), F.col("top")[0]["n"]).alias("mode_count")))
+
+
+def _merged_states_sql() -> str:
+    src = source("noted_events")
+    number = lambda c: f"CAST(CASE WHEN isnan({c}::DOUBLE) THEN NULL ELSE {c} END AS DOUBLE)"
+    numbers = [
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({number(c)} IS NULL) AS missing, round(count(*) FILTER ({number(c)} IS NULL) * 100.0 / count(*), 2) AS missing_pct, round(avg({number(c)}), 4) AS mean, round(stddev_samp({number(c)}), 4) AS std, "
+        f"min({number(c)}) AS min, max({number(c)}) AS max, round(skewness({number(c)}), 4) AS skewness, round(kurtosis({number(c)}), 4) AS kurtosis, CAST(NULL AS BIGINT) AS mode_count FROM {src}"
+        for c in ("event_id", "value", "reading", "user_id")
+    ]
+    text = f"SELECT 'event_type', count(*), count(*) FILTER (event_type IS NULL), round(count(*) FILTER (event_type IS NULL) * 100.0 / count(*), 2), NULL, NULL, NULL, NULL, NULL, NULL, (SELECT max(n) FROM (SELECT count(*) AS n FROM {src} WHERE event_type IS NOT NULL GROUP BY event_type)) FROM {src}"
+    return " UNION ALL ".join([*numbers, text])
+
+
+register("merged_states_noted_events", _merged_states, _merged_states_sql())
 register("co_missing_noted_events", lambda s, d: profile.co_missing(load(s, d, "noted_events")), f"SELECT 'reading' AS column_a, 'user_id' AS column_b, count(*) AS both_missing FROM {source('noted_events')} WHERE reading IS NULL AND user_id IS NULL HAVING count(*) > 0")
 
 
@@ -426,6 +449,65 @@ register(
     "WITH t AS (SELECT o_orderkey, CASE WHEN p < n // 3 THEN 'early' WHEN p >= n - n // 3 THEN 'late' ELSE 'middle' END AS third FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders)) "
     "SELECT o_orderkey, third FROM (SELECT *, row_number() OVER (PARTITION BY third ORDER BY md5(concat('42:', o_orderkey)), o_orderkey) AS r FROM t) WHERE r <= 3",
 )
+
+def _telling_sql(name: str, key: str, texts: list[str], numbers: list[str], columns: list[str], time: str | None = None, parsed: str | None = None) -> str:
+    """Every rule's first rows, then quotas, over the whole table."""
+    src, rules = source(name), list(telling.RULES)
+    draw = lambda seed: f"md5(concat('{seed}:', CAST({key} AS VARCHAR)))"
+    missing = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in columns)
+    made: list[str] = []
+
+    def rule(kind: str, column: str | None, cell: int, part: str, order: str = "0.0", by: str = "''", table: str = src) -> None:
+        severity, quota, k, parts = telling.RULES[kind]
+        shown = "CAST(NULL AS VARCHAR)" if column is None else f"'{column}'"
+        made.append(
+            f"SELECT {rules.index(kind)} AS rule, {cell} AS cell, '{kind}' AS issue_type, {shown} AS \"column\", '{severity}' AS severity, '{quota}' AS quota, part, ord, r, {key}, {parts} AS parts, count(DISTINCT part) OVER () AS found FROM "
+            f"(SELECT *, row_number() OVER (PARTITION BY part ORDER BY ord, draw, {key}) AS r FROM (SELECT {key}, {part} AS part, CAST({order} AS DOUBLE) AS ord, {by} AS draw FROM {table}) WHERE part IS NOT NULL) WHERE r <= {k}"
+        )
+
+    for i, c in enumerate(texts):
+        value = f"trim({c})"
+        rule("mixed_types", c, i, f"CASE WHEN {c} IS NOT NULL THEN CASE WHEN {IS_NUMERIC.replace('value', c)} THEN 'numeric' ELSE 'other' END END")
+        rule("semantic_nulls", c, i, "CASE WHEN " + " OR ".join(f"contains(lower(coalesce({c}, 'nan')), '{p}')" for p in C.SAMPLE_NULL_PARTS) + " THEN '' END")
+        common = f"(SELECT {c} AS v FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 0.5 * (SELECT count({c}) FROM {src}) AND lower(trim({c})) NOT IN ('', 'nan'))"
+        rule("dominant_value", c, i, f"CASE WHEN {c} = (SELECT v FROM {common}) THEN '' END")
+        rule("date_formats", c, i, "CASE " + " ".join(f"WHEN regexp_matches({value}, '\\d{{1,4}}{x}\\d{{1,2}}{x}\\d{{1,4}}') THEN '{k}'" for x, k in (("/", "slash"), ("-", "dash"), ("\\.", "dot"))) + " END")
+        rule("number_formats", c, i, f"CASE WHEN regexp_matches({value}, '[$€£¥]') THEN 'currency' WHEN regexp_matches({value}, '^\\d+\\.?\\d*$') THEN 'plain' WHEN regexp_matches({value}, '\\d+[eE][+-]?\\d+') THEN 'scientific' WHEN contains({value}, '%') AND regexp_matches({value}, '\\d') THEN 'percentage' END")
+        rule("blank_text", c, i, f"CASE WHEN {value} = '' THEN '' END")
+    rule("many_missing", None, 0, f"CASE WHEN {missing} >= {max(2.0, 0.3 * len(columns))} THEN '' END")
+    for i, (a, b) in enumerate(combinations(columns, 2)):
+        rule("missing_together", f"{a}, {b}", i, f"CASE WHEN {a} IS NULL AND {b} IS NULL AND (SELECT count(*) FILTER ({a} IS NULL AND {b} IS NULL) * 100.0 > 20 * count(*) FROM {src}) THEN '' END")
+    for i, c in enumerate(numbers):
+        fences = f"(SELECT *, quantile_cont(CAST({c} AS DOUBLE), 0.25) OVER () AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) OVER () AS q3 FROM {src})"
+        low, high = "q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)"
+        often = f"(SELECT * FROM (SELECT *, count(*) FILTER ({c} < {low} OR {c} > {high}) OVER () * 100.0 / count({c}) OVER () AS pct FROM {fences}) WHERE round(pct, 2) > 5)"
+        rule("outlier", c, 2 * i, f"CASE WHEN {c} < {low} THEN 'low' END", c, table=often)
+        rule("outlier", c, 2 * i + 1, f"CASE WHEN {c} > {high} THEN 'high' END", f"-{c}", table=often)
+    if time:
+        at = f"epoch_us({parsed or f'CAST({time} AS TIMESTAMP)'})"
+        cuts = f"(SELECT *, quantile_cont({at}::DOUBLE, 1.0::DOUBLE / 3) OVER () AS c1, quantile_cont({at}::DOUBLE, 2.0::DOUBLE / 3) OVER () AS c2 FROM {src} WHERE {at} IS NOT NULL)"
+        rule("temporal", time, 0, f"CASE WHEN {at} < c1 THEN 'early' WHEN {at} > c2 THEN 'late' ELSE 'middle' END", by=draw(42), table=cuts)
+    else:
+        rule("spread", None, 0, "''", by=draw(43))
+    rule("baseline", None, 0, "''", missing, draw(42))
+    order = "rule, cell, part, r"
+    quotas = " ".join(f"WHEN '{q}' THEN {n}" for q, n in sampling.BUDGET.items())
+    return (
+        f"WITH met AS ({' UNION ALL '.join(made)}), clean AS (SELECT count(*) FILTER (ord = 0) = 5 AS five FROM met WHERE issue_type = 'baseline'), "
+        "picked AS (SELECT * FROM met, clean WHERE found >= parts AND (issue_type <> 'baseline' OR five OR r <= 3)), "
+        f"once AS (SELECT *, row_number() OVER (PARTITION BY issue_type, \"column\", severity ORDER BY {order}) AS of_mark, row_number() OVER (PARTITION BY issue_type ORDER BY {order}) AS of_type FROM picked), "
+        f"kept AS (SELECT *, row_number() OVER (PARTITION BY quota ORDER BY {order}) AS of_quota FROM once WHERE of_mark = 1 OR of_type <= 3) "
+        f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place, issue_type, \"column\", severity, part, {key} FROM kept WHERE of_quota <= CASE quota {quotas} END"
+    )
+
+
+_DAY_PARSED = "coalesce(try_strptime(day_text, '%Y-%m-%d'), try_strptime(day_text, '%m/%d/%Y'), try_strptime(day_text, '%d-%m-%Y'))"
+for _t, _key, _texts, _numbers, _columns, _time in (
+    ("dirty_orders", "o_orderkey", CATEGORIES["dirty_orders"], [], ["o_orderkey", *CATEGORIES["dirty_orders"]], "day_text"),
+    ("gappy_events", "event_id", ["event_type"], ["value", "reading", "user_id"], ["event_id", "event_type", "value", "reading", "user_id"], None),
+    ("orders", "o_orderkey", ["o_orderstatus", "o_orderpriority"], ["o_custkey", "o_totalprice"], ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "o_orderdate"),
+):
+    register(f"telling_rows_{_t}", lambda s, d, t=_t, k=_key: telling.telling_rows(load(s, d, t), k), _telling_sql(_t, _key, _texts, _numbers, _columns, _time, _DAY_PARSED if _time == "day_text" else None))
 register("seeded_sample_orders", lambda s, d: sampling.seeded_sample(load(s, d, "orders"), 50, "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY md5(concat('42:', o_orderkey)), o_orderkey LIMIT 50")
 register(
     "stride_sample_orders",
@@ -497,6 +579,42 @@ def _claims(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(i, c["issue_type"], c["validation_status"]) for i, c in enumerate(found)], "claim long, issue_type string, validation_status string")
 
 
+def _evidence_claims(name: str, claims: list[tuple[str, tuple[str, ...]]]) -> tuple[Callable, str]:
+    """A query of claims with their evidence, and the same from the table in SQL."""
+    src = source(name)
+
+    def one(i: int, kind: str, columns: tuple[str, ...]) -> str:
+        mean = lambda each: f"(SELECT avg(x) FROM ({' UNION ALL '.join(each)}))"
+        if kind == "missing_values":
+            value = mean([f"SELECT round(count(*) FILTER ({c} IS NULL) * 100.0 / count(*), 2) AS x FROM {src}" for c in columns])
+        elif kind == "outliers":
+            value = mean([f"SELECT outlier_pct AS x FROM ({_outlier_sql(name, [c])})" for c in columns])
+        elif kind == "duplicates":
+            value = f"(SELECT sum(n) - count(*) FROM (SELECT count(*) AS n FROM (SELECT hash(t) AS h, t FROM (SELECT * FROM {src}) AS t) GROUP BY t))"
+        elif kind == "correlation":
+            value = f"(SELECT count(*) FROM ({_pairs_sql(name, list(columns))}) WHERE abs(r) > 0.7)"
+        elif kind == "semantic_nulls":
+            value = "(" + " + ".join(f"(EXISTS (SELECT 1 FROM {src} WHERE lower(trim({c})) IN ({quoted(C.CLAIM_NULL_TOKENS)})))::INTEGER" for c in columns) + ")"
+        else:
+            number = lambda c: IS_NUMERIC.replace("value", c)
+            words = lambda c: "(" + " OR ".join(f"contains(lower(trim({c})), '{w}')" for w in C.NUMBER_WORDS) + ")"
+            value = "(" + " + ".join(f"(SELECT coalesce(avg({number(c)}::INTEGER) > 0.05 AND greatest(avg((NOT {number(c)} AND {words(c)})::INTEGER), avg((NOT {number(c)} AND NOT {words(c)})::INTEGER)) > 0.05, false) FROM {src} WHERE {c} IS NOT NULL)::INTEGER" for c in columns) + ")"
+        holds = "e IS NOT NULL" if kind in ("missing_values", "outliers") else "e > 0"
+        return f"SELECT CAST({i} AS BIGINT) AS claim, '{kind}' AS issue_type, CASE WHEN {holds} THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS validation_status, round(e, 4) AS evidence FROM (SELECT CAST({value} AS DOUBLE) AS e)"
+
+    asked = [{"issue_type": k, "affected_columns": list(c)} for k, c in claims]
+    return lambda s, d: rounded(validation.claim_evidence(load(s, d, name), asked)), " UNION ALL ".join(one(i, k, c) for i, (k, c) in enumerate(claims))
+
+
+for _t, _asked in {
+    "dirty_lineitem": [("missing_values", ("l_discount", "l_tax")), ("outliers", ("l_quantity", "l_extendedprice")), ("duplicates", ()), ("correlation", ("l_quantity", "l_extendedprice")), ("mixed_types", ("l_returnflag", "l_linestatus")), ("missing_values", ("l_linestatus",))],
+    "leaky_lineitem": [("correlation", ("l_quantity", "twin", "close", "fixed")), ("correlation", ("l_discount", "twin")), ("outliers", ("fixed",)), ("duplicates", ())],
+    "dirty_orders": [("mixed_types", ("amount", "sex", "phone")), ("semantic_nulls", ("priority", "amount", "sex")), ("missing_values", ("priority", "day_text"))],
+    "dup_orders": [("duplicates", ()), ("semantic_nulls", ("o_orderpriority",))],
+}.items():
+    register(f"claim_evidence_{_t}", *_evidence_claims(_t, _asked))
+
+
 # Scores. The operators are functions on the driver; the twins work the same grids out in SQL.
 register(
     "blend_grid",

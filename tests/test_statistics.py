@@ -135,3 +135,96 @@ def test_neighbour_information_of_odd_columns(spark):
     filled[1] = filled[4] = 1.5
     assert set(found) == {"x"} and abs(found["x"] - slow_information(["a", "a", "a", "b", "b", "a"], filled)) < 1e-9
     assert neighbour_information(df.limit(0), "y").collect() == []
+
+
+def test_sketches_of_parts_are_those_of_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    from dqengine.operators import sketches
+
+    rng = np.random.default_rng(12)
+    n = 60_000
+    zipf = np.minimum(rng.zipf(1.5, n), 10_000)
+    x = rng.normal(1e6, 3, n)
+    rows = [(float(x[i]) if i % 10 else None, int(zipf[i]), f"id{i}", "v" * 300 + str(zipf[i] % 3) if i % 4 else None, float("nan")) for i in range(n)]
+    df = spark.createDataFrame(rows, "x double, z int, id string, long string, none double").repartition(5)
+    half = [sketches.sketch(df.where(F.xxhash64("id") % 2 == r)) for r in (0, 1, -1)]
+    path = f"{__import__('tempfile').mkdtemp()}/states"
+    for part in half:
+        part.write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == 15
+    whole = {r["column"]: r for r in sketches.read(sketches.sketch(df)).collect()}
+    parts = {r["column"]: r for r in sketches.read(sketches.merged(spark.read.parquet(path))).collect()}
+    true = {r["column"]: r for r in profile.numeric_summary(df).collect()}
+    assert set(whole) == set(parts) == {"x", "z", "id", "long", "none"}
+    for found in (whole, parts):
+        assert [(c, found[c].rows, found[c].missing) for c in ("x", "z", "long", "none")] == [("x", n, n // 10), ("z", n, 0), ("long", n, n // 4), ("none", n, n)]
+        for c, exact in (("id", n), ("z", len(set(zipf.tolist()))), ("long", 3), ("x", n - n // 10)):
+            assert abs(found[c].n_unique - exact) <= sketches.DISTINCT_ERROR * exact, c
+        for c in ("x", "z"):
+            values = np.sort(np.array([v for v in (x[np.arange(n) % 10 > 0] if c == "x" else zipf)], float))
+            for p, got in ((0.25, found[c].q25), (0.5, found[c].q50), (0.75, found[c].q75)):
+                low, high = np.searchsorted(values, got, "left") / len(values), np.searchsorted(values, got, "right") / len(values)
+                assert low - sketches.RANK_ERROR <= p <= high + sketches.RANK_ERROR, (c, p)
+            for m in ("mean", "std", "min", "max", "skewness", "kurtosis"):
+                assert np.isclose(found[c][m], true[c][m], rtol=1e-6, atol=1e-6), (c, m)
+        often = np.bincount(zipf)
+        assert [int(t.value) for t in found["z"].top] == [1, 2, 3] and all(abs(t.n - often[int(t.value)]) <= sketches.COUNT_ERROR * n for t in found["z"].top)
+        assert found["none"].mean is None and found["none"].top == [] and found["none"].q50 is None
+    sizes = sketches.merged(spark.read.parquet(path)).select(F.octet_length("distinct") + F.octet_length("cuts") + F.octet_length("items.sketch")).collect()
+    assert max(r[0] or 0 for r in sizes) < 400_000
+
+
+def test_sketches_of_an_empty_table(spark):
+    from dqengine.operators import sketches
+
+    empty = spark.createDataFrame([], "a int, b string, c array<int>")
+    assert [(r["column"], r.rows, r.n_unique, r.q50, r.top) for r in sketches.read(sketches.merged(sketches.sketch(empty))).orderBy("column").collect()] == [(c, 0, 0, None, []) for c in "abc"]
+
+
+def test_lenient_report_reads_sketches(spark):
+    from dqengine.plans.report import analyze
+
+    rows = [(i % 50, float(i % 7), f"t{i % 60}", None if i % 3 else "a", i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, x double, many string, gaps string, y int").repartition(3)
+    exact, sketched = (analyze(df, target="y", with_model=False, exact=e) for e in (True, False))
+    assert sketched["quality_score"]["overall"] == exact["quality_score"]["overall"]
+    for part in ("missing", "categorical_features", "numeric_features"):
+        assert set(sketched["data_profile"][part]) == set(exact["data_profile"][part])
+    assert sketched["data_profile"]["missing"] == exact["data_profile"]["missing"] and sketched["data_profile"]["categorical_features"]["gaps"]["mode"] == "a"
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_claims_and_samples_take_a_fixed_number_of_jobs(spark):
+    from dqengine.operators import telling, validation
+
+    df = spark.range(400).selectExpr("id", *[f"CASE WHEN id % {i + 2} = 0 THEN 'n/a' ELSE concat('t', id % {i + 7}) END AS c{i}" for i in range(9)], "id % 13 * 1.0 AS x", "id % 5 * 2.0 AS y").coalesce(2)
+    claims = [{"issue_type": k, "affected_columns": [c]} for c in ("c0", "c1", "c2", "x", "y") for k in ("mixed", "semantic_null", "format", "missing", "outlier", "correlation", "duplicate")]
+    claims += [{"issue_type": "correlation", "affected_columns": ["x", "y"]}, {"issue_type": "odd", "affected_columns": ["gone"]}, {"issue_type": "missing"}]
+    few = [next(c for c in claims if c["issue_type"] == k and c["affected_columns"] in (["c0"], ["x"]) ) for k in ("mixed", "semantic_null", "format", "missing", "duplicate")] + [claims[21 + 4], claims[-3]]
+    assert jobs_of(spark, lambda: validation.validate(df, claims)) <= jobs_of(spark, lambda: validation.validate(df, few)) + 2
+    found = validation.validate(df, claims)["claims"]
+    assert [c["validation_status"] for c in found[-3:]] == ["UNVERIFIED", "UNVERIFIED", "UNVERIFIED"] and found[0]["evidence"] == 0.0
+    assert jobs_of(spark, lambda: telling.samples(df, "id")) <= jobs_of(spark, lambda: telling.samples(df.select("id", "c0", "x"), "id")) + 2
+
+
+def test_samples_of_odd_tables(spark):
+    from dqengine.operators import telling
+
+    empty = spark.createDataFrame([], "id long, s string, x double")
+    assert telling.samples(empty, "id") == []
+    rows = [(i, None if i % 2 else " ", None if i % 2 else float(i)) for i in range(12)]
+    found = telling.samples(spark.createDataFrame(rows, "id long, s string, x double"), "id")
+    kinds = {r["issue_type"] for r in found}
+    assert {"blank_text", "many_missing", "missing_together", "semantic_nulls", "spread", "baseline"} <= kinds and len(found) <= 50
+    assert [r["row"]["id"] for r in found if r["issue_type"] == "missing_together"] == [1]
+    assert all(r["severity"] != "MEDIUM" for r in telling.samples(spark.createDataFrame(rows, "id long, s string, x double"), "id", compat=True))
