@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqengine.functions import exprs as E
+from dqengine.operators import profile
 from dqengine.operators.sampling import positions
 
 ACCURACY_BANDS = [(0.85, "excellent"), (0.75, "good"), (0.65, "moderate"), (0.55, "weak")]
@@ -40,8 +44,8 @@ def prepared(df: DataFrame, target: str, most_values: int = 100) -> tuple[DataFr
     """Rows with a target, and the features to use: numbers, and strings of at most ``most_values`` values."""
     rows = df.where(E.q(target).isNotNull())
     texts = [c for c in E.string_columns(df) if c != target]
-    counts = rows.agg(*[F.approx_count_distinct(E.q(c)).alias(f"_{i}") for i, c in enumerate(texts)]).first() if texts else []
-    kept = [c for i, c in enumerate(texts) if counts[i] <= most_values]
+    counts = {r["column"]: r.n_unique for r in profile.categorical_features(rows, texts).collect()} if texts else {}
+    kept = [c for c in texts if counts.get(c, 0) <= most_values]
     numbers = [c for c in E.numeric_columns(df) if c != target]
     flags = [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType) and f.name != target]
     columns = [E.number(c).alias(f"f{i}") for i, c in enumerate(numbers)]
@@ -55,9 +59,17 @@ def folds_for(rows: int, classes: int | None) -> int:
     return max(2, min(folds, classes)) if classes is not None else folds
 
 
+def _side_by_side(fit: Callable[[int], float], k: int) -> list[float]:
+    """Results of k fits whose jobs share the cluster."""
+    spark = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(k) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fit), range(k)))
+
+
 def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
     """Mean accuracy or R2 over the folds. Classes are dealt to the folds evenly: rows are placed by class and a hash of their
-    values, and the place within the class gives the fold; so folds don't depend on how the table is laid out."""
+    values, and the place within the class gives the fold; so folds don't depend on how the table is laid out. What features need (medians,
+    codes of texts) is learned from the other folds, as the forest is; folds are fitted side by side."""
     ready, features = prepared(df, target)
     ready = ready.persist()
     try:
@@ -95,13 +107,13 @@ def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
             first = placed.groupBy(F.col("_target").alias("_class")).agg(F.min("_place").alias("_first"))
             placed = placed.join(first, F.col("_target") == F.col("_class")).withColumn("_place", F.col("_place") - F.col("_first"))
         drawn = placed.withColumn("_draw", F.col("_place"))
-        fold = F.pmod(F.col("_draw"), F.lit(k))
-        dealt = Pipeline(stages=stages).fit(ready).transform(drawn).select("features", "label", fold.alias("_fold")).persist()
+        dealt = drawn.withColumn("_fold", F.pmod(F.col("_draw"), F.lit(k))).select(*features, "_target" if problem == "classification" else "label", "_fold").persist()
+        if problem == "classification":
+            coded = stages.pop(0).fit(dealt).transform(dealt)  # labels, not features: every class has a code
+        else:
+            coded = dealt
         try:
-            scores = []
-            for i in range(k):
-                model = forest.fit(dealt.where(F.col("_fold") != i))
-                scores.append(evaluator.evaluate(model.transform(dealt.where(F.col("_fold") == i))))
+            scores = _side_by_side(lambda i: evaluator.evaluate(Pipeline(stages=[*stages, forest]).fit(coded.where(F.col("_fold") != i)).transform(coded.where(F.col("_fold") == i))), k)
         finally:
             dealt.unpersist()
         value = max(0.0, sum(scores) / k)
