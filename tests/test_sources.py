@@ -65,3 +65,43 @@ def test_sound_tables_lose_nothing(spark, churn_rows, tmp_path):
 @pytest.fixture
 def churn_rows():
     return [(i, f"v{i % 3}") for i in range(20)]
+
+
+def workbook(path, rows, shared=(), styles=(0, 14, 164), custom='[$-409]d\\-mmm "day"'):
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="One" sheetId="1" r:id="rId1"/><sheet name="Two" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="p"><Relationship Id="rId1" Target="worksheets/a.xml"/><Relationship Id="rId2" Target="/xl/worksheets/b.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(shared) + "</sst>")
+        fmt = custom.replace('"', "&quot;")
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="{fmt}"/></numFmts><cellXfs>' + "".join(f'<xf numFmtId="{s}"/>' for s in styles) + "</cellXfs></styleSheet>")
+        z.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+        z.writestr("xl/worksheets/b.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>only</t></is></c></row><row r="2"><c r="A2"><v>7</v></c></row></sheetData></worksheet>')
+
+
+def test_workbooks(spark, tmp_path):
+    from datetime import datetime
+
+    from dqengine.operators import telling
+    from dqengine.sources import workbook as books
+
+    shared = ["<si><t>name</t></si>", "<si><t>when</t></si>", "<si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si>", "<si><t>amount</t></si>"]
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="s"><v>3</v></c><c r="E1" t="s"><v>3</v></c></row>'
+    body = '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2" s="1"><v>45292.5</v></c><c r="C2"><v>12.5</v></c><c r="E2" t="b"><v>1</v></c></row>'
+    body += '<row r="4"><c r="A4" t="inlineStr"><is><t>x</t></is></c><c r="B4" s="2"><v>45293</v></c><c r="C4" t="inlineStr"><is><t>thirty</t></is></c></row><row r="5"/>'
+    workbook(tmp_path / "a.xlsx", head + body, shared)
+    df = books.read_workbook(spark, str(tmp_path / "a.xlsx"))
+    assert df.dtypes == [("name", "string"), ("when", "timestamp"), ("amount", "string"), ("column_4", "string"), ("amount_", "boolean")]
+    assert rows(df) == [("rich", datetime(2024, 1, 1, 12), "12.5", None, True), ("x", datetime(2024, 1, 2), "thirty", None, None)]
+    kinds = {(r.place, r.kind): r.n for r in books.cell_kinds(books.read_rows(spark, str(tmp_path / "a.xlsx")).where("sheet = 'One'")).collect()}
+    assert kinds == {(0, "text"): 2, (1, "date"): 2, (2, "number"): 1, (2, "text"): 1, (4, "boolean"): 1}
+    found = telling.samples(df.selectExpr("name", "amount"), "name")
+    assert {r["row"]["amount"] for r in found if r["issue_type"] == "mixed_types"} == {"12.5", "thirty"}
+    assert rows(books.read_workbook(spark, str(tmp_path / "a.xlsx"), "Two")) == [(7.0,)]
+    (tmp_path / "broken.xlsx").write_bytes(b"no workbook")
+    errors = books.read_rows(spark, f"{tmp_path}/*.xlsx").where("error is not null").collect()
+    assert [r.file.rsplit("/", 1)[-1] for r in errors] == ["broken.xlsx"] and "BadZipFile" in errors[0].error
+    with pytest.raises(tables.UnreadableFile):
+        books.read_workbook(spark, str(tmp_path / "broken.xlsx"))
