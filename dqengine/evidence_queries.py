@@ -256,6 +256,49 @@ def _confidence(s: SparkSession, d: str) -> DataFrame:
     return _listed(s, [(round(found["verified_rate"], 4), round(found["partial_rate"], 4), found["confidence"])], "verified double, partial double, confidence string")
 
 
+TARGETS = {
+    "flagged_lineitem": ("l_returnflag", ["l_linenumber", "hint", "l_linestatus"]),
+    "rare_lineitem": ("kind", ["l_linenumber", "l_linestatus", "l_returnflag"]),
+    "sure_lineitem": ("l_returnflag", ["l_linenumber", "l_linestatus", "sure"]),
+}
+"""Tables with a class to predict: severe imbalance in one, a feature that tells the class in another."""
+TABLES["rare_lineitem"] = Table(("l_linenumber",), ("l_linestatus", "l_returnflag", "kind"))
+TABLES["sure_lineitem"] = Table(("l_linenumber",), ("l_linestatus", "sure", "l_returnflag"))
+TABLES["orders"] = Table(("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority"), ("o_orderdate",))
+TARGET_FINGERPRINT_SQL = (
+    FINGERPRINT_SQL.replace("false AS imbalanced, false AS severe, true AS weak_signal, false AS strong_signal", "NOT balanced AS imbalanced, imbalance > 10 AS severe, max_mi < 0.1 AS weak_signal, max_mi > 0.5 AS strong_signal")
+    .replace("true AS interpretable", "n / greatest(1, k) < 20 OR max_mi < 0.2 AS interpretable")
+)
+TARGET_MODEL_SCORES_SQL = MODEL_SCORES_SQL.replace(
+    "  + CASE WHEN NOT robust",
+    "  + CASE WHEN problem = 'classification' AND imbalanced THEN CASE WHEN severe THEN 15 ELSE 10 END ELSE 0 END\n"
+    "  + CASE WHEN strong_signal AND kind IN ('boost', 'forest') AND NOT contains(model, 'LightGBM') THEN 15 ELSE 0 END\n  + CASE WHEN NOT robust",
+)
+
+
+def _target_models(s: SparkSession, d: str, name: str, target: str) -> scoring.Evidence:
+    df = Q.load(s, d, name).persist()
+    try:
+        return report.gather(df, target, "classification", AS_OF, with_model=False, parts=MODEL_PARTS | {"target"})
+    finally:
+        df.unpersist()
+
+
+def _ranked(s: SparkSession, e: scoring.Evidence) -> DataFrame:
+    return _listed(s, [(m["rank"], m["model_name"], m["confidence_score"]) for m in models.ranking(e, "classification")], "rank int, model string, score double")
+
+
+def _ranking_sql() -> str:
+    """The three best models, ties in order of the catalog. Numbers are cut into twentieths for the information they give."""
+    cut = "(SELECT " + ", ".join([*(f"ntile(20) OVER (ORDER BY {c}) AS {c}" for c in TABLES["orders"].numbers), "o_orderstatus", "o_orderpriority", "o_orderdate"]) + " FROM orders)"
+    base = _with_target_sql("orders", "o_orderstatus", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    information = Q._information_sql("orders", "o_orderstatus", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    base = base.replace(information, information.replace("FROM orders", f"FROM {cut} AS orders"))
+    place = "CASE model " + " ".join(f"WHEN '{m[0]}' THEN {i}" for i, m in enumerate(C.CLASSIFIERS)) + " END"
+    scores = f"WITH e AS ({base}), f AS ({TARGET_FINGERPRINT_SQL} FROM e), m AS ({_ALL_MODELS}) {TARGET_MODEL_SCORES_SQL}"
+    return f"SELECT CAST(row_number() OVER (ORDER BY score DESC, {place}) AS INTEGER) AS rank, model, score FROM ({scores}) WHERE problem = 'classification' QUALIFY rank <= 3"
+
+
 DETECT = {
     "labels": Table(("doc_id", "quality", "toxic")),
     "flags_labels": Table(("quality", "toxic", "doc_id", "nothing"), ("answer",), ("flag",)),
@@ -294,6 +337,8 @@ def _table_summary(s: SparkSession, e: scoring.Evidence) -> DataFrame:
 
 def register_all(register: Callable) -> None:
     for name, t in TABLES.items():
+        if name in ("orders", "rare_lineitem", "sure_lineitem"):
+            continue
         base = evidence_sql(name)
         e = functools.partial(lambda s, d, parts, name: evidence(s, d, name, parts), name=name)
         register(f"scores_{name}", lambda s, d, e=e: _score_rows(s, scoring.quality(e(s, d, SCORE_PARTS))), _scores_sql(base, PARTS, {"target_suitability": "'C'"}))
@@ -318,6 +363,10 @@ def register_all(register: Callable) -> None:
         )
     features = ["l_linenumber", "hint", "l_linestatus"]
     register("target_scores_flagged_lineitem", lambda s, d: _score_rows(s, scoring.quality(_target_evidence(s, d))), _scores_sql(_with_target_sql("flagged_lineitem", "l_returnflag", features), TARGET_PARTS, {}))
+    for name, (target, columns) in TARGETS.items():
+        base = _with_target_sql(name, target, columns)
+        register(f"target_model_scores_{name}", lambda s, d, n=name, y=target: _model_scores(s, _target_models(s, d, n, y)), f"WITH e AS ({base}), f AS ({TARGET_FINGERPRINT_SQL} FROM e), m AS ({_ALL_MODELS}) {TARGET_MODEL_SCORES_SQL}")
+    register("model_ranking_orders", lambda s, d: _ranked(s, _target_models(s, d, "orders", "o_orderstatus")), _ranking_sql())
     register("consistency_score_dirty_orders", lambda s, d: _listed(s, [(consistency.check(Q.load(s, d, "dirty_orders")).score,)], "score double"), consistency_sql("dirty_orders", TEXTS.texts))
     register(
         "consistency_columns_dirty_orders",

@@ -38,6 +38,8 @@ PROJECTIONS = {
         "lineitem",
         ["l_returnflag", "CASE WHEN l_returnflag = 'A' AND l_orderkey % 2 = 0 THEN 'only' ELSE 'mixed' END AS hint", "CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_linestatus END AS l_linestatus", "l_linenumber"],
     ),
+    "rare_lineitem": ("lineitem", ["l_linenumber", "l_linestatus", "l_returnflag", "CASE WHEN l_orderkey % 40 = 0 THEN 'rare' ELSE 'usual' END AS kind"]),
+    "sure_lineitem": ("lineitem", ["l_linenumber", "CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_linestatus END AS l_linestatus", "concat('only ', l_returnflag) AS sure", "l_returnflag"]),
     "dirty_orders": (
         "orders",
         [
@@ -706,7 +708,6 @@ def _signal(s: SparkSession, d: str) -> DataFrame:
 
 
 register("rf_signal_lineitem", _signal)
-register("model_ranking_orders", lambda s, d: s.createDataFrame([(m["rank"], m["model_name"], m["confidence_score"]) for m in models.ranking(report.gather(load(s, d, "orders"), "o_orderstatus", "classification", AS_OF, with_model=False), "classification")], "rank int, model string, score double"))
 register("report_labels", lambda s, d: report.as_table(s, report.analyze(load(s, d, "labels"), "toxic", name="labels", as_of=AS_OF)))
 register("report_dirty_orders", lambda s, d: report.as_table(s, report.analyze(load(s, d, "dirty_orders"), "o_orderstatus", name="dirty_orders", as_of=AS_OF)))
 
