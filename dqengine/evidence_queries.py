@@ -397,9 +397,9 @@ def register_all(register: Callable) -> None:
     register("dominant_rows_mostly_events", lambda s, d: sampling.dominant_rows(Q.load(s, d, "numbered_events"), "kind", "event_id").select("event_id", "kind"), f"SELECT event_id, kind FROM {Q.source('numbered_events')} WHERE kind = (SELECT kind FROM {Q.source('numbered_events')} GROUP BY kind HAVING count(*) > 0.5 * (SELECT count(*) FROM events)) ORDER BY event_id LIMIT 1")
     register(
         "number_format_rows_dirty_orders",
-        lambda s, d: sampling.format_rows(Q.load(s, d, "dirty_orders"), "amount", "o_orderkey", sampling.number_kind, 30).select("o_orderkey", "format"),
+        lambda s, d: sampling.format_rows(Q.load(s, d, "dirty_orders"), "amount", "o_orderkey", sampling.number_kind).select("o_orderkey", "format"),
         f"SELECT min(o_orderkey) AS o_orderkey, format FROM (SELECT o_orderkey, CASE WHEN regexp_matches(v, '[$€£¥]') THEN 'currency' WHEN regexp_matches(v, '^\\d+\\.?\\d*$') THEN 'plain' WHEN regexp_matches(v, '\\d+[eE][+-]?\\d+') THEN 'scientific' WHEN contains(v, '%') AND regexp_matches(v, '\\d') THEN 'percentage' END AS format "
-        f"FROM (SELECT o_orderkey, trim(amount) AS v FROM {src} WHERE amount IS NOT NULL ORDER BY o_orderkey LIMIT 30)) WHERE format IS NOT NULL GROUP BY format",
+        f"FROM (SELECT o_orderkey, trim(amount) AS v FROM {src} WHERE amount IS NOT NULL)) WHERE format IS NOT NULL GROUP BY format",
     )
     gaps = Q.source("gappy_events")
     register(
@@ -417,9 +417,9 @@ def register_all(register: Callable) -> None:
     )
     register(
         "parsing_columns_dirty_orders",
-        lambda s, d: _listed(s, [(c,) for c in sampling.parsing_columns(Q.load(s, d, "iso_orders"), "o_orderkey")], "column string"),
-        f"SELECT 'day' AS \"column\" FROM (SELECT * FROM {Q.source('iso_orders')} WHERE day IS NOT NULL ORDER BY o_orderkey LIMIT 10) HAVING count(try_strptime(day, '%Y-%m-%d')) > 0.5 * count(*) UNION ALL "
-        f"SELECT 'half' FROM (SELECT * FROM {Q.source('iso_orders')} WHERE half IS NOT NULL ORDER BY o_orderkey LIMIT 10) HAVING count(try_strptime(half, '%Y-%m-%d')) > 0.5 * count(*)",
+        lambda s, d: _listed(s, [(c,) for c in sampling.parsing_columns(Q.load(s, d, "iso_orders"))], "column string"),
+        f"SELECT 'day' AS \"column\" FROM (SELECT * FROM {Q.source('iso_orders')} WHERE day IS NOT NULL) HAVING count(try_strptime(day, '%Y-%m-%d')) > 0.5 * count(*) UNION ALL "
+        f"SELECT 'half' FROM (SELECT * FROM {Q.source('iso_orders')} WHERE half IS NOT NULL) HAVING count(try_strptime(half, '%Y-%m-%d')) > 0.5 * count(*)",
     )
     metadata = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS \"column\", '{k}' AS type, 'customer' AS \"table\", count(*) AS rows, 1.5::DOUBLE AS size_mb FROM customer" for i, (c, k) in enumerate((("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))))
     register("metadata_customer", lambda s, d: report.tables.metadata(Q.load(s, d, "customer"), "customer", 1.5), metadata)

@@ -103,9 +103,9 @@ def spelling_variants(values: DataFrame) -> DataFrame:
     return values.groupBy("column", E.normal(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
 
 
-def examples(df: DataFrame, column: str, order: str, n: int = 20) -> DataFrame:
-    """kind, value: the first two numbers and two other texts among the first n values."""
-    s = head_sample(df.select(E.q(column).cast("string").alias("value"), E.q(order).alias("_o")), "value", n, "_o")
+def examples(df: DataFrame, column: str, order: str) -> DataFrame:
+    """kind, value: the first two numbers and the first two other texts of a column. Ranks are cut within tasks."""
+    s = df.select(E.q(column).cast("string").alias("value"), E.q(order).alias("_o")).where("value is not null")
     s = s.withColumn("kind", F.when(E.is_numeric(F.col("value")), "numeric").otherwise("text"))
     w = Window.partitionBy("kind").orderBy("_o")
     return s.withColumn("_r", F.row_number().over(w)).where("_r <= 2").select("kind", "value")

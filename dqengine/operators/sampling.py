@@ -115,11 +115,11 @@ def number_kind(c: Column) -> Column:
     return F.when(c.rlike("[$€£¥]"), "currency").when(c.rlike(r"^\d+\.?\d*$"), "plain").when(c.rlike(r"\d+[eE][+-]?\d+"), "scientific").when(c.contains("%") & c.rlike(r"\d"), "percentage")
 
 
-def format_rows(df: DataFrame, column: str, key: str, kind=date_kind, head: int = 50) -> DataFrame:
-    """The first row of each format among the first values, with ``format``, if there are two or more formats."""
-    first = df.where(E.q(column).isNotNull()).orderBy(E.q(key)).limit(head).withColumn("format", kind(F.trim(E.q(column)))).where("format is not null")
-    ranked = first.withColumn("_r", F.row_number().over(Window.partitionBy("format").orderBy(E.q(key)))).where("_r = 1").drop("_r")
-    return ranked.where(F.lit(ranked.count() >= 2))
+def format_rows(df: DataFrame, column: str, key: str, kind=date_kind) -> DataFrame:
+    """The first row of each format of a column, with ``format``, if there are two or more formats. Ranks are cut within tasks."""
+    found = df.where(E.q(column).isNotNull()).withColumn("format", kind(F.trim(E.q(column)))).where("format is not null")
+    first = found.withColumn("_r", F.row_number().over(Window.partitionBy("format").orderBy(E.q(key)))).where("_r = 1").drop("_r")
+    return first.withColumn("_formats", F.count(F.lit(1)).over(Window.partitionBy())).where("_formats >= 2").drop("_formats")  # one row a format
 
 
 def outlier_rows(df: DataFrame, least_pct: float = 5.0, key: str = "_row_id") -> DataFrame:
@@ -132,22 +132,18 @@ def outlier_rows(df: DataFrame, least_pct: float = 5.0, key: str = "_row_id") ->
     return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "column string, end string, value double, key long")
 
 
-def parsing_columns(df: DataFrame, key: str, head: int = 10, least: float = 0.5) -> list[str]:
-    """String columns of whose first ``head`` non-null values by the key more than ``least`` parse as dates."""
-    found = []
-    for c in E.string_columns(df):
-        first = df.where(E.q(c).isNotNull()).orderBy(E.q(key)).limit(head)
-        n, dates = first.agg(F.count(F.lit(1)), F.count_if(E.parse_date(E.q(c)).isNotNull())).first()
-        if n and dates > least * n:
-            found.append(c)
-    return found
+def parsing_columns(df: DataFrame, least: float = 0.5) -> list[str]:
+    """String columns of whose values more than ``least`` parse as dates."""
+    share = lambda c: F.try_divide(F.count(E.parse_date(E.q(c))).cast("double"), F.count(E.q(c)))
+    parsed = {r["column"] for r in E.tidy(df, E.string_columns(df), {"share": share}).where(F.col("share") > least).collect()}
+    return [c for c in E.string_columns(df) if c in parsed]
 
 
 def temporal_column(df: DataFrame, key: str | None = None) -> str | None:
     """The first date column, else the first string column that is called like one, else (with a key) the first one that parses."""
     found = E.temporal_columns(df)
     named = [c for c in E.string_columns(df) if any(h in c.lower() for h in C.TEMPORAL_HINTS)]
-    return (found or named or (parsing_columns(df, key) if key else []) or [None])[0]
+    return (found or named or (parsing_columns(df) if key else []) or [None])[0]
 
 
 def stratified(df: DataFrame, key: str, seed: int = 42, compat: bool = False) -> list[dict]:
@@ -162,7 +158,7 @@ def stratified(df: DataFrame, key: str, seed: int = 42, compat: bool = False) ->
         add(null_like_rows(df, c, key), "semantic_nulls", c, "CRITICAL")
         add(dominant_rows(df, c, key), "dominant_value", c, "CRITICAL")
         add(format_rows(df, c, key), "date_formats", c, "HIGH")
-        add(format_rows(df, c, key, number_kind, 30), "number_formats", c, "MEDIUM")
+        add(format_rows(df, c, key, number_kind), "number_formats", c, "MEDIUM")
     add(missing_rows(df, BUDGET["medium"], key), "many_missing", None, "MEDIUM")
     add(co_missing_rows(df, BUDGET["medium"], key), "missing_together", None, "MEDIUM")
     add(blank_rows(df, BUDGET["medium"], key), "blank_text", None, "MEDIUM")

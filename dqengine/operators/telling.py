@@ -38,16 +38,6 @@ PER_TYPE = 3
 """Rows of a type that may repeat a type, column and severity."""
 
 
-def time_column(df: DataFrame) -> str | None:
-    """The first date column, else the first text column that is called like one, else the first of whose values over half parse."""
-    found = E.temporal_columns(df) or [c for c in E.string_columns(df) if any(h in c.lower() for h in C.TEMPORAL_HINTS)]
-    if found or not E.string_columns(df):
-        return found[0] if found else None
-    share = lambda c: F.try_divide(F.count(E.parse_date(E.q(c))).cast("double"), F.count(E.q(c)))
-    parsed = {r["column"] for r in E.tidy(df, E.string_columns(df), {"share": share}).where("share > 0.5").collect()}
-    return next((c for c in E.string_columns(df) if c in parsed), None)
-
-
 def _cells(df: DataFrame, key: str, seed: int) -> list[tuple[str, str | None, Column, Column, Column]]:
     """(rule, column, part or null where the rule isn't met, order, draw)."""
     zero, none, draw = F.lit(0.0), F.lit(""), sampling.draw(key, seed)
@@ -78,7 +68,7 @@ def _cells(df: DataFrame, key: str, seed: int) -> list[tuple[str, str | None, Co
         x = E.number(r["column"])
         rule("outlier", r["column"], F.when(x < r.lower, "low"), x)
         rule("outlier", r["column"], F.when(x > r.upper, "high"), -x)
-    time = time_column(df)
+    time = sampling.temporal_column(df, key)
     third = None
     if time:
         when = E.q(time).cast("timestamp") if time in E.temporal_columns(df) else E.parse_date(E.q(time))

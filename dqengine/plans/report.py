@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dqengine.functions import exprs as E
 from dqengine.operators import baseline, consistency, importance, leakage, neighbours, profile, sampling, sketches, telling, validation
 from dqengine.plans import assess, issues, models, scoring
-from dqengine.sources import tables
+from dqengine.sources import tables, workbook
 
 SCHEMA = """
 analysis_id string, timestamp timestamp,
@@ -189,4 +189,6 @@ def as_table(spark: SparkSession, report: dict) -> DataFrame:
 
 
 def analyze_file(spark: SparkSession, path: str, **options) -> dict:
-    return analyze(tables.read_table(spark, path), name=path.rstrip("/").rsplit("/", 1)[-1], size_mb=tables.size_mb(spark, path), **options)
+    """The report of a file; of a workbook its first sheet."""
+    df = workbook.read_workbook(spark, path) if path.lower().endswith(".xlsx") else tables.read_table(spark, path)
+    return analyze(df, name=path.rstrip("/").rsplit("/", 1)[-1], size_mb=tables.size_mb(spark, path), **options)

@@ -28,7 +28,7 @@ class EmptyTable(ValueError):
 def kind_of(path: str) -> str:
     suffix = os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
     if suffix in ("xlsx", "xls"):
-        raise UnsupportedFile("spreadsheets need a reader that is not installed; save the sheet as CSV or Parquet")
+        raise UnsupportedFile("a spreadsheet is no table of one kind: .xlsx is read by sources.workbook, .xls has to be saved as .xlsx or CSV")
     if suffix not in READERS:
         raise UnsupportedFile(f"can't read .{suffix}; known: {', '.join(READERS)}")
     return suffix

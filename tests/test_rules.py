@@ -300,7 +300,7 @@ def test_samples_of_outliers_gaps_and_text_dates(spark):
     found = sampling.stratified(df, "id")
     kinds = {(r["issue_type"], r["column"]) for r in found}
     assert {("outlier", "v"), ("missing_together", None), ("temporal", "when_made"), ("many_missing", None)} <= kinds
-    assert sampling.parsing_columns(df, "id") == ["when_made"] and sampling.temporal_column(df.drop("when_made"), "id") is None
+    assert sampling.parsing_columns(df) == ["when_made"] and sampling.temporal_column(df.drop("when_made"), "id") is None
     plain = sampling.stratified(df.select("id", "w"), "id")
     assert ("spread", None) in {(r["issue_type"], r["column"]) for r in plain}
 
