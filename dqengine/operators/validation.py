@@ -55,24 +55,18 @@ DATES, NUMBERS = ("slash", "dash", "dot"), ("currency", "plain", "scientific", "
 
 
 def column_facts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column what claims are checked against: missing_pct, null_like (values that stand for null), shares numeric, words and other, and
-    counts of the kinds of dates and numbers. One aggregation for every few columns."""
-    value = lambda c: E.q(c).cast("string")
-    trimmed = lambda c: F.trim(value(c))
-    word = lambda c: reduce(lambda a, b: a | b, [E.normal(value(c)).contains(w) for w in C.NUMBER_WORDS])
-    share = lambda c, cond: F.try_divide(F.count_if(cond).cast("double"), F.count(value(c)))
-    dated = lambda c: (F.length(trimmed(c)) > 5) & trimmed(c).rlike(r"\d")
-    date = lambda c: F.when(dated(c), F.when(trimmed(c).contains("/"), "slash").when(trimmed(c).contains("-"), "dash").when(trimmed(c).contains("."), "dot"))
-    metrics = {
-        "missing_pct": lambda c: E.percent(F.count_if(profile.is_missing(df, c)), F.count(F.lit(1))),
-        "null_like": lambda c: F.count_if(E.normal(value(c)).isin(C.CLAIM_NULL_TOKENS)).cast("double"),
-        "numeric": lambda c: share(c, E.is_numeric(value(c))),
-        "words": lambda c: share(c, ~E.is_numeric(value(c)) & word(c)),
-        "other": lambda c: share(c, ~E.is_numeric(value(c)) & ~word(c)),
-    }
-    metrics |= {k: lambda c, k=k: F.count_if(date(c) == k).cast("double") for k in DATES}
-    metrics |= {k: lambda c, k=k: F.count_if(sampling.number_kind(trimmed(c)) == k).cast("double") for k in NUMBERS}
-    return E.tidy(df, columns, metrics)
+    """Per column what claims of its texts are checked against: null_like (values that stand for null), shares numeric, words and
+    other, and counts of the kinds of dates and numbers. Rules look at each distinct value once; columns without values have no row."""
+    counts = profile.value_counts(df, columns).where("value is not null")
+    v, trimmed = F.col("value"), F.trim(F.col("value"))
+    numeric, word = E.is_numeric(v), reduce(lambda a, b: a | b, [E.normal(v).contains(w) for w in C.NUMBER_WORDS])
+    dated = (F.length(trimmed) > 5) & trimmed.rlike(r"\d")
+    date = F.when(dated, F.when(trimmed.contains("/"), "slash").when(trimmed.contains("-"), "dash").when(trimmed.contains("."), "dot"))
+    judged = counts.select("column", "n", E.normal(v).isin(C.CLAIM_NULL_TOKENS).alias("is_null"), F.when(numeric, "numeric").when(word, "words").otherwise("other").alias("type"), date.alias("date"), sampling.number_kind(trimmed).alias("number"))
+    some = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("double")
+    shares = [F.try_divide(some(F.col("type") == t), F.sum("n")).alias(t) for t in ("numeric", "words", "other")]
+    kinds = [some(F.col(c) == k).alias(k) for c, many in (("date", DATES), ("number", NUMBERS)) for k in many]
+    return judged.groupBy("column").agg(some(F.col("is_null")).alias("null_like"), *shares, *kinds)
 
 
 def _varied(kinds: tuple[str, ...], least: float) -> Column:
@@ -98,12 +92,13 @@ def claim_evidence(df: DataFrame, claims: list[dict]) -> DataFrame:
     table = spark.createDataFrame(rows, "claim long, issue_type string, kind string, columns array<string>")
     of = lambda *wanted: list(dict.fromkeys(c for k, names in zip(kinds, named) if k in wanted for c in names))
     numbers = set(E.numeric_columns(df))
-    facts = column_facts(df, of("mixed", "semantic_null", "format", "missing")).withColumnRenamed("column", "_fact")
+    facts = column_facts(df, of("mixed", "semantic_null", "format")).withColumnRenamed("column", "_fact")
+    gone = profile.missing(df.select(*[E.q(c) for c in of("missing")])).select(F.col("column").alias("_gone"), "missing_pct")
     fences = profile.outliers(df, [c for c in of("outlier") if c in numbers]).select(F.col("column").alias("_fence"), "outlier_pct")
     pairs = profile.high_correlations(df, 0.7, [c for c in of("correlation") if c in numbers]).select(F.array_sort(F.array("column_a", "column_b")).alias("_pair"))
     repeated = profile.duplicates(df).select(F.lit("duplicate").alias("_kind"), F.col("duplicate_rows").cast("double")) if "duplicate" in kinds else spark.createDataFrame([], "_kind string, duplicate_rows double")
 
-    each = table.withColumn("_column", F.explode_outer("columns")).join(F.broadcast(facts), F.col("_column") == F.col("_fact"), "left").join(F.broadcast(fences), F.col("_column") == F.col("_fence"), "left")
+    each = table.withColumn("_column", F.explode_outer("columns")).join(F.broadcast(facts), F.col("_column") == F.col("_fact"), "left").join(F.broadcast(gone), F.col("_column") == F.col("_gone"), "left").join(F.broadcast(fences), F.col("_column") == F.col("_fence"), "left")
     mixed = (F.coalesce("numeric", F.lit(0.0)) > 0.05) & (F.greatest(F.coalesce("words", F.lit(0.0)), F.coalesce("other", F.lit(0.0))) > 0.05)
     found = each.groupBy("claim", "issue_type", "kind", "columns").agg(
         F.avg("missing_pct").alias("missing"), F.avg("outlier_pct").alias("outlier"), F.count_if(F.col("null_like") > 0).alias("nulls"), F.count_if(mixed).alias("mixed"), F.count_if(_varied(DATES, 0.05) | _varied(NUMBERS, 0.1)).alias("varied")
