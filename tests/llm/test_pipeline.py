@@ -79,11 +79,16 @@ def test_empty_documents(spark, docs):
 def test_queries_of_the_registry(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").count()
     pages = spark.read.parquet(f"{SF}/pages.parquet").count()
+    convs = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
     for name, query in registry.queries().items():
-        assert query(spark, SF).count() == (pages if name.startswith("op4_") else rows), name
+        found = query(spark, SF).count()
+        if name.startswith("op12_"):
+            assert found > convs
+        else:
+            assert found == (pages if name.startswith("op4_") else convs if name.startswith("op13_") else rows), name
 
 
-@pytest.mark.parametrize("name", registry.oracle_sql())
+@pytest.mark.parametrize("name", [n for n in registry.oracle_sql() if not n.startswith(("op12_", "op13_"))])  # these have tests of their own
 def test_twin(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
