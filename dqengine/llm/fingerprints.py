@@ -8,7 +8,7 @@ twice the block``. Two fingerprints are compared where their block sizes are equ
 
 A null text is empty; the empty text's fingerprint is ``4::``. Equal texts have equal fingerprints and likeness 1. Very long texts
 are hashed whole, one at a time; an empty table gives no rows. Ids may be of any type that has an order; repeated ids are ties
-that a hash of the text orders. Other columns are not read, so their names can't clash.
+that a hash of the text orders, repeated rows follow each other. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqengine.llm.common import partitions, sha256, table, text_slices
+from dqengine.llm.common import partitions, sha256, struct_of, table, text_slices
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
@@ -35,7 +35,9 @@ COMMON = 7
 BUCKETS = 4
 """Ranges of ids for each shuffle partition."""
 SAMPLES = 32
-"""Rows of the sample that gives the borders, for each range."""
+"""Rows (id and hash) of the sample that gives the borders, for each range: 1.3 million at 10,000 shuffle partitions."""
+ROWS = 8192
+"""Rows of a batch that goes out."""
 SEED = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -142,46 +144,63 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (_id, _text, _bucket, _guest) by ranges of (id, hash of the text, a random number), null ids last, each range closed by
-    a guest: the first row of the next range (of the first range after the last). Borders come from a random sample of
-    ``SAMPLES`` rows a range, which passes the driver; ranges of repeated ids and even of equal rows are as long as others."""
+    """Rows (_id, _text, _copies, _guest) by ranges of (id, hash of the text), null ids last, each range closed by a guest: the
+    first row of the next range (of the first range after the last). Borders come from a random sample of ``SAMPLES`` rows a
+    range, which passes the driver; hot ids are split by the hash. A row's range depends on the row alone, so that tasks that
+    run again, and read in another order, deal the same. Equal rows of an Arrow batch are one row with a count of copies, so a
+    hot group of them brings one row a batch."""
     spark = docs.sparkSession
     count = BUCKETS * partitions(spark)
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    base = base.withColumn("_hash", F.xxhash64("_text")).withColumn("_spread", F.rand(SEED))
-    order = lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1], r[2])
-    sample = base.select("_id", "_hash", "_spread").orderBy(F.rand(SEED + 1)).limit(SAMPLES * count).collect()
-    sample = sorted(map(order, sample))
-    borders = [sample[i * len(sample) // count] for i in range(1, count)] if len(sample) >= count else []
-    schema = T.StructType([*base.schema.fields]).add("_bucket", "integer")
+    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    order = lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1])
+    sample = base.select("_id", "_hash").orderBy(F.rand(SEED)).limit(SAMPLES * count).collect()
+    sample = sorted(set(map(order, sample)))
+    borders = sorted({sample[i * len(sample) // count] for i in range(1, count)}) if sample else []
+
+    def places(batch: pa.RecordBatch) -> list[int]:
+        return [bisect.bisect_right(borders, order(r)) for r in zip(batch.column("_id").to_pylist(), batch.column("_hash").to_pylist())]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("_id", "_hash", "_spread")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bisect.bisect_right(borders, order(r)) for r in rows], pa.int32())], [*batch.schema.names, "_bucket"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places(batch), pa.int32())], short.names)
 
-    short = T.StructType([f for f in schema if f.name != "_text"])
-    dealt = base.drop("_text").mapInArrow(deal, short)
-    firsts = dealt.groupBy("_bucket").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash")).alias("_f"))
+    def deal_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, seen, keep, copies = batch.column("_text"), {}, [], []
+            for i, key in enumerate(zip(batch.column("_id").to_pylist(), batch.column("_hash").to_pylist())):
+                j = seen.setdefault(key, len(keep))
+                if j < len(keep) and texts[i].equals(texts[keep[j]]):
+                    copies[j] += 1
+                else:
+                    keep.append(i)
+                    copies.append(1)
+            if len(keep) < batch.num_rows:
+                batch = batch.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places(batch), pa.int32()), pa.array(copies, pa.int64())], whole.names)
+
+    short = T.StructType([base.schema["_id"], base.schema["_hash"]]).add("_bucket", "integer")
+    whole = T.StructType([*base.schema.fields]).add("_bucket", "integer").add("_copies", "long")
+    firsts = base.select("_id", "_hash").mapInArrow(deal, short).groupBy("_bucket").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash")).alias("_f"))
     firsts = sorted((r["_bucket"], r["_f"]["_id"], r["_f"]["_hash"]) for r in firsts.collect())
     rows = [(firsts[i - 1][0], f[1], f[2]) for i, f in enumerate(firsts)]
     wanted = spark.createDataFrame(rows, T.StructType([T.StructField("_to", T.IntegerType()), T.StructField("_first", base.schema["_id"].dataType), T.StructField("_fhash", T.LongType())]))
     # One row a range, whatever number of equal rows there is.
     guests = base.join(F.broadcast(wanted), F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_hash") == F.col("_fhash")))
-    guests = guests.groupBy("_to").agg(F.first("_id").alias("_id"), F.min("_text").alias("_text")).select("_id", "_text", F.lit(0).cast("long").alias("_hash"), F.lit(0.0).alias("_spread"), F.col("_to").alias("_bucket"), F.lit(1).alias("_guest"))
-    own = base.mapInArrow(deal, schema).withColumn("_guest", F.lit(0))
+    guests = guests.groupBy("_to").agg(F.first("_id").alias("_id"), F.min("_text").alias("_text"))
+    guests = guests.select("_id", "_text", F.lit(0).cast("long").alias("_hash"), F.col("_to").alias("_bucket"), F.lit(1).cast("long").alias("_copies"), F.lit(1).alias("_guest"))
+    own = base.mapInArrow(deal_once, whole).withColumn("_guest", F.lit(0))
     return (
         own.unionByName(guests)
         .repartition(partitions(spark), "_bucket")
-        .sortWithinPartitions("_bucket", "_guest", F.col("_id").asc_nulls_last(), "_hash", "_spread")
-        .select("_id", "_text", "_bucket", "_guest")
+        .sortWithinPartitions("_bucket", "_guest", F.col("_id").asc_nulls_last(), "_hash")
+        .select("_id", "_text", "_copies", "_guest")
     )
 
 
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: n_chars, its fingerprint, that of its edited text (see ``edited``; the next row by id, ties by a hash of the
     text, null ids last), that text's SHA-256, and likeness to the edited and to the next text. A lone row follows itself."""
-    own = T._parse_datatype_string("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    own = struct_of("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,23 +209,31 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
             rows = held + list(zip(*(part.column(i).to_pylist() for i in range(4))))
             held = rows[-1:]
             marks = fingerprints([r[1].encode() for r in rows])
-            pairs = [i for i in range(len(rows) - 1) if not rows[i][3]]
-            changed = [edited(rows[i][1], rows[i + 1][1]) for i in pairs]
-            raw = [c.encode() for c in changed]
+            # Each row goes before the next one; of equal rows all but the last go before one like themselves.
+            pairs = [(i, i + 1, 1) for i in range(len(rows) - 1) if not rows[i][3]]
+            pairs += [(i, i, rows[i][2] - 1) for i, _, _ in pairs if rows[i][2] > 1]
+            if not pairs:
+                continue
+            raw = [edited(rows[i][1], rows[j][1]).encode() for i, j, _ in pairs]
             new = fingerprints(raw)
-            if pairs:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([rows[i][0] for i in pairs], part.schema.field(0).type),
-                        pa.array([len(rows[i][1]) for i in pairs], pa.int64()),
-                        pa.array(list(map(sha256, raw))),
-                        pa.array([marks[i] for i in pairs]),
-                        pa.array(new),
-                        pa.array([likeness(marks[i], x) for i, x in zip(pairs, new)], pa.float64()),
-                        pa.array([likeness(marks[i], marks[i + 1]) for i in pairs], pa.float64()),
-                    ],
-                    schema.names,
-                )
+            found = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rows[i][0] for i, _, _ in pairs], part.schema.field(0).type),
+                    pa.array([len(rows[i][1]) for i, _, _ in pairs], pa.int64()),
+                    pa.array(list(map(sha256, raw))),
+                    pa.array([marks[i] for i, _, _ in pairs]),
+                    pa.array(new),
+                    pa.array([likeness(marks[i], x) for (i, _, _), x in zip(pairs, new)], pa.float64()),
+                    pa.array([likeness(marks[i], marks[j]) for i, j, _ in pairs], pa.float64()),
+                ],
+                schema.names,
+            )
+            ends = np.cumsum([n for _, _, n in pairs])
+            if ends[-1] == len(pairs):
+                yield found
+                continue
+            for a in range(0, int(ends[-1]), ROWS):
+                yield found.take(pa.array(np.searchsorted(ends, np.arange(a, min(a + ROWS, int(ends[-1]))), "right")))
 
     return in_order(docs, id_col, text_col).mapInArrow(run, schema)
 
