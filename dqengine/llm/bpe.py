@@ -72,8 +72,9 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
     """One row per document: its id, ``ids`` array<int> and, if asked for, ``byte_ends`` array<int> (where each token ends in
     the UTF-8 text) and ``char_spans`` array<struct<start,end>> (the characters it touches).
 
-    A null text is empty and has no ids. Repeated rows are encoded each; only the two columns named are read, so other
-    columns do not matter. A text is encoded whole whatever its length.
+    A null text is empty and has no ids. Repeated rows and rows of one id are encoded each; nothing is ordered, so there are no
+    ties; an empty table gives no rows. Only the two columns named are read, so other columns do not matter, whatever their
+    names. A text is encoded whole whatever its length. A null id stays null.
     """
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -96,7 +97,11 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
 
 def decode(tokens_df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", pattern: str | None = None) -> DataFrame:
     """One row per row: the id, ``bytes`` (the decoded bytes) and ``text`` (those as UTF-8; a character that the ids cut off
-    becomes U+FFFD). Null ids are none."""
+    becomes U+FFFD).
+
+    Null ids are none and give no bytes. Repeated rows and rows of one id are decoded each; an empty table gives no rows; only
+    the two columns named are read, so names of others can't clash. An id outside the ranks stops the job with an IndexError.
+    """
     schema = T.StructType([T.StructField(id_col, tokens_df.schema[id_col].dataType), T.StructField("bytes", T.BinaryType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +119,12 @@ DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass over the Arrow batches and keeps only counts and digests of both."""
+    """Encodes and decodes in one pass over the Arrow batches and keeps only counts and digests of both.
+
+    A null text is the empty one: no tokens, digests of no bytes. Texts are taken whole, long ones one at a time; repeated rows
+    and rows of one id give a row each; nothing is ordered, so there are no ties; an empty table gives no rows. Only the two
+    columns named are read, so names of others can't clash.
+    """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *DIGESTS.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

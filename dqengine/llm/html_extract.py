@@ -12,6 +12,13 @@ node is template and most of the article's characters stand in other nodes (else
 copies of each other); text outside is content only in a slot: a node that most different pages have and that varies in most of
 those. Where a page marks none, the text outside template nodes is content.
 
+Class names are read in two ways. Some say what a text is (advert, reader comment, cookie banner, sidebar): such elements are
+dropped like the landmarks. Others are everyday words too (related, share, notice, search, widget: ``DOUBTFUL``): block elements
+of such a name only carry a mark, and votes decide. Inside an article a marked block is content unless its node is template;
+where no article is marked, only in a slot; outside a marked article never. The prior drops it where there are no votes
+(fewer than ``least`` different pages of the layout) or where they aren't trusted, where most of its characters are links, and
+where the element is inline (a label or button).
+
 A null or empty page has empty text. A page without host belongs to the host "". Pages are parsed whole; repeated rows give
 repeated results, each different page votes once; an empty table gives no rows; other columns are not read, so their names can't
 clash. Of pages or layouts that tie as exemplars the one of least hash stands. Child lists are matched exactly at any length and depth; long ones by divide and
@@ -40,10 +47,14 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 DROPPED = frozenset("head script style noscript template textarea title nav footer aside form dialog menu select option button iframe object svg math canvas audio video noembed noframes datalist".split())
 MAIN = frozenset(("article", "main"))
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended "
-    "comment comments disqus respond replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login social share sharing footer masthead topbar toolbar skip search".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar breadcrumb breadcrumbs pagination pager sidebar "
+    "comment comments disqus cookie cookies consent gdpr popup modal newsletter subscribe signup login footer masthead topbar toolbar".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+"""Words of class names and ids that say what a text is."""
+DOUBTFUL = frozenset("alert aside banner menu navigation notice notices overlay promotion recommended related replies respond search share sharing skip social widget".split())
+"""Words that may as well name a part of an article."""
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
+"""Roles that stand for the elements in ``DROPPED``; the role alert marks like a doubtful word."""
 CLOSES = {
     **{t: ("p",) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()},
     "li": ("li", "p"),
@@ -63,97 +74,137 @@ SHARE = 0.5
 PAGES = 3
 BROADCAST_BYTES = 64 << 20
 
-_TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^>]*+>|[!?/][^>]*+>)""", re.S)
+_NAME = r"(/?)([a-zA-Z][^\s/>]*+)"
+_TAG = re.compile(rf"""<(?:!--(?:.*?--!?>|.*)|{_NAME}((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|{_NAME}([^>]*+)>|[!?/][^>]*+>)""", re.S)
+"""Comment, tag, tag with unbalanced quotes or a stray "<", declaration. A "<" outside quotes ends the second form, so that at
+most one scan for each kind of quote can be open at any place."""
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|$)", re.I) for t in RAW}
 _TOKEN = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "index", "text", "shape", "size")
+    __slots__ = ("tag", "children", "index", "shape", "size")
 
     def __init__(self, tag: str, index: int):
-        self.tag, self.index, self.children, self.text, self.shape, self.size = tag, index, [], "", 0, 1
+        self.tag, self.index, self.children, self.shape, self.size = tag, index, [], 0, 1
 
 
-def _dropped(tag: str, attributes: str, inside_main: bool) -> bool:
+def _judged(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether its name is doubtful."""
     if tag in DROPPED or (tag == "header" and not inside_main):
-        return True
+        return True, False
+    doubtful = False
     if attributes and tag not in MAIN and tag not in ("html", "body"):
         for m in _ATTR.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name in ("class", "id"):
-                if not HINTS.isdisjoint(_TOKEN.findall(value)):
-                    return True
+                words = _TOKEN.findall(value)
+                if not HINTS.isdisjoint(words):
+                    return True, False
+                doubtful = doubtful or not DOUBTFUL.isdisjoint(words)
             elif (name == "role" and value in ROLES) or (name == "hidden") or (name == "aria-hidden" and value == "true"):
-                return True
-    return False
+                return True, False
+            elif name == "role" and value == "alert":
+                doubtful = True
+    return doubtful and tag in INLINE, doubtful
+
+
+class _Open:
+    """The open elements, with the places of each tag and of the scopes, so that no end tag walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [(root, False, False, False, False)]  # node, dropped, inside main, doubtful, inside a link
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, node: Node, *state: bool) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((node, *state))
+
+    def close(self, tag: str, within_scope: bool) -> None:
+        """Closes the innermost element of the tag and all inside it, unless a scope lies between."""
+        found = self.places.get(tag)
+        if not found or (within_scope and self.scopes and self.scopes[-1] > found[-1]):
+            return
+        for _ in range(len(self.stack) - found[-1]):
+            node = self.stack.pop()[0]
+            self.places[node.tag].pop()
+            if node.tag in SCOPES:
+                self.scopes.pop()
+
+
+Block = tuple[str, int, bool, bool]
+"""Text, index of the node it began in, inside main?, doubtful?"""
 
 
-def parse(page: str) -> tuple[Node, list[tuple[str, int, bool]]]:
-    """The tree of elements, and the blocks outside dropped elements: (text, index of the node it began in, in main?)."""
+def parse(page: str) -> tuple[Node, list[Block]]:
+    """The tree of elements, and the blocks outside dropped elements. Takes time in proportion to the page's length."""
     root = Node("", 0)
     nodes = 1
-    stack: list[tuple[Node, bool, bool]] = [(root, False, False)]  # node, dropped, inside main
-    blocks: list[tuple[str, int, bool]] = []
+    elements = _Open(root)
+    blocks: list[Block] = []
     parts: list[str] = []
-    owner = [0, False]
+    owner = [0, False, False]
+    linked = 0
 
     def text(value: str) -> None:
-        node, dropped, main = stack[-1]
+        nonlocal linked
+        node, dropped, main, doubtful, link = elements.stack[-1]
         if value and not value.isspace():
-            node.text += value
             if not dropped:
                 if not parts:
-                    owner[:] = node.index, main
+                    owner[:] = node.index, main, doubtful
                 parts.append(value)
+                linked += len(value) * link
                 return
         if parts and not dropped:
             parts.append(value)
 
     def flush() -> None:
+        nonlocal linked
         if parts:
-            line = " ".join(html.unescape("".join(parts)).split())
-            if line:
-                blocks.append((line, owner[0], owner[1]))
+            raw = "".join(parts)
+            line = " ".join(html.unescape(raw).split())
+            if line and not (owner[2] and linked * 2 > len(raw)):
+                blocks.append((line, owner[0], owner[1], owner[2]))
             parts.clear()
+            linked = 0
 
     at, n = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends behind it
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last) if at < last else None
         if m is None:
-            text(page[at:])
+            rest = page.find("<!--", at)
+            text(page[at : rest if rest >= 0 else n])
             break
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        if not m[2]:
+        end_tag, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not name:
+            if page.startswith("<!--", m.start()) and not m[0].endswith(("-->", "--!>")):
+                break
             continue
-        tag = m[2].lower()
+        tag = name.lower()
         if tag not in INLINE:
             flush()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i][0].tag in SCOPES:
-                    break
+        if end_tag:
+            elements.close(tag, tag in INLINE)
             continue
         for other in CLOSES.get(tag, ()):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0].tag == other:
-                    del stack[i:]
-                    break
-                if stack[i][0].tag in SCOPES:
-                    break
-        parent, dropped, main = stack[-1]
+            elements.close(other, True)
+        parent, dropped, main, doubtful, link = elements.stack[-1]
         node = Node(tag, nodes)
         nodes += 1
         parent.children.append(node)
         if tag in VOID:
             continue
-        own = dropped or _dropped(tag, m[3], main)
+        drop, doubt = _judged(tag, attributes, main)
+        own = dropped or drop
         if own and tag in INLINE:
             flush()
         if tag in RAW:
@@ -161,8 +212,8 @@ def parse(page: str) -> tuple[Node, list[tuple[str, int, bool]]]:
             at = end.start() if end else n
             if not own:
                 text(page[m.end() : at])
-        elif not m[3].endswith("/") or tag not in ("svg", "math"):
-            stack.append((node, own, main or tag in MAIN))
+        elif not attributes.endswith("/") or tag not in ("svg", "math"):
+            elements.push(node, own, main or tag in MAIN, doubtful or doubt, link or tag == "a")
     flush()
     return root, blocks
 
@@ -260,6 +311,8 @@ def size_of(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
     """The size of the largest match of two trees with equal root tags; memo holds those of different shapes."""
     if a.shape == b.shape:
         return a.size
+    if not a.children or not b.children:
+        return 1
     size = memo.get((a.shape, b.shape))
     if size is None:
         size = 1
@@ -281,10 +334,10 @@ def align(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int
     return size_of(a, b, memo)
 
 
-def node_lines(blocks: list[tuple[str, int, bool]]) -> dict[int, list[str]]:
+def node_lines(blocks: list[Block]) -> dict[int, list[str]]:
     """The texts of the blocks that begin in each node."""
     lines: dict[int, list[str]] = {}
-    for text, i, _ in blocks:
+    for text, i, *_ in blocks:
         lines.setdefault(i, []).append(text)
     return lines
 
@@ -301,12 +354,12 @@ def aligned(page: str, exemplar: tuple[Node, dict[int, list[str]]]) -> tuple[lis
     for i, own in node_lines(blocks).items():
         if i in to:
             (same if lines.get(to[i]) == own else other).append(to[i])
-    return [{"text": t, "node": to.get(i, -1), "main": m} for t, i, m in blocks], same, other
+    return [{"text": t, "node": to.get(i, -1), "main": m, "doubtful": d} for t, i, m, d in blocks], same, other
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """(id, url, text, blocks, path) of every page; blocks keeps each block's text, exemplar node and whether it lies in main;
-    path names what decided: votes (no article marked), both, or landmarks (article shared by most pages)."""
+    """(id, url, text, blocks, path) of every page; blocks keeps each block's text, exemplar node and whether it lies in main and has a
+    doubtful name; path names what decided: votes (no article marked), both, or landmarks (article shared by most pages)."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     laid_schema = T.StructType([*base.schema.fields]).add("_layout", "long").add("_full", "boolean")
@@ -331,9 +384,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     common = exemplars.where("_is_first").select("_host", F.col("_layout").alias("_common"), F.col("_exemplar").alias("_common_exemplar"))
     dealt = laid.join(few(own), ["_host", "_layout"], "left").join(few(common), "_host", "left")
     use, exemplar = F.coalesce("_own", "_common", F.lit(0)).alias("_use"), F.coalesce("_own_exemplar", "_common_exemplar", F.lit("")).alias("_exemplar")
-    schema = T._parse_datatype_string("_host string, _use long, _blocks array<struct<text string, node int, main boolean>>, _same array<int>, _other array<int>, _sig long")
+    schema = T.StructType.fromDDL("_host string, _use long, _blocks array<struct<text string, node int, main boolean, doubtful boolean>>, _same array<int>, _other array<int>, _sig long")
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], *schema.fields])
-    kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("main", pa.bool_())]))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("main", pa.bool_()), ("doubtful", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[tuple[str, int], tuple[Node, dict[int, list[str]]]] = {}
@@ -369,7 +422,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     in_main = F.exists("_blocks", lambda b: b["main"])
     trust = chars(lambda b: b["main"] & among("_template", b)) * 2 < chars(lambda b: b["main"])
     whole = whole.withColumn("_path", F.when(in_main, F.when(trust, "both").otherwise("landmarks")).otherwise("votes"))
-    content = F.filter("_blocks", lambda b: F.when(F.col("_path") == "votes", ~among("_template", b)).when(b["main"], (F.col("_path") == "landmarks") | ~among("_template", b)).otherwise(among("_slots", b)))
+    plain = lambda b: F.when(F.col("_path") == "votes", ~among("_template", b)).when(b["main"], (F.col("_path") == "landmarks") | ~among("_template", b)).otherwise(among("_slots", b))
+    marked = lambda b: F.when(F.col("_template").isNull() | (F.col("_path") == "landmarks"), False).when(F.col("_path") == "votes", among("_slots", b)).otherwise(b["main"] & ~among("_template", b))
+    content = F.filter("_blocks", lambda b: F.when(b["doubtful"], marked(b)).otherwise(plain(b)))
     return whole.select(F.col(id_col), F.col(url_col), F.array_join(F.transform(content, lambda b: b["text"]), " ").alias("text"), F.col("_blocks").alias("blocks"), F.col("_path").alias("path"))
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -307,6 +308,74 @@ def test_layouts_of_a_host_have_templates_of_their_own(spark):
     assert got == {i: f"Story {i}" for i in range(4)} | {10 + i: f"Item {i}" for i in range(4)} | {20: "", 21: ""}
 
 
+def slow_extract(pages, share=0.5, least=3):
+    """The rule of votes by counting, for pages of one host and one tree: lists of (text, in the article?, doubtful?)."""
+    different = [list(p) for p in dict.fromkeys(map(tuple, pages))]
+    first = min(different, key=lambda p: p[0][0])
+    n, width = len(different), len(first)
+    equal = [sum(p[i][0] == first[i][0] for p in different) for i in range(width)]
+    template = {i for i in range(width) if n >= least and equal[i] > n * share}
+    slots = {i for i in range(width) if n >= least and equal[i] <= n * (1 - share)}
+    out = []
+    for p in pages:
+        main = [i for i in range(width) if p[i][1]]
+        size = lambda places: sum(len(p[i][0]) for i in places)
+        trust = size([i for i in main if i in template]) * 2 < size(main)
+        keep = []
+        for i, (text, inside, doubtful) in enumerate(p):
+            if not main:
+                good = i in slots if doubtful else i not in template
+            elif doubtful:
+                good = trust and n >= least and inside and i not in template
+            else:
+                good = (not trust or i not in template) if inside else i in slots
+            keep += [text] if good else []
+        out.append(" ".join(keep))
+    return out
+
+
+def test_votes_and_doubtful_names_by_counting(spark):
+    """Random pages: articles or none, constant and varying blocks, plain and doubtful names, hosts of one to six pages."""
+    rng = np.random.default_rng(12)
+    names = ["related-work", "search-results", "share", "notice", "widget-guide", "alert"]
+    rows, want = [], {}
+    for host in range(30):
+        article, blocks, n = bool(rng.random() < 0.6), int(rng.integers(2, 6)), int(rng.integers(1, 7))
+        kinds = [(bool(rng.random() < 0.5), article and bool(rng.random() < 0.7), rng.choice(names) if rng.random() < 0.5 else "") for _ in range(blocks)]
+        # The first block of a page is its number, so that the page of least number is the exemplar below.
+        kinds = [(False, article, "")] + sorted(kinds, key=lambda k: not k[1])
+        pages = [[(f"constant {host} {j} words" if same else f"page {i} of {host} says {j}", inside, bool(name)) for j, (same, inside, name) in enumerate(kinds)] for i in range(n)]
+        for i, (page, text) in enumerate(zip(pages, slow_extract(pages))):
+            inner = lambda part: "".join(f"<div class='{name}'><p>{t}</p></div>" for (t, inside, _), (_, _, name) in zip(page, kinds) if inside == part)
+            rows.append((host * 10 + i, f"http://h{host}.example/{i}", f"<body>{'<article>' + inner(True) + '</article>' if article else ''}{inner(False)}</body>"))
+            want[host * 10 + i] = text
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == want
+    assert any("says" in t for t in want.values()) and any("constant" in t for t in want.values())
+
+
+def test_parts_of_articles_with_everyday_names_are_kept(spark):
+    name = ["search-results", "related-work", "share", "notice", "widget-guide", "alert"]
+    page = lambda i: f"<body><article><h1>Paper {i}</h1>{''.join(f'<div class={c}><p>The {c} part of paper {i} in words</p></div>' for c in name)}<div class=share>Share this page</div><div class=related><a href=/{i}>Paper {i + 1}</a></div><p class=ad>Buy {i}<p>Mind the <span class=social>Like {i}</span> end {i}</article></body>"
+    text = lambda i: " ".join([f"Paper {i}", *(f"The {c} part of paper {i} in words" for c in name), f"Mind the end {i}"])
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(5)] + [(9, "http://lone.example/", page(9))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text(i) for i in range(5)} | {9: "Paper 9 Mind the end 9"}
+
+
+def test_broken_pages_take_linear_time():
+    began = time.time()
+    pages = ["<p>x" + "<a " * 300_000, '<a "' * 200_000 + ">", "<p \">'<b '>" * 50_000, "<div>" * 20_000 + "</x>" * 200_000, "<b><table>" + "<div>" * 20_000 + "</b>" * 100_000, "<!-" * 300_000, "<!--" * 200_000, "<title>" + "<b>" * 200_000]
+    found = [" ".join(b[0] for b in html_extract.parse(p)[1]) for p in pages]
+    assert time.time() - began < 20
+    assert found[0] == "x" + "<a " * 299_999 + "<a" and found[1] == "" and found[3:5] == ["", ""] and found[5] == pages[5] and found[6:] == ["", ""]
+    blocks = lambda p: [b[0] for b in html_extract.parse(p)[1]]
+    assert blocks("<p>a<br>b</b>c</p>d <p>e > f <b") == ["a", "bc", "d", "e > f <b"]
+    assert blocks("a <!-- b > c") == ["a"] and blocks('<p title="x>y">z</p><p t="q>r') == ["z", 'r'] and blocks("x <!-- y --> z <!-- w") == ["x z"]
+    assert blocks("<b>one<table><tr><td>two</b>three</table>four") == ["one", "twothree", "four"]
+
+
 def test_long_and_deep_lists_are_matched_exactly(monkeypatch):
     tree = lambda page: html_extract.measure(html_extract.parse(page)[0])
     rng = np.random.default_rng(3)
@@ -411,6 +480,11 @@ def test_fingerprints_in_order_of_any_ids(spark, monkeypatch, kind):
     order = sorted(((i is None, i or 0, hashes[t or ""]), t or "") for i, t in rows)
     want = sorted(sha(fingerprints.edited(t, following)) + str(len(t)) for (_, t), (_, following) in zip(order, order[1:] + order[:1]))
     assert sorted(r.edited_sha256 + str(r.n_chars) for r in got) == want
+    many = docs.union(docs).union(docs).coalesce(1)  # equal rows of a batch go as one, and come out as many
+    monkeypatch.setattr(fingerprints, "ROWS", 5)
+    thrice = [(key, t) for key, t in order for _ in range(3)]
+    want = sorted(sha(fingerprints.edited(t, following)) + str(len(t)) for (_, t), (_, following) in zip(thrice, thrice[1:] + thrice[:1]))
+    assert sorted(r.edited_sha256 + str(r.n_chars) for r in fingerprints.fingerprint_neighbours(many).collect()) == want
     assert got[0].asDict().keys() >= {"near_next", "fingerprint"}
 
 
