@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dqengine.functions import catalogs as C
 from dqengine.functions.lineage import shared_dir
 from dqengine.operators import baseline, consistency, importance, leakage, neighbours, profile, sampling, sketches, telling, validation
-from dqengine.plans import assess, display, models, report, scoring
+from dqengine.plans import assess, display, growing, models, report, scoring
 from dqengine.streaming import profile as streaming
 
 DAY = "substr(CAST(o_orderdate AS STRING), 1, 10)"
@@ -223,6 +223,17 @@ def _merged_states_sql() -> str:
 
 
 register("merged_states_noted_events", _merged_states, _merged_states_sql())
+
+
+def _merged_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Correlations from the pair moments of three parts of a table."""
+    df = load(s, d, "lineitem").select(*_PAIRED)
+    parts = [growing.pair_moments(df.where(F.pmod(F.xxhash64(*_PAIRED), F.lit(3)) == r)) for r in range(3)]
+    return rounded(growing.pair_correlations(growing.merged_pairs(parts[0].unionByName(parts[1]).unionByName(parts[2]))), 3)
+
+
+_PAIRED = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
+register("merged_pairs_lineitem", _merged_pairs, _pairs_sql("lineitem", _PAIRED))
 register("co_missing_noted_events", lambda s, d: profile.co_missing(load(s, d, "noted_events")), f"SELECT 'reading' AS column_a, 'user_id' AS column_b, count(*) AS both_missing FROM {source('noted_events')} WHERE reading IS NULL AND user_id IS NULL HAVING count(*) > 0")
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dqengine.operators import profile, quantiles
 
@@ -60,7 +61,6 @@ def test_correlations_of_a_thousand_columns(spark):
     base[:, 3] = np.where(np.isnan(base[:, 0]), base[:, 3], 7.0)  # constant where the first is
     names = [f"c{i}" for i in range(1000)]
     df = spark.createDataFrame([([float(x) for x in row],) for row in base], "v array<double>").select(*[f"v[{i}] as c{i}" for i in ()], "v")
-    from pyspark.sql import functions as F
 
     df = df.select(*[F.col("v")[i].alias(c) for i, c in enumerate(names)]).repartition(3)
     found = {(r.column_a, r.column_b): r.r for r in profile.correlations(df).collect()}
@@ -138,8 +138,6 @@ def test_neighbour_information_of_odd_columns(spark):
 
 
 def test_sketches_of_parts_are_those_of_the_whole(spark):
-    from pyspark.sql import functions as F
-
     from dqengine.operators import sketches
 
     rng = np.random.default_rng(12)
@@ -228,3 +226,54 @@ def test_samples_of_odd_tables(spark):
     assert {"blank_text", "many_missing", "missing_together", "semantic_nulls", "spread", "baseline"} <= kinds and len(found) <= 50
     assert [r["row"]["id"] for r in found if r["issue_type"] == "missing_together"] == [1]
     assert all(r["severity"] != "MEDIUM" for r in telling.samples(spark.createDataFrame(rows, "id long, s string, x double"), "id", compat=True))
+
+
+def test_report_of_batches_is_that_of_the_whole(spark):
+    from datetime import datetime
+    from tempfile import mkdtemp
+
+    from dqengine.plans import growing, report
+
+    rng = np.random.default_rng(21)
+    base = rng.normal(1e6, 3, 4000)
+    rows = [(i % 1500, float(x), float(2 * x + rng.normal()) if i % 9 else None, 7, float(rng.exponential()), None if i % 4 == 0 else f"t{i % 60}", "ab"[i % 2]) for i, x in enumerate(base)]
+    rows += rows[:1000]
+    df = spark.createDataFrame(rows, "k int, x double, y double, same int, tail double, many string, two string").repartition(4).persist()
+    folder = f"{mkdtemp()}/states"
+    part = lambda r: df.where(F.pmod(F.xxhash64("k", "x"), F.lit(4)) == r)
+    growing.add(part(0), folder, 0)
+    first = growing.evidence(spark, folder)
+    assert first.rows == part(0).count()
+    growing.add(part(3), folder, 1)  # run again below with what belongs there
+    for r in (1, 2, 3):
+        growing.add(part(r).select(*(reversed(df.columns) if r == 2 else df.columns)), folder, r)
+    growing.add(df.limit(0), folder, 4)
+    found = growing.evidence(spark, folder)
+    want = report.gather(df, None, None, datetime(2024, 1, 1), parts=report.PARTS - {"consistency", "target"})
+    assert (found.rows, found.columns, found.missing_by_column, found.missing_pct, found.binary, found.low_variance, found.high_cardinality) == (5000, 7, want.missing_by_column, want.missing_pct, want.binary, want.low_variance, want.high_cardinality)
+    assert found.high_pairs == want.high_pairs == 1 and abs(found.max_abs_r - want.max_abs_r) < 1e-6 and abs(found.duplicate_pct - want.duplicate_pct) < 4
+    assert set(found.outlier_pct) == set(want.outlier_pct) and all(abs(p - want.outlier_pct[c]) < 1 for c, p in found.outlier_pct.items())
+    assert found.outlier_pct["same"] == 0 and found.outlier_pct["tail"] > 2
+    for c, v in want.details["numeric_features"].items():
+        assert found.details["numeric_features"][c]["variance"] == pytest.approx(v["variance"], rel=1e-6, abs=1e-9)
+    assert found.details["categorical_features"]["two"]["mode_count"] == want.details["categorical_features"]["two"]["mode_count"]
+    told = growing.report(spark, folder)
+    assert told["not_covered"] == ["consistency", "target"] and told["rows"] == 5000
+    assert {i["title"] for i in told["detected_issues"]} and told["quality_score"]["breakdown"]["data_completeness"]["score"] == pytest.approx(report.scoring.completeness(want), abs=6)
+
+
+def test_report_follows_a_stream(spark):
+    from tempfile import mkdtemp
+
+    from dqengine.plans import growing
+
+    here = mkdtemp()
+    df = spark.createDataFrame([(i, float(i % 5), None if i % 2 else "a") for i in range(300)], "i long, x double, t string")
+    for k in range(2):
+        df.where(F.col("i") % 2 == k).write.mode("append").parquet(f"{here}/table")
+        growing.follow(spark.readStream.schema(df.schema).parquet(f"{here}/table"), f"{here}/states", f"{here}/checkpoint").awaitTermination()
+        e = growing.evidence(spark, f"{here}/states")
+        assert (e.rows, e.missing_by_column) == ((150, {}) if k == 0 else (300, {"t": 50.0}))
+    alone = spark.createDataFrame([("a",), (None,)], "t string")
+    growing.add(alone, f"{here}/alone", 0)
+    assert growing.evidence(spark, f"{here}/alone").missing_by_column == {"t": 50.0}
