@@ -23,6 +23,8 @@ from dqengine.operators.sampling import positions
 ACCURACY_BANDS = [(0.85, "excellent"), (0.75, "good"), (0.65, "moderate"), (0.55, "weak")]
 R2_BANDS = [(0.80, "excellent"), (0.65, "good"), (0.50, "moderate"), (0.35, "weak")]
 SIGNAL_SCORES = {"excellent": 90, "good": 75, "moderate": 60, "weak": 45, "very_weak": 30, "insufficient_data": 20}
+TASK_ROWS = 500_000
+"""Rows of a task of the forest, which keeps some 300 bytes of each."""
 
 
 @dataclass
@@ -66,12 +68,27 @@ def _side_by_side(fit: Callable[[int], float], k: int) -> list[float]:
         return list(pool.map(inheritable_thread_target(spark)(fit), range(k)))
 
 
+def dealt(ready: DataFrame, features: list[str], label: str, k: int, rows: int, classes: int | None, seed: int = 42) -> DataFrame:
+    """Features, label and ``_fold`` of every row. Rows are placed by class (if there are any) and a hash of their values. Class starts
+    are broadcast, as a join on the class would bring a class to one task; rows go to tasks by place, at most about ``TASK_ROWS`` to each."""
+    drawn = ready.withColumn("_draw", F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(ready.columns)]))  # the row's values, not its place
+    # Equal rows follow each other, so places deal them to all folds, whichever of them comes first.
+    placed = positions(drawn, [*([F.col(label)] if classes is not None else []), F.col("_draw")])
+    place = F.col("_place")
+    if classes is not None:
+        first = placed.groupBy(F.col(label).alias("_class")).agg(F.min("_place").alias("_first"))
+        placed = placed.join(F.broadcast(first), F.col(label) == F.col("_class"))
+        place = place - F.col("_first")
+    tasks = max(ready.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return placed.select(*features, label, F.pmod(place, F.lit(k)).alias("_fold"), "_place").repartition(tasks, "_place").drop("_place")
+
+
 def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
     """Mean accuracy or R2 over the folds. Classes are dealt to the folds evenly: rows are placed by class and a hash of their
     values, and the place within the class gives the fold; so folds don't depend on how the table is laid out. What features need (medians,
     codes of texts) is learned from the other folds, as the forest is; folds are fitted side by side."""
     ready, features = prepared(df, target)
-    ready = ready.persist()
+    kept = ready = ready.persist()
     try:
         rows = ready.count()
         metric = "accuracy" if problem == "classification" else "r2"
@@ -99,24 +116,17 @@ def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
             forest = RandomForestRegressor(featureSubsetStrategy="all", numTrees=50, maxDepth=5, minInstancesPerNode=5, maxBins=128, seed=seed)
             evaluator = RegressionEvaluator(metricName="r2")
         k = folds_for(rows, classes)
-        drawn = ready.withColumn("_draw", F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(ready.columns)]))  # the row's values, not its place
-        # Equal rows follow each other, so places deal them to all folds, whichever of them comes first.
-        by = [F.col("_target")] if problem == "classification" else []
-        placed = positions(drawn, [*by, F.col("_draw")])
-        if by:
-            first = placed.groupBy(F.col("_target").alias("_class")).agg(F.min("_place").alias("_first"))
-            placed = placed.join(first, F.col("_target") == F.col("_class")).withColumn("_place", F.col("_place") - F.col("_first"))
-        drawn = placed.withColumn("_draw", F.col("_place"))
-        dealt = drawn.withColumn("_fold", F.pmod(F.col("_draw"), F.lit(k))).select(*features, "_target" if problem == "classification" else "label", "_fold").persist()
+        table = dealt(ready, features, "_target" if problem == "classification" else "label", k, rows, classes, seed).persist()
+        kept.unpersist()  # dealt reads what positions has written
         if problem == "classification":
-            coded = stages.pop(0).fit(dealt).transform(dealt)  # labels, not features: every class has a code
+            coded = stages.pop(0).fit(table).transform(table)  # labels, not features: every class has a code
         else:
-            coded = dealt
+            coded = table
         try:
             scores = _side_by_side(lambda i: evaluator.evaluate(Pipeline(stages=[*stages, forest]).fit(coded.where(F.col("_fold") != i)).transform(coded.where(F.col("_fold") == i))), k)
         finally:
-            dealt.unpersist()
+            table.unpersist()
         value = max(0.0, sum(scores) / k)
         return Signal(metric, value, band(value, ACCURACY_BANDS if problem == "classification" else R2_BANDS))
     finally:
-        ready.unpersist()
+        kept.unpersist()

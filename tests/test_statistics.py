@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dqengine.operators import profile, quantiles
+from dqengine.operators import baseline, profile, quantiles
 
 
 def plan_of(df):
@@ -277,3 +277,20 @@ def test_report_follows_a_stream(spark):
     alone = spark.createDataFrame([("a",), (None,)], "t string")
     growing.add(alone, f"{here}/alone", 0)
     assert growing.evidence(spark, f"{here}/alone").missing_by_column == {"t": 50.0}
+
+
+def test_no_task_of_the_forest_gets_a_whole_class(spark):
+    df = spark.range(6000).selectExpr("IF(id % 10 = 0, 'rare', 'often') AS _target", "CAST(id % 7 AS DOUBLE) AS f0")
+    table = baseline.dealt(df, ["f0"], "_target", 3, 6000, 2).persist()
+    rows = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) >= 4 and max(rows) < 2 * 6000 / len(rows)
+    folds = table.groupBy("_target").pivot("_fold", [0, 1, 2]).count().collect()
+    assert {r["_target"]: (r["0"], r["1"], r["2"]) for r in folds} == {"rare": (200,) * 3, "often": (1800,) * 3}
+    table.unpersist()
+
+
+def test_the_forest_keeps_nothing(spark):
+    df = spark.range(60).selectExpr("IF(id % 2 = 0, 'a', 'b') AS t", "CAST(id % 7 AS DOUBLE) AS x")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    baseline.train(df, "t", "classification")
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
