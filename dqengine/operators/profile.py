@@ -26,8 +26,13 @@ def column_classes(df: DataFrame) -> dict[str, str]:
         else:
             found[f.name] = "datetime" if f.name in E.temporal_columns(df) else "categorical"
     if texts:
-        dates = lambda c: F.coalesce(F.min(F.when(E.q(c).isNotNull(), E.parse_date(E.q(c)).isNotNull())), F.lit(False))
-        found |= {r["column"]: "datetime" for r in E.tidy(df, texts, {"dates": dates}, "boolean").where("dates").collect()}
+        # A column whose least or greatest value is no date is decided by one pass without parsing; of others each distinct value is parsed.
+        ends = lambda c: F.coalesce(E.parse_date(F.min(E.q(c))).isNotNull() & E.parse_date(F.max(E.q(c))).isNotNull(), F.lit(False))
+        open_ = [r["column"] for r in E.tidy(df, texts, {"ends": ends}, "boolean").where("ends").collect()]
+        if open_:
+            # Counts are summed: Spark moves a filter on values below the grouping, and drops a grouping under a minimum; both parse rows.
+            odd = F.sum(F.when(F.col("value").isNotNull() & E.parse_date(F.col("value")).isNull(), F.col("n")).otherwise(0))
+            found |= {r["column"]: "datetime" for r in value_counts(df, open_).groupBy("column").agg(odd.alias("odd")).where("odd = 0").collect()}
     return found
 
 

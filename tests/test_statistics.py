@@ -294,3 +294,19 @@ def test_the_forest_keeps_nothing(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     baseline.train(df, "t", "classification")
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_dates_are_told_by_distinct_values(spark, monkeypatch):
+    """Texts are parsed as dates once a value, not once a row; a text between dates that is none counts."""
+    seen, parse = spark.sparkContext.accumulator(0), profile.E.parse_date
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(profile.E, "parse_date", lambda c: parse(counted(c)))
+    day = "concat('2020-01-0', id % 9 + 1)"
+    df = spark.range(4000).selectExpr(f"{day} AS dates", f"IF(id % 5 = 2, 'soon', {day}) AS last", f"IF(id = 70, '2020-01-02x', {day}) AS between", "CAST(NULL AS STRING) AS none")
+    assert profile.column_classes(df) == {"dates": "datetime", "last": "categorical", "between": "categorical", "none": "categorical"}
+    assert 0 < seen.value < 1000
