@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dqengine.operators import baseline, profile, quantiles
+from dqengine.functions import catalogs, exprs
+from dqengine.operators import baseline, profile, quantiles, sampling
 
 
 def plan_of(df):
@@ -310,3 +311,15 @@ def test_dates_are_told_by_distinct_values(spark, monkeypatch):
     df = spark.range(4000).selectExpr(f"{day} AS dates", f"IF(id % 5 = 2, 'soon', {day}) AS last", f"IF(id = 70, '2020-01-02x', {day}) AS between", "CAST(NULL AS STRING) AS none")
     assert profile.column_classes(df) == {"dates": "datetime", "last": "categorical", "between": "categorical", "none": "categorical"}
     assert 0 < seen.value < 1000
+    before = seen.value
+    assert sampling.parsing_columns(df) == ["dates", "last", "between"] and seen.value - before < 1000
+
+
+def test_dates_parse_as_by_each_format_alone(spark):
+    texts = [
+        "2020-01-02", "2020-01-02 03:04:05", "2020-01-02T03:04:05", "2020-01-02t03:04:05", "1/2/2020", "02-01-2020", "2 Jan 2020", "2 jan 2020", "January 2, 2020", "january 2, 2020",
+        "2020/01/02", " 2020-01-02", "2020-13-02", "-", "/", ":", ", ", "N/A", "", None, "2020-01-02 ", "12345-01-02", "+12345-01-02", "0000-01-01", "2020-02-30", "Jan 2, 2020", "555-010-1000", "1/2/20", "31-12-1999", "2\u00a0Jan 2020",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in catalogs.DATE_PARSE_FORMATS])
+    assert df.where(~exprs.parse_date(F.col("t")).eqNullSafe(plain)).count() == 0 and df.where(plain.isNotNull()).count() >= 8
