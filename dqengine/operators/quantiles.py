@@ -45,10 +45,19 @@ def _picked(cells: DataFrame, ranks: dict[int, list[int]] | None, fractions: tup
     return counted.withColumn("rank", F.explode(inside)).select("id", "rank", (F.col("upto") - F.col("n")).alias("before"), "n", "lo", "hi", "total").collect()
 
 
-def _exploded(df: DataFrame, cells: list[tuple[int, Column, Column]]) -> DataFrame:
-    """(id, x, bucket) of the cells that are not null."""
-    each = F.array(*[F.struct(F.lit(i).alias("id"), x.alias("x"), bucket.alias("bucket")) for i, x, bucket in cells])
-    return df.select(F.inline(each)).where("x is not null")
+def _cells(df: DataFrame, columns: dict[int, str]) -> DataFrame:
+    """(id, x) of the cells that are not null. Nothing else is worked out beside a row's other cells: the code for a row would pass the
+    size up to which the JVM compiles it."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("id"), E.number(c).alias("x")) for i, c in columns.items()]))).where("x is not null")
+
+
+def _bracketed(df: DataFrame, columns: dict[int, str], brackets: list[tuple[int, int, float, float, int]]) -> DataFrame:
+    """(id, x, bucket) of the cells that fall in brackets (id, column, least, greatest, cells in it), which are broadcast."""
+    rows = df.sparkSession.createDataFrame([(at, i, lo, hi, n <= FEW) for i, at, lo, hi, n in brackets], "_at int, _bracket int, _lo double, _hi double, _few boolean")
+    x, lo, hi = F.col("x"), F.col("_lo"), F.col("_hi")
+    inside = _cells(df, columns).join(F.broadcast(rows), (F.col("id") == F.col("_at")) & x.between(lo, hi))
+    even = F.floor((x - lo) / (hi - lo) * EVEN).cast("double")
+    return inside.select(F.col("_bracket").alias("id"), "x", F.when(F.col("_few"), x).otherwise(even).alias("bucket"))
 
 
 def order_statistics(df: DataFrame, columns: list[str], fractions: tuple[float, ...] = E.QUARTILES) -> dict[str, list[float]]:
@@ -76,17 +85,14 @@ def _selected(df: DataFrame, columns: list[str], fractions: tuple[float, ...]) -
                 brackets.setdefault((at, r.lo, r.hi, r.n, shift[r.id] + r.before), []).append(shift[r.id] + r["rank"])
         open_.extend((*key, ranks) for key, ranks in brackets.items())
 
-    numbers = {i: E.number(c) for i, c in enumerate(columns)}
-    take(_picked(_exploded(df, [(i, x, _first_bucket(x)) for i, x in numbers.items()]), None, fractions), {i: i for i in numbers}, dict.fromkeys(numbers, 0))
+    names = dict(enumerate(columns))
+    take(_picked(_cells(df, names).withColumn("bucket", _first_bucket(F.col("x"))), None, fractions), {i: i for i in names}, dict.fromkeys(names, 0))
     while open_:
         now, open_ = open_[:AT_ONCE], open_[AT_ONCE:]
-        cells, ranks = [], {}
-        for i, (at, lo, hi, n, before, wanted) in enumerate(now):
-            x = F.when(numbers[at].between(lo, hi), numbers[at])
-            even = F.floor((x - lo) / F.lit(hi - lo) * EVEN).cast("double")
-            cells.append((i, x, x if n <= FEW else even))
-            ranks[i] = [r - before for r in wanted]
-        take(_picked(_exploded(df, cells), ranks, fractions), {i: b[0] for i, b in enumerate(now)}, {i: b[4] for i, b in enumerate(now)})
+        brackets = [(i, at, lo, hi, n) for i, (at, lo, hi, n, _, _) in enumerate(now)]
+        ranks = {i: [r - before for r in wanted] for i, (_, _, _, _, before, wanted) in enumerate(now)}
+        read = {at: names[at] for at in sorted({b[0] for b in now})}
+        take(_picked(_bracketed(df, read, brackets), ranks, fractions), {i: b[0] for i, b in enumerate(now)}, {i: b[4] for i, b in enumerate(now)})
 
     def at_fraction(column: int, p: float) -> float:
         place = p * (totals[column] - 1)

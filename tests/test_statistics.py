@@ -323,3 +323,18 @@ def test_dates_parse_as_by_each_format_alone(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in catalogs.DATE_PARSE_FORMATS])
     assert df.where(~exprs.parse_date(F.col("t")).eqNullSafe(plain)).count() == 0 and df.where(plain.isNotNull()).count() >= 8
+
+
+def test_a_pass_of_the_selection_reads_each_cell_once(spark, monkeypatch):
+    """However many brackets of a column are open, a row gives one cell for the column."""
+    seen, picked = [], quantiles._picked
+
+    def counted(cells, *rest):
+        seen.append(cells._jdf.queryExecution().optimizedPlan().toString().count("struct("))
+        return picked(cells, *rest)
+
+    monkeypatch.setattr(quantiles, "_picked", counted)
+    monkeypatch.setattr(quantiles, "FEW", 10)
+    df = spark.range(3000).selectExpr("CAST(id AS DOUBLE) AS a", "sqrt(id) AS b")
+    assert quantiles.order_statistics(df, ["a", "b"])["a"] == [749.75, 1499.5, 2249.25]
+    assert len(seen) > 1 and max(seen) <= 2
