@@ -2,7 +2,7 @@
 
 The ranks file gives bytes and ranks. The tokenizers library works on characters, so each byte gets a printable stand-in
 (the usual byte-to-character table) and every split of a token into two known tokens becomes a merge of the token's rank;
-that makes the library merge what a rank-driven encoder merges. Decoding reverses the table: ids become bytes first and
+that makes the library merge what a rank-driven encoder merges. A worker hands it each different match of the pattern once. Decoding reverses the table: ids become bytes first and
 text last, so a character split over several tokens comes back whole.
 """
 
@@ -12,6 +12,7 @@ import base64
 import functools
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from dqengine.llm.common import plain_strings, sha256, table, text_slices
 
 SLICE = 1 << 20
 """Bytes of text encoded at once; bounds the memory of the library's result objects."""
+KEPT = 1 << 18
+"""Different matches whose ids a worker keeps; when there are more it begins anew."""
+LONGEST = 64
+"""Characters of a match whose ids are kept."""
 
 
 def byte_characters() -> list[str]:
@@ -64,6 +69,55 @@ def codec(path: str, pattern: str | None = None):
     return made, tokens, np.array([len(t) for t in tokens], np.int64)
 
 
+@functools.lru_cache(maxsize=4)
+def known_ids(path: str) -> dict[str, bytes]:
+    """Ids of the matches that a Python worker has met."""
+    return {}
+
+
+@functools.lru_cache(maxsize=1)
+def splitter():
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN)
+
+
+def _matches(text: str) -> Iterator[list[str]]:
+    """The matches of the usual pattern, which leave nothing out; those of a long text in parts."""
+    if len(text) <= SLICE:
+        yield splitter().findall(text)
+    else:
+        found = (m.group() for m in splitter().finditer(text))
+        while part := list(islice(found, SLICE // 8)):
+            yield part
+
+
+def encoded(texts: list[str], path: str, pattern: str | None = None) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers. Matches are encoded separately, so the library
+    gets each different match once for as long as a worker keeps its ids; a pattern of one's own gives it whole texts."""
+    import public_tokenizers
+
+    made, _, _ = codec(path, pattern)
+    in_library = lambda many: [np.array(e.ids, "<u4").tobytes() for e in made.encode_batch_fast(many, add_special_tokens=False)]
+    if pattern is not None and pattern != public_tokenizers.PATTERN:
+        return in_library(texts)
+    known, out = known_ids(path), []
+    for text in texts:
+        ids = []
+        for part in _matches(text):
+            if new := list(set(part).difference(known)):
+                known.update(zip(new, in_library(new)))
+            ids.append(b"".join(map(known.__getitem__, part)))
+            for match in new:
+                if len(match) > LONGEST:
+                    del known[match]
+            if len(known) > KEPT:
+                known.clear()
+        out.append(b"".join(ids))
+    return out
+
+
 def decode_ids(ids, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
@@ -85,9 +139,13 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
         made, _, lengths = codec(path, pattern)
         for part in text_slices(batches, text_col, SLICE):
             texts = plain_strings(part, text_col)
-            found = (made.encode_batch if offsets else made.encode_batch_fast)(texts, add_special_tokens=False)
-            out = [part.column(id_col), pa.array([e.ids for e in found], pa.list_(pa.int32()))]
-            if offsets:
+            if not offsets:
+                ids = encoded(texts, path, pattern)
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                out = [part.column(id_col), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+            else:
+                found = made.encode_batch(texts, add_special_tokens=False)
+                out = [part.column(id_col), pa.array([e.ids for e in found], pa.list_(pa.int32()))]
                 out.append(pa.array([np.cumsum(lengths[e.ids]).tolist() if e.ids else [] for e in found], pa.list_(pa.int32())))
                 out.append(pa.array([[{"start": a, "end": b} for a, b in e.offsets] for e in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(out, schema.names)
@@ -128,10 +186,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None, id_col: s
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *DIGESTS.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, tokens, _ = codec(path, pattern)
+        _, tokens, _ = codec(path, pattern)
         for part in text_slices(batches, text_col, SLICE):
-            ids = [e.ids for e in made.encode_batch_fast(plain_strings(part, text_col), add_special_tokens=False)]
-            rows = [(len(x), sha256(np.array(x, "<u4").tobytes()), sha256(decode_ids(x, tokens))) for x in ids]
+            ids = encoded(plain_strings(part, text_col), path, pattern)
+            rows = [(len(x) // 4, sha256(x), sha256(decode_ids(np.frombuffer(x, "<u4").tolist(), tokens))) for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(id_col), *(pa.array(c) for c in zip(*rows))], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

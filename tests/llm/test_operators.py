@@ -580,6 +580,30 @@ def test_bpe_like_tiktoken(documents):
     assert all(back[r.doc_id].text == (r.text or "") for r in documents.collect())
 
 
+def test_bpe_encodes_each_different_match_once(monkeypatch):
+    """Also in long texts and with few ids kept, the ids are those of whole texts."""
+    made, tokens, lengths = bpe.codec(bpe.ranks_path())
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, many, **options):
+            given.extend(many)
+            return made.encode_batch_fast(many, **options)
+
+    whole = lambda t: np.array(made.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(bpe, "codec", lambda *_: (Counted(), tokens, lengths))
+    bpe.known_ids.cache_clear()
+    texts = ["the same words, again and again"] * 500
+    assert bpe.encoded(texts, bpe.ranks_path()) == [whole(texts[0])] * 500
+    assert len(given) == len(set(given)) == 6
+    rng = np.random.default_rng(5)
+    odd = ["", "z" * 300, *("".join(chr(c) for c in rng.choice([32, 32, 10, 39, 115, 0x1C, 0x301, 0x85, 0xA0, 0x3000, 0x1F600, 0x4E2D, 65, 97, 49, 0xBD, 0x200B, 33], 80)) for _ in range(200))]
+    monkeypatch.setattr(bpe, "SLICE", 32)
+    monkeypatch.setattr(bpe, "KEPT", 3)
+    assert bpe.encoded(odd, bpe.ranks_path()) == [whole(t) for t in odd]
+    bpe.known_ids.cache_clear()
+
+
 def test_bpe_with_a_pattern_of_ones_own(documents):
     pattern = r"\s+|\S+"
     got = rows_of(bpe.round_trip(documents, bpe.ranks_path(), pattern=pattern))
