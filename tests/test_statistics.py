@@ -338,3 +338,51 @@ def test_a_pass_of_the_selection_reads_each_cell_once(spark, monkeypatch):
     df = spark.range(3000).selectExpr("CAST(id AS DOUBLE) AS a", "sqrt(id) AS b")
     assert quantiles.order_statistics(df, ["a", "b"])["a"] == [749.75, 1499.5, 2249.25]
     assert len(seen) > 1 and max(seen) <= 2
+
+
+def test_equal_rows_weigh_as_many_and_bags_are_bounded(spark, monkeypatch):
+    df = spark.range(20_000).select((F.xxhash64("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.xxhash64("id") % 5).alias("y"), F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("s"))
+    df = df.withColumn("t", F.when((F.col("x") + F.coalesce("y", F.lit(0)) + (F.xxhash64("x", "y", "s") % 2)) > 1, "up").otherwise("down"))
+    single = baseline.train(df, "t", "classification")
+    seen, bagged = [], baseline.bagged
+    monkeypatch.setattr(baseline, "bagged", lambda cells, size, tasks: seen.append((cells.count(), bagged(cells, size, tasks).agg(F.count(F.lit(1)).alias("bags"), F.sum("_n").alias("rows"), F.max("_n").alias("most")).first())) or bagged(cells, size, tasks))
+    monkeypatch.setattr(baseline, "BAGS", 1000)
+    packed = baseline.train(df, "t", "classification")
+    (cells, got), = seen
+    assert got["rows"] == 20_000 and got.most <= 20 and cells < 1500 and got.bags <= 1000 + cells
+    assert single.quality == packed.quality and packed.value == pytest.approx(single.value, abs=0.02)
+
+
+def test_groups_are_dealt_evenly_and_whole(spark):
+    groups = spark.range(500).select((F.col("id") % 3).cast("double").alias("f0"), F.when(F.col("id") % 5 == 0, "rare").otherwise("often").alias("_target"), F.col("id").alias("_draw"), F.when(F.col("id") == 7, 100_000).otherwise(F.col("id") % 4 + 1).cast("long").alias("_n"))
+    rows = {r["_target"]: r["n"] for r in groups.groupBy("_target").agg(F.sum("_n").alias("n")).collect()}
+    got = baseline.parted(groups, ["f0"], "_target", 3, 2).groupBy("_target").pivot("_fold", [0, 1, 2]).agg(F.sum("_n")).collect()
+    for r in got:
+        folds = [r["0"], r["1"], r["2"]]
+        assert sum(folds) == rows[r["_target"]] and max(folds) - min(folds) <= 1
+    none = baseline.parted(groups.withColumn("_n", F.lit(6).cast("long")), ["f0"], "_target", 3, 2)
+    assert none.agg(F.sum("_n")).first()[0] == 3000
+
+
+def test_labels_without_signal_show_none(spark):
+    df = spark.range(6000).select((F.xxhash64("id", F.lit(1)) % 4).alias("a"), (F.xxhash64("id", F.lit(2)) % 4).alias("b"), F.rand(3).alias("c"), F.when(F.xxhash64("id", F.lit(4)) % 2 == 0, "up").otherwise("down").alias("t"))
+    assert baseline.train(df, "t", "classification").value < 0.53
+
+
+def test_bins_of_numbers_and_medians_of_folds(spark):
+    ready = spark.range(3000).select(
+        (F.col("id") % 128).cast("double").alias("f0"), F.when(F.col("id") % 4 > 0, F.col("id").cast("double")).alias("f1"), F.lit(None).cast("double").alias("f2"), F.lit(5.0).alias("f3"),
+        F.when(F.col("id") == 0, float("inf")).when(F.col("id") == 1, float("-inf")).otherwise(F.col("id") % 2 - 0.0).alias("f4"), (F.col("id") % 150).cast("double").alias("f5"), (F.col("id") % 3).cast("int").alias("_fold"),
+    )
+    rows, borders, gaps = baseline.edges(ready, ["f0", "f1", "f2", "f3", "f4", "f5"])
+    assert rows == 3000 and borders["f0"] == list(range(1, 128)) and gaps == ["f1", "f2"] and borders["f2"] == borders["f3"] == []
+    assert len(borders["f1"]) == 127 and 100 < len(borders["f5"]) <= 127
+    bins = baseline.binned(ready, borders)
+    assert bins.columns == ready.columns and bins.where("f1 is null").count() == 750 and bins.where("f2 is not null or f3 <> 0").isEmpty()
+    sizes = [r["count"] for r in bins.where("f1 is not null").groupBy("f1").count().collect()]
+    assert len(sizes) == 128 and max(sizes) < 2 * 2250 / 128
+    assert bins.select("f0").distinct().count() == 128
+    got = baseline.medians(bins.groupBy(*bins.columns).agg(F.count(F.lit(1)).alias("_n")), gaps, 3)
+    for i in range(3):
+        values = sorted(r.f1 for r in bins.where((F.col("_fold") != i) & F.col("f1").isNotNull()).select("f1").collect())
+        assert got[i] == {"f1": values[(len(values) - 1) // 2], "f2": 0.0}
