@@ -118,6 +118,17 @@ def binned(ready: DataFrame, borders: dict[str, list[float]]) -> DataFrame:
     return ready.select(*[F.when(F.col(c).isNotNull(), whole(c)).alias(c) if c in borders else F.col(c) for c in ready.columns if not c.startswith("b_")])
 
 
+def split(rest: DataFrame, label: str, k: int, classes: int | None) -> DataFrame:
+    """``_fold`` of each row of a large table without a sort: a class is cut in k parts of its draws, even to a ten-thousandth of the class.
+    Copies of a row (``_copy``) are set a k-th of all draws apart, so they go to different folds."""
+    turn = F.col("_draw") / F.lit(2.0**64) + F.lit(0.5) + F.col("_copy") / F.lit(float(k))
+    rest = rest.withColumn("_turn", turn - F.floor(turn))
+    own = F.lit(0) if classes is None else F.col(label)
+    marks = rest.groupBy(own.alias("_class")).agg(F.percentile_approx("_turn", [i / k for i in range(1, k)], 10_000).alias("_marks"))
+    joined = rest.join(F.broadcast(marks), own == F.col("_class"))
+    return joined.withColumn("_fold", F.size(F.filter("_marks", lambda m: F.col("_turn") > m)))
+
+
 def parted(groups: DataFrame, features: list[str], label: str, k: int, classes: int | None, seed: int = 42) -> DataFrame:
     """Features, label, ``_fold`` and ``_n`` rows, from groups of ``_n`` equal rows that ``_draw`` tells apart: each fold gets as many of a
     group as the others, what is left over is dealt row by row. Rows that only fall in the same bins are dealt like any others:
@@ -125,8 +136,9 @@ def parted(groups: DataFrame, features: list[str], label: str, k: int, classes:
     over = F.pmod("_n", F.lit(k))
     names = [*features, label, F.col("_fold").cast("int").alias("_fold")]
     even = groups.withColumn("_n", F.floor(F.col("_n") / k)).where("_n > 0").withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    rest = groups.where(over > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), over))).drop("_n")
-    rest = dealt(rest, features, label, k, groups.agg(F.sum(over)).first()[0], classes, seed)
+    rest = groups.where(over > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), over))).drop("_n")
+    left = groups.agg(F.sum(over)).first()[0]
+    rest = dealt(rest.drop("_copy"), features, label, k, left, classes, seed) if left <= BAGS else split(rest, label, k, classes)
     both = even.select(*names, "_n").unionByName(rest.select(*names, F.lit(1).cast("long").alias("_n")))
     return both.groupBy(*features, label, "_fold").agg(F.sum("_n").alias("_n"))
 
@@ -156,7 +168,7 @@ def medians(cells: DataFrame, numbers: list[str], k: int) -> list[dict[str, floa
 
 def train(df: DataFrame, target: str, problem: str, seed: int = 42) -> Signal:
     """Mean accuracy or R2 over the folds. Classes are dealt to the folds evenly: rows are placed by class and a hash of their values, and
-    the place within the class gives the fold; so folds don't depend on how the table is laid out. A tree sees of a number its bin alone,
+    the place within the class gives the fold (in large tables the part of the class's hashes); so folds don't depend on how the table is laid out. A tree sees of a number its bin alone,
     so rows of a fold that are equal after binning are counted once and weigh as many: a large table comes down to its different
     cells. The bootstrap draws bags of equal rows of a fold: single rows in tables of up to ``BAGS`` rows, at most rows / ``BAGS`` of them in
     larger ones; every row is in one bag. Medians and codes of texts are learned from the other folds, as the forest is; borders

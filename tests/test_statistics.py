@@ -386,3 +386,17 @@ def test_bins_of_numbers_and_medians_of_folds(spark):
     for i in range(3):
         values = sorted(r.f1 for r in bins.where((F.col("_fold") != i) & F.col("f1").isNotNull()).select("f1").collect())
         assert got[i] == {"f1": values[(len(values) - 1) // 2], "f2": 0.0}
+
+
+def test_a_large_table_is_dealt_without_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(baseline, "BAGS", 100)
+    monkeypatch.setattr(baseline, "positions", None)
+    groups = spark.range(30_000).select((F.col("id") % 3).cast("double").alias("f0"), F.when(F.col("id") % 5 == 0, "rare").otherwise("often").alias("_target"), F.xxhash64("id").alias("_draw"), F.when(F.col("id") % 2 == 0, 2).otherwise(4).cast("long").alias("_n"))
+    for classes, each in ((2, {"rare": 18_000, "often": 72_000}), (None, {"rare": 18_000, "often": 72_000})):
+        got = baseline.parted(groups, ["f0"], "_target", 3, classes).groupBy("_target").pivot("_fold", [0, 1, 2]).agg(F.sum("_n")).collect()
+        for r in got:
+            folds = [r["0"], r["1"], r["2"]]
+            assert sum(folds) == each[r["_target"]] and max(folds) - min(folds) < (10 if classes else 0.03 * sum(folds))
+    pairs = groups.where("_n = 2").withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    apart = baseline.split(pairs, "_target", 3, 2).groupBy("_draw").agg(F.count_distinct("_fold").alias("n"))
+    assert apart.where("n = 2").count() > 0.97 * 15_000
